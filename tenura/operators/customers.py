@@ -137,8 +137,8 @@ def customer_table(
 ) -> DataFrame:
     """Features, label and first/last date of every customer in one pass.
 
-    Everything per customer downstream is a projection of this table;
-    persist it when several results are needed. ``min_customers=None`` skips
+    Everything per customer downstream is a projection of this table; store
+    it (:func:`tenura.session.store`) when several results are needed. ``min_customers=None`` skips
     the size check.
     """
     if min_customers is not None:
@@ -261,22 +261,23 @@ def temporal_split(matrix: DataFrame, *, train_ratio: float = 0.80, check: bool
     """
     first = F.col("first_tx_date")
     micros = timestamp_micros(first)
-    cutoff = split_cutoff(matrix, train_ratio)
+    cutoff = split_cutoff(matrix, train_ratio).scalar()
     if check:
-        bound = matrix.agg(
-            F.count("*").alias("n"), F.max(timestamp_micros(first)).alias("last")
-        ).withColumn("cutoff", cutoff.scalar()).first()
-        if bound["n"] < 2:
-            raise InsufficientDataError("temporal split", 2, bound["n"])
-        if bound["last"] <= bound["cutoff"]:
-            held_out = max(1, round(bound["n"] * (1 - train_ratio)))
-            cutoff = _cutoff_before_latest(matrix, held_out)
+        found = matrix.agg(
+            F.count("*").alias("n"), F.max(micros).alias("last")
+        ).withColumn("cutoff", cutoff).first()
+        if found["n"] < 2:
+            raise InsufficientDataError("temporal split", 2, found["n"])
+        cutoff = found["cutoff"]
+        if found["last"] <= cutoff:
+            cutoff = _cutoff_before_latest(matrix, max(1, round(found["n"] * (1 - train_ratio))))
+        cutoff = F.lit(cutoff)
     return matrix.withColumn(
-        "split", F.when(micros <= cutoff.scalar(), F.lit("train")).otherwise(F.lit("test"))
+        "split", F.when(micros <= cutoff, F.lit("train")).otherwise(F.lit("test"))
     )
 
 
-def _cutoff_before_latest(matrix: DataFrame, held_out: int) -> DataFrame:
+def _cutoff_before_latest(matrix: DataFrame, held_out: int) -> float:
     """The date below the ``held_out`` latest joiners, if a date separates them.
 
     The cutoff reached the last date, so at least ``held_out`` customers
@@ -287,7 +288,7 @@ def _cutoff_before_latest(matrix: DataFrame, held_out: int) -> DataFrame:
     )
     latest = by_date.orderBy(F.desc("micros")).limit(2).collect()
     if len(latest) == 2 and latest[0]["n"] == held_out:
-        return matrix.agg(F.lit(float(latest[1]["micros"])).alias("cutoff_micros"))
+        return float(latest[1]["micros"])
     raise LeakageError("test customers share the first date of the last training customers")
 
 

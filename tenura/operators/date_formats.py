@@ -30,32 +30,49 @@ def _known(fmt: str):
     return fmt, None
 
 
-def format_scores(df: DataFrame, column: str = "transaction_date", *, sample_rows: int | None = None) -> DataFrame:
-    """Values each candidate parses: ``(ordinal, format, label, score)``.
-
-    All candidates are counted in one pass over the whole column;
-    ``sample_rows`` looks at that many values only.
-    """
-    x = F.trim(F.col(column))
-    values = df.where(F.col(column).isNotNull()).select(x.alias("x"))
+def _statistics(df: DataFrame, column: str, sample_rows: int | None = None) -> DataFrame:
+    """One row from one pass: values parsed per candidate (named by position)
+    and the largest first and second number."""
+    values = df.where(F.col(column).isNotNull()).select(F.trim(F.col(column)).alias("x"))
     if sample_rows is not None:
         values = values.limit(sample_rows)
-    counts = values.agg(
+    parts = F.split("x", r"[/\-.]")
+    part = lambda i: F.max(F.try_element_at(parts, F.lit(i)).try_cast("int"))
+    return values.agg(
         *[
             F.count(_parse(F.col("x"), pattern, shape)).alias(str(i))
             for i, (_, pattern, _, shape) in enumerate(DATE_FORMATS)
+        ],
+        part(1).alias("max_first"),
+        part(2).alias("max_second"),
+    )
+
+
+def _candidates() -> Column:
+    """Candidates as structs that sort by score, earlier ones first among equals."""
+    return F.array(
+        *[
+            F.struct(
+                F.col(str(i)).alias("score"),
+                F.lit(-i).alias("priority"),
+                F.lit(fmt).alias("format"),
+                F.lit(label).alias("label"),
+            )
+            for i, (fmt, _, label, _) in enumerate(DATE_FORMATS)
         ]
     )
-    entries = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(fmt).alias("format"),
-            F.lit(label).alias("label"),
-            F.col(str(i)).alias("score"),
-        )
-        for i, (fmt, _, label, _) in enumerate(DATE_FORMATS)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+
+
+def format_scores(
+    df: DataFrame, column: str = "transaction_date", *, sample_rows: int | None = None
+) -> DataFrame:
+    """Values each candidate parses: ``(ordinal, format, label, score)``.
+
+    All candidates are counted in one pass over the whole column;
+    ``sample_rows`` looks at that many values only.
+    """
+    scores = _statistics(df, column, sample_rows).select(F.inline(_candidates()))
+    return scores.select((-F.col("priority")).alias("ordinal"), "format", "label", "score")
 
 
 def pick_format(scores: DataFrame) -> DataFrame:
@@ -66,40 +83,29 @@ def pick_format(scores: DataFrame) -> DataFrame:
     return scores.where("score > 0").agg(best.alias("b")).where("b IS NOT NULL").select("b.*")
 
 
-def component_ranges(df: DataFrame, column: str = "transaction_date") -> DataFrame:
-    """Largest first and second number of the values, one row.
+def ambiguity(
+    df: DataFrame, column: str = "transaction_date", *, sample_rows: int | None = None
+) -> DataFrame:
+    """One row: the picked format and whether day and month may be swapped.
 
-    ``both_le_12`` means day and month cannot be told apart;
-    ``first_component_le_12`` looks at the first number only.
+    ``is_ambiguous`` needs both numbers of all values to be at most 12;
+    ``first_component_le_12`` looks at the first number only. No row if no
+    candidate parsed anything. One pass over the data.
     """
-    parts = F.split(F.trim(F.col(column)), r"[/\-.]")
-    first = F.try_element_at(parts, F.lit(1)).try_cast("int")
-    second = F.try_element_at(parts, F.lit(2)).try_cast("int")
-    return (
-        df.agg(F.max(first).alias("max_first"), F.max(second).alias("max_second"))
-        .withColumn("first_component_le_12", F.coalesce(F.col("max_first") <= 12, F.lit(False)))
-        .withColumn(
-            "both_le_12",
-            F.coalesce((F.col("max_first") <= 12) & (F.col("max_second") <= 12), F.lit(False)),
-        )
-    )
-
-
-def ambiguity(df: DataFrame, column: str = "transaction_date") -> DataFrame:
-    """One row: the picked format and whether day and month may be swapped."""
-    picked = pick_format(format_scores(df, column))
-    ranges = component_ranges(df, column).select(F.struct("*").alias("r"))
-    day_month = F.col("label").isin("US", "EU")
+    day_month = F.col("best.label").isin("US", "EU")
+    low = lambda c: F.coalesce(F.col(c) <= 12, F.lit(False))
     return (
-        picked.withColumn("r", ranges.scalar())
+        _statistics(df, column, sample_rows)
+        .withColumn("best", F.array_max(_candidates()))
+        .where("best.score > 0")
         .select(
-            "format",
-            "label",
-            "score",
-            "r.max_first",
-            "r.max_second",
-            (day_month & F.col("r.first_component_le_12")).alias("first_component_le_12"),
-            (day_month & F.col("r.both_le_12")).alias("is_ambiguous"),
+            "best.format",
+            "best.label",
+            "best.score",
+            "max_first",
+            "max_second",
+            (day_month & low("max_first")).alias("first_component_le_12"),
+            (day_month & low("max_first") & low("max_second")).alias("is_ambiguous"),
         )
     )
 

@@ -157,9 +157,12 @@ def adjacent_months(tx: DataFrame) -> DataFrame:
     )
 
 
-def kpi_snapshot(tx: DataFrame) -> DataFrame:
-    """One row: the latest month's figures plus all-time revenue and mean amount."""
-    monthly = monthly_kpis(tx)
+def kpi_snapshot(tx: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
+    """One row: the latest month's figures plus all-time revenue and mean amount.
+
+    ``monthly`` passes a stored result of :func:`monthly_kpis`.
+    """
+    monthly = monthly_kpis(tx) if monthly is None else monthly
     latest = monthly.agg(
         F.max_by(F.struct("revenue", "active", "arpu", "churn_rate"), "month").alias("k"),
         F.max("month").alias("month"),

@@ -17,6 +17,7 @@ from tenura.errors import ModelError
 from tenura.fixed_values import FEATURES
 from tenura.operators.schema import assert_no_leakage
 from tenura.operators.scoring import class_weights
+from tenura.session import store
 
 
 def scale_statistics(matrix: DataFrame, features=FEATURES) -> DataFrame:
@@ -125,6 +126,7 @@ def train_rf(
         maxDepth=depth,
         featureSubsetStrategy="2",
         maxBins=128,
+        maxMemoryInMB=1024,
         seed=seed,
     ).fit(train)
 
@@ -140,9 +142,12 @@ def train_model(
 ) -> ChurnModel:
     """Fit both models on a feature matrix with a 0/1 ``is_churned``.
 
-    The driver sees two class counts and two numbers per feature.
+    The training rows are stored first: the iterations that follow read a
+    table with a short lineage. The driver sees two class counts and two
+    numbers per feature.
     """
     assert_no_leakage(train.select("customer_id", *features))
+    train = store(train.select("is_churned", *features))
     classes = {r["label"]: r for r in class_weights(train).collect()}
     if len(classes) < 2:
         raise ModelError("training data has only one class; churned and active customers are needed")

@@ -1,9 +1,14 @@
-"""Evaluation of scores: ``(customer_id, label, churn_probability)`` tables."""
+"""Evaluation of scores: ``(customer_id, label, churn_probability)`` tables.
+
+Curves need the distinct scores several times; they are stored once, so that
+a model is not applied again for each pass.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.operators.ordering import running_totals, with_next
+from tenura.session import store
 
 
 def outcomes_by_score(scored: DataFrame) -> DataFrame:
@@ -16,7 +21,7 @@ def outcomes_by_score(scored: DataFrame) -> DataFrame:
 
 def auc_exact(scored: DataFrame, **options) -> DataFrame:
     """One row ``(auc)``: chance that a positive outscores a negative, ties count half."""
-    by_score = outcomes_by_score(scored)
+    by_score = store(outcomes_by_score(scored))
     ranked = running_totals(by_score, "score", {"below": "negatives"}, **options)
     wins = F.sum(
         F.col("positives") * (F.col("below") - F.col("negatives") + F.col("negatives") / 2.0)
@@ -30,7 +35,7 @@ def roc_points(scored: DataFrame, *, drop_intermediate: bool = False, **options)
 
     ``drop_intermediate`` drops points between two equal steps.
     """
-    by_score = outcomes_by_score(scored)
+    by_score = store(outcomes_by_score(scored))
     totals = by_score.agg(
         F.struct(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     )

@@ -7,12 +7,13 @@ from tenura.functions import text
 from tenura.operators import briefing as b
 from tenura.operators import customers as cust
 from tenura.operators import forecast as fc
-from tenura.operators import kpis, segments, survival
+from tenura.operators import kpis, scoring, segments, survival
 from tenura.plans import modelling, tables as t
 from tenura.plans.analytics import MONTHS, TREND
 from tenura.plans.customers import SURVIVAL, segments_sql
 from tenura.plans.forecasts import HOLT
 from tenura.plans.registry import query, sql_text
+from tenura.session import store
 
 # --- Facts in SQL -------------------------------------------------------------------------------
 
@@ -47,28 +48,29 @@ _CHANGE = "CASE WHEN {before} > 0 THEN (recent_avg - {before}) / {before} ELSE 0
 _ARPU = "format('{:.2f}', arpu)"
 
 
-def _facts(spark, folder, **options):
+def _facts(spark, folder, customers=None, **options):
     tx = t.tx(spark, folder)
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder) if customers is None else customers
+    monthly = store(kpis.monthly_kpis(tx))
     return b.briefing_facts(
-        snapshot=kpis.kpi_snapshot(tx),
-        trend=kpis.revenue_trend(kpis.monthly_revenue(tx)),
+        snapshot=kpis.kpi_snapshot(tx, monthly),
+        trend=kpis.revenue_trend(monthly),
         churn=cust.churn_summary(customers),
         behaviour=cust.rfm_summary(customers),
         **options,
     )
 
 
-def _segments(spark, folder):
-    return b.segment_counts(segments.segment_customers(t.customers(spark, folder)))
+def _segments(customers, scores=None):
+    return b.segment_counts(segments.segment_customers(customers, scores))
 
 
-def _top_clv(spark, folder):
-    return survival.clv_quantile(survival.clv_per_customer(t.customers(spark, folder)))
+def _top_clv(customers):
+    return survival.clv_quantile(survival.clv_per_customer(customers))
 
 
 def _forecast(spark, folder):
-    series = fc.series_input(t.tx(spark, folder))
+    series = store(fc.series_input(t.tx(spark, folder)))
     return b.forecast_facts(series, fc.forecast_holt(series))
 
 
@@ -182,7 +184,8 @@ def _segments_sql() -> str:
 
 @query("brief_segments", f"WITH {FACTS}, {SEGMENT_COUNTS} SELECT {_segments_sql()} AS customer_segments FROM facts")
 def brief_segments(spark, folder):
-    facts = _facts(spark, folder, segments=_segments(spark, folder))
+    customers = t.stored_customers(spark, folder)
+    facts = _facts(spark, folder, customers, segments=_segments(customers))
     return facts.select(b.customer_segments(True).alias("customer_segments"))
 
 
@@ -227,11 +230,13 @@ def brief_recommendations(spark, folder):
     f"WITH RECURSIVE {HOLT_FACTS}, {SURVIVAL}, {SEGMENT_COUNTS} SELECT {_recommend_sql(True)} AS recommendations FROM facts, ahead",
 )
 def brief_recommendations_full(spark, folder):
+    customers = t.stored_customers(spark, folder)
     facts = _facts(
         spark,
         folder,
-        segments=_segments(spark, folder),
-        top_clv=_top_clv(spark, folder),
+        customers,
+        segments=_segments(customers),
+        top_clv=_top_clv(customers),
         forecast=_forecast(spark, folder),
     )
     return facts.select(b.recommendations(True, True, True).alias("recommendations"))
@@ -261,8 +266,6 @@ def _confidence_sql() -> str:
 )
 def brief_model_confidence(spark, folder):
     """For the tenure score, judged on all customers."""
-    from tenura.operators import scoring
-
     scored = modelling._scored(spark, folder)
     metrics = (
         scoring.classification_metrics(scored)
@@ -276,13 +279,14 @@ def brief_model_confidence(spark, folder):
 @query("brief_report")
 def brief_report(spark, folder):
     fitted, split = modelling.trained(spark, folder)
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     scores = fitted.score(split).select("customer_id", "churn_probability")
     facts = _facts(
         spark,
         folder,
-        segments=b.segment_counts(segments.segment_customers(customers, scores)),
-        top_clv=_top_clv(spark, folder),
+        customers,
+        segments=_segments(customers, scores),
+        top_clv=_top_clv(customers),
         forecast=_forecast(spark, folder),
         importance=b.top_two_features(modelling.importance(spark, folder)),
         metrics=modelling.evaluation(fitted, split),

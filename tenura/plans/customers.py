@@ -92,7 +92,7 @@ def rfm_summary(spark, folder):
     (SELECT max(transaction_date) FROM tx) AS reference_date FROM feats""",
 )
 def global_stats(spark, folder):
-    return rounded(cust.global_stats(t.tx(spark, folder), t.customers(spark, folder)))
+    return rounded(cust.global_stats(t.tx(spark, folder), t.stored_customers(spark, folder)))
 
 
 # --- Labels, matrix, split -----------------------------------------------------------------
@@ -183,7 +183,7 @@ split AS (
     f"WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT customer_id, first_tx_date, split FROM split",
 )
 def temporal_split(spark, folder):
-    matrix = cust.feature_matrix(t.customers(spark, folder))
+    matrix = cust.feature_matrix(t.stored_customers(spark, folder))
     return cust.temporal_split(matrix).select("customer_id", "first_tx_date", "split")
 
 
@@ -194,7 +194,7 @@ def temporal_split(spark, folder):
     max(first_tx_date) AS last_joined FROM split GROUP BY 1""",
 )
 def split_predicate(spark, folder):
-    matrix = cust.feature_matrix(t.customers(spark, folder))
+    matrix = cust.feature_matrix(t.stored_customers(spark, folder))
     return (
         cust.temporal_split(matrix)
         .groupBy("split")
@@ -213,7 +213,7 @@ def split_predicate(spark, folder):
     WHERE split = 'test' AND first_tx_date <= (SELECT max(first_tx_date) FROM split WHERE split = 'train')""",
 )
 def split_leakage_assert(spark, folder):
-    matrix = cust.feature_matrix(t.customers(spark, folder))
+    matrix = cust.feature_matrix(t.stored_customers(spark, folder))
     return cust.split_leakage(cust.temporal_split(matrix))
 
 
@@ -237,7 +237,7 @@ def nlargest_dates(spark, folder):
     round(least(greatest(churn_probability, 0), 1), 4) AS proxy FROM scored""",
 )
 def clip(spark, folder):
-    scored = segments.with_scores(t.customers(spark, folder))
+    scored = segments.with_scores(t.stored_customers(spark, folder))
     floor = lambda c, low: F.greatest(c, F.lit(low))
     return scored.select(
         "customer_id",
@@ -255,7 +255,7 @@ SELECT quantile_cont(CAST(epoch_us(first_tx_date) AS DOUBLE), 0.8) AS first_date
 
 @query("quantile_linear", f"WITH {t.TX_CUSTOMERS} {QUANTILES}")
 def quantile_linear(spark, folder):
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     return cust.split_cutoff(customers).select(
         F.col("cutoff_micros").alias("first_date_micros_q80"),
         F.round(exact_quantile(customers, "monetary_total", 0.75).scalar(), 2).alias("spend_q75"),
@@ -265,7 +265,7 @@ def quantile_linear(spark, folder):
 @query("quantile_distributed", f"WITH {t.TX_CUSTOMERS} {QUANTILES}")
 def quantile_distributed(spark, folder):
     """As ``quantile_linear`` by the path for columns that outgrow one task."""
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     spend = exact_quantile(customers, "monetary_total", 0.75, small=0)
     return cust.split_cutoff(customers, small=0).select(
         F.col("cutoff_micros").alias("first_date_micros_q80"),
@@ -298,7 +298,7 @@ TX_CLV = t.TX_CUSTOMERS + "," + SURVIVAL
 
 
 def _clv(spark, folder):
-    return survival.clv_per_customer(t.customers(spark, folder))
+    return survival.clv_per_customer(t.stored_customers(spark, folder))
 
 
 @query(
@@ -316,12 +316,12 @@ def survival_at_risk(spark, folder):
     UNION ALL SELECT 0, 1.0""",
 )
 def km_curve(spark, folder):
-    return rounded(survival.km_curve(t.customers(spark, folder)), 6)
+    return rounded(survival.km_curve(t.stored_customers(spark, folder)), 6)
 
 
 @query("km_median", f"WITH {TX_CLV} SELECT CAST(m AS DOUBLE) AS median_lifetime_days FROM median")
 def km_median(spark, folder):
-    return survival.km_median(t.customers(spark, folder))
+    return survival.km_median(t.stored_customers(spark, folder))
 
 
 @query("clv_per_customer", f"WITH {TX_CLV} SELECT * FROM clv")
@@ -336,7 +336,7 @@ def clv_per_customer(spark, folder):
     FROM clv JOIN feats USING (customer_id) GROUP BY 1""",
 )
 def conditional_select(spark, folder):
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     churned = customers.select("customer_id", "is_churned")
     return (
         survival.clv_per_customer(customers)
@@ -357,7 +357,7 @@ def conditional_select(spark, folder):
     CAST((SELECT m FROM median) AS DOUBLE) AS median_lifetime_days FROM clv""",
 )
 def clv_summary(spark, folder):
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     return rounded(survival.clv_summary(customers, survival.clv_per_customer(customers)), 2)
 
 
@@ -396,12 +396,12 @@ segmented AS (
     f"WITH {t.TX_CUSTOMERS} SELECT customer_id, round(churn_probability, 6) AS churn_probability FROM scored",
 )
 def recency_proxy(spark, folder):
-    return rounded(segments.recency_proxy(t.customers(spark, folder)), 6)
+    return rounded(segments.recency_proxy(t.stored_customers(spark, folder)), 6)
 
 
 @query("segment_customers", f"WITH {t.TX_CUSTOMERS}, {segments_sql('scored')} SELECT * FROM segmented")
 def segment_customers(spark, folder):
-    return segments.segment_customers(t.customers(spark, folder))
+    return segments.segment_customers(t.stored_customers(spark, folder))
 
 
 @query(
@@ -410,7 +410,7 @@ def segment_customers(spark, folder):
     round(count(*) * 1.0 / (SELECT count(*) FROM segmented), 6) AS share FROM segmented GROUP BY 1""",
 )
 def segment_distribution(spark, folder):
-    return rounded(segments.segment_distribution(segments.segment_customers(t.customers(spark, folder))), 6)
+    return rounded(segments.segment_distribution(segments.segment_customers(t.stored_customers(spark, folder))), 6)
 
 
 @query(
@@ -420,7 +420,7 @@ def segment_distribution(spark, folder):
 )
 def join_left_scores(spark, folder):
     """Scores that cover active customers only; the others get one half."""
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     known = segments.with_scores(customers).where("NOT is_churned")
     scored = segments.with_scores(customers, known).select("customer_id", "churn_probability")
     return rounded(scored, 6)
@@ -438,7 +438,7 @@ def _export(df):
 
 
 def _scores(spark, folder):
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     return segments.recency_proxy(customers), customers
 
 

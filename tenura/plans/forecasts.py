@@ -6,6 +6,7 @@ from tenura.operators import forecast as fc
 from tenura.plans import tables as t
 from tenura.plans.analytics import TX_MONTHS
 from tenura.plans.registry import labelled, query, rounded
+from tenura.session import store
 
 SERIES = TX_MONTHS + """,
 series AS (
@@ -164,7 +165,7 @@ def forecast_summary(spark, folder):
     UNION ALL SELECT series_key, month, 'forecast', round(value, 2), round(lower, 2), round(upper, 2), 'holt' FROM holt_forecast""",
 )
 def union_history_forecast(spark, folder):
-    series = _series(spark, folder)
+    series = store(_series(spark, folder))
     return rounded(fc.history_and_forecast(series, fc.forecast_holt(series)), 2)
 
 

@@ -7,6 +7,7 @@ from tenura.operators import date_formats as dates
 from tenura.operators import quality, schema
 from tenura.plans import tables as t
 from tenura.plans.registry import NUDGE, query, rounded, sql_text
+from tenura.session import shared_dir
 from tenura.sources import csv_files
 
 _RAW_NAMED = (
@@ -31,13 +32,11 @@ def scan_null_tokens(spark, folder):
     f"WITH {t.NULLED} SELECT cust_id, amount, product || ' café' AS product FROM nulled",
 )
 def scan_encoding_fallback(spark, folder):
-    path = csv_files_latin1(spark, folder)
+    path = _latin1_csv(spark, folder)
     return csv_files.scan_csv(spark, path).select("cust_id", "amount", "product")
 
 
-def csv_files_latin1(spark, folder) -> str:
-    from tenura.session import shared_dir
-
+def _latin1_csv(spark, folder) -> str:
     path = shared_dir(spark)
     accented = schema.normalise_headers(t.raw(spark, folder)).withColumn(
         "product", F.concat("product", F.lit(" café"))

@@ -9,6 +9,7 @@ from tenura.operators import explain, model, scoring
 from tenura.plans import tables as t
 from tenura.plans.customers import SPLIT
 from tenura.plans.registry import query, rounded
+from tenura.session import store
 
 # --- Evaluation of a score that SQL can compute too: short tenure as risk -----------------------
 
@@ -21,7 +22,7 @@ TX_SCORED = t.TX_CUSTOMERS + "," + SCORED
 
 
 def _scored(spark, folder):
-    customers = t.customers(spark, folder)
+    customers = t.stored_customers(spark, folder)
     longest = customers.agg(F.max("tenure_days")).scalar()
     return customers.select(
         "customer_id",
@@ -104,7 +105,7 @@ def classification_metrics(spark, folder):
 
 
 def _split(spark, folder):
-    matrix = cust.feature_matrix(t.customers(spark, folder))
+    matrix = cust.feature_matrix(t.stored_customers(spark, folder))
     return cust.temporal_split(matrix)
 
 
@@ -137,7 +138,7 @@ def standard_scale(spark, folder):
 @cache
 def _trained(app_id: str, folder: str, spark):
     """One training run per session and folder, shared by the queries below."""
-    split = _split(spark, folder).persist()
+    split = store(_split(spark, folder))
     return model.train_model(split.where("split = 'train'")), split
 
 

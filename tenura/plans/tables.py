@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tenura.operators import customers as cust
 from tenura.operators.schema import canonical_schema
 from tenura.operators.date_formats import parse_dates
-from tenura.session import ensure_utc, shared_dir
+from tenura.session import ensure_utc, shared_dir, store
 from tenura.sources import events_as_transactions, nullify_tokens, orders_as_transactions
 
 # --- Clean transactions: one per order ------------------------------------------------
@@ -25,9 +25,15 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """For results that read the customer table once."""
     return cust.customer_table(tx(spark, folder))
 
 
+def stored_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """For results that read it several times."""
+    return store(customers(spark, folder))
+
+
 TX = """
 tx AS (
   SELECT CAST(o_custkey AS VARCHAR) AS customer_id, o_orderdate AS transaction_date,

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_utc(spark: SparkSession) -> None:
@@ -24,3 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tenura-")
     return f"{root.rstrip('/')}/tenura-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder once and continue from the copy.
+
+    For results that several later steps read: they scan the copy instead of
+    repeating the work, lost executors cost a re-read, and the optimizer
+    knows the size.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

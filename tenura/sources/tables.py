@@ -17,33 +17,25 @@ def orders_as_transactions(
     """One transaction per order.
 
     ``dimensions=True`` adds ``product`` and ``country`` of the customer. The
-    customer table grows with the data, so its join is left to the optimizer;
-    nations are joined to customers first.
+    customer table grows with the data, so how to join it is left to the
+    optimizer, which splits customers with very many orders at run time.
     """
-    orders = _read(spark, folder, "orders")
-    tx = orders.select(
+    rows = _read(spark, folder, "orders")
+    added = []
+    if dimensions:
+        customers = _read(spark, folder, "customer").join(
+            _read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        )
+        rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        added = [F.col("c_mktsegment").alias("product"), F.col("n_name").alias("country")]
+    return rows.select(
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("o_orderdate").alias("transaction_date"),
         F.col("o_totalprice").alias("transaction_amount"),
         F.col("o_orderkey").cast("string").alias("subscription_id"),
         F.col("o_orderstatus").alias("subscription_status"),
+        *added,
     )
-    if not dimensions:
-        return tx
-    customers = (
-        _read(spark, folder, "customer")
-        .join(
-            _read(spark, folder, "nation"),
-            F.col("c_nationkey") == F.col("n_nationkey"),
-            "left",
-        )
-        .select(
-            F.col("c_custkey").cast("string").alias("customer_id"),
-            F.col("c_mktsegment").alias("product"),
-            F.col("n_name").alias("country"),
-        )
-    )
-    return tx.join(customers, "customer_id", "left")
 
 
 def events_as_transactions(spark: SparkSession, folder: str) -> DataFrame:

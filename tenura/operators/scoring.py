@@ -108,6 +108,15 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFra
     )
 
 
+def evaluate(scored: DataFrame, n_train: int) -> DataFrame:
+    """One row ``(precision, recall, f1, n_test, auc, n_train)``."""
+    return (
+        classification_metrics(scored)
+        .withColumn("auc", auc_exact(scored).scalar())
+        .withColumn("n_train", F.lit(n_train).cast("long"))
+    )
+
+
 def class_weights(matrix: DataFrame, label: str = "is_churned") -> DataFrame:
     """Balanced weights ``(label, n, weight)``: rows / (2 · rows of the class)."""
     total = matrix.agg(F.count("*").alias("n")).scalar()

@@ -164,21 +164,17 @@ def score_ensemble(spark, folder):
     return fitted.score(split).select("customer_id", "churn_probability")
 
 
+def evaluation(fitted, split):
+    """Metrics on the test customers."""
+    scored = store(fitted.scored(split.where("split = 'test'")))
+    return scoring.evaluate(scored, fitted.n_train)
+
+
 @query("model_metrics")
 def model_metrics(spark, folder):
     return evaluation(*trained(spark, folder))
 
 
-def evaluation(fitted, split):
-    """One row ``(auc, precision, recall, f1, n_test, n_train)`` on the test customers."""
-    scored = fitted.scored(split.where("split = 'test'"))
-    return (
-        scoring.classification_metrics(scored)
-        .withColumn("auc", scoring.auc_exact(scored).scalar())
-        .withColumn("n_train", F.lit(fitted.n_train).cast("long"))
-    )
-
-
 @query(
     "sample_cap",
     f"WITH {t.TX_CUSTOMERS} SELECT CAST(least(count(*), 1000) AS BIGINT) AS sampled FROM feats",

@@ -32,7 +32,7 @@ def sample_rows(matrix: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
 def forest_nodes(model: ChurnModel, spark) -> DataFrame:
     """The forest as a table, one row per node, written by Spark's own model writer."""
     if model is None or model.forest is None:
-        raise ModelError("the model is not trained")
+        raise ModelError("train the model before explaining it")
     path = shared_dir(spark)
     model.forest.write().save(path)
     data = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
@@ -54,25 +54,30 @@ def forest_leaves(nodes: DataFrame, n_features: int) -> DataFrame:
     (lower, upper] that reaches it and the product of cover ratios."""
 
     def walk(tree: pd.DataFrame) -> pd.DataFrame:
-        rows = tree.set_index("id").to_dict("index")
+        tree = tree.sort_values("id")
+        left, right, feature, threshold, cover, churned = (
+            tree[c].to_numpy() for c in ("left", "right", "feature", "threshold", "cover", "churned")
+        )
+        at = {node: i for i, node in enumerate(tree["id"])}
         root = (np.full(n_features, -np.inf), np.full(n_features, np.inf), np.ones(n_features))
         stack, leaves = [(0, *root)], []
         while stack:
-            node, lower, upper, ratio = stack.pop()
-            here = rows[node]
-            if here["left"] < 0:
-                leaves.append((here["tree"], here["churned"] / here["cover"], lower, upper, ratio))
+            i, lower, upper, ratio = stack.pop()
+            if left[i] < 0:
+                leaves.append((churned[i] / cover[i], lower, upper, ratio))
                 continue
-            f, cut = here["feature"], here["threshold"]
-            for child, is_left in ((here["left"], True), (here["right"], False)):
+            f, cut = feature[i], threshold[i]
+            for child, below in ((at[left[i]], True), (at[right[i]], False)):
                 lo, up, z = lower.copy(), upper.copy(), ratio.copy()
-                z[f] *= rows[child]["cover"] / here["cover"]
-                if is_left:
+                z[f] *= cover[child] / cover[i]
+                if below:
                     up[f] = min(up[f], cut)
                 else:
                     lo[f] = max(lo[f], cut)
                 stack.append((child, lo, up, z))
-        return pd.DataFrame(leaves, columns=["tree", "value", "lower", "upper", "ratio"])
+        found = pd.DataFrame(leaves, columns=["value", "lower", "upper", "ratio"])
+        found.insert(0, "tree", tree["tree"].iloc[0])
+        return found
 
     return nodes.groupBy("tree").applyInPandas(walk, LEAF_SCHEMA)
 

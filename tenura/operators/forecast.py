@@ -19,30 +19,29 @@ from tenura.fixed_values import (
     Z80,
 )
 from tenura.functions.dates import month_label
-from tenura.operators.kpis import customer_months, monthly_totals
+from tenura.operators.kpis import kpi_by_dimension, monthly_totals
 
 FIT_SCHEMA = "series_key string, step int, point double, spread double, n_months int, last_month date"
 METHODS = ("holt_winters", "holt", "seasonal_regression")
 
 
-def series_input(tx: DataFrame, dimension: str | None = None) -> DataFrame:
-    """Revenue and active customers per month as a long table of series.
-
-    With a dimension there is one pair of series per value of it.
-    """
+def as_series(monthly: DataFrame, dimension: str | None = None) -> DataFrame:
+    """Revenue and active customers of a monthly table as a long table of series."""
     if dimension is None:
-        totals = monthly_totals(tx)
         key = lambda metric: F.lit(metric)
     else:
-        totals = customer_months(tx, dimension).groupBy("month", dimension).agg(
-            F.sum("revenue").alias("revenue"), F.count("customer_id").alias("active")
-        )
         key = lambda metric: F.concat(F.lit(f"{metric}|"), F.coalesce(dimension, F.lit("")))
     pair = F.array(
         F.struct(key("revenue").alias("series_key"), F.col("revenue").alias("value")),
         F.struct(key("subscribers").alias("series_key"), F.col("active").cast("double").alias("value")),
     )
-    return totals.select("month", F.inline(pair)).select("series_key", "month", "value")
+    return monthly.select("month", F.inline(pair)).select("series_key", "month", "value")
+
+
+def series_input(tx: DataFrame, dimension: str | None = None) -> DataFrame:
+    """The series to forecast; with a dimension, one pair per value of it."""
+    monthly = monthly_totals(tx) if dimension is None else kpi_by_dimension(tx, dimension)
+    return as_series(monthly, dimension)
 
 
 def history_status(series: DataFrame) -> DataFrame:

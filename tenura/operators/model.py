@@ -16,33 +16,44 @@ from pyspark.sql import functions as F
 from tenura.errors import ModelError
 from tenura.fixed_values import FEATURES
 from tenura.operators.schema import assert_no_leakage
-from tenura.operators.scoring import class_weights
 from tenura.session import store
 
+ROWS_PER_TASK = 50_000
 
-def scale_statistics(matrix: DataFrame, features=FEATURES) -> DataFrame:
-    """``(feature, mean, scale)`` of the training rows.
+
+def training_statistics(matrix: DataFrame, features=FEATURES) -> DataFrame:
+    """One row from one pass: rows, churned rows, mean and scale of every feature.
 
     Scale is the population standard deviation, 1 for a constant feature.
     """
-    one = matrix.agg(
-        *[F.avg(c).alias(f"{c}|mean") for c in features],
-        *[F.stddev_pop(c).alias(f"{c}|std") for c in features],
+    scale = lambda c: F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0))
+    return matrix.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("is_churned") == 1).alias("churned"),
+        *[F.struct(F.avg(c).alias("mean"), scale(c).alias("scale")).alias(c) for c in features],
     )
-    std = lambda c: F.coalesce(F.nullif(F.col(f"`{c}|std`"), F.lit(0.0)), F.lit(1.0))
-    return one.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("feature"),
-                        F.col(f"`{c}|mean`").alias("mean"),
-                        std(c).alias("scale"),
-                    )
-                    for c in features
-                ]
-            )
-        )
+
+
+def scale_statistics(matrix: DataFrame, features=FEATURES) -> DataFrame:
+    """``(feature, mean, scale)`` of the training rows."""
+    entry = lambda c: F.struct(
+        F.lit(c).alias("feature"), F.col(f"{c}.mean").alias("mean"), F.col(f"{c}.scale").alias("scale")
+    )
+    return training_statistics(matrix, features).select(
+        F.inline(F.array(*[entry(c) for c in features]))
+    )
+
+
+def class_weights(matrix: DataFrame) -> DataFrame:
+    """Balanced weights ``(label, n, weight)``: rows / (2 x rows of the class)."""
+    n, churned = F.col("n"), F.col("churned")
+    entry = lambda label, size: F.struct(
+        F.lit(label).alias("label"), size.alias("n"), F.try_divide(n, size * 2).alias("weight")
+    )
+    return (
+        training_statistics(matrix, ())
+        .select(F.inline(F.array(entry(0, n - churned), entry(1, churned))))
+        .where("n > 0")
     )
 
 
@@ -143,26 +154,28 @@ def train_model(
     """Fit both models on a feature matrix with a 0/1 ``is_churned``.
 
     The training rows are stored first: the iterations that follow read a
-    table with a short lineage. The driver sees two class counts and two
-    numbers per feature.
+    table with a short lineage. The driver sees two counts and two numbers
+    per feature.
     """
     assert_no_leakage(train.select("customer_id", *features))
     train = store(train.select("is_churned", *features))
-    classes = {r["label"]: r for r in class_weights(train).collect()}
-    if len(classes) < 2:
+    found = training_statistics(train, features).first()
+    n_train, churned = found["n"], found["churned"]
+    if churned in (0, n_train):
         raise ModelError("training data has only one class; churned and active customers are needed")
-    n_train = sum(r["n"] for r in classes.values())
-    scaling = {
-        r["feature"]: (r["mean"], r["scale"]) for r in scale_statistics(train, features).collect()
-    }
-    weight = F.when(F.col("is_churned") == 1, classes[1]["weight"]).otherwise(classes[0]["weight"])
+    scaling = {c: (found[c]["mean"], found[c]["scale"]) for c in features}
+    weight = F.when(F.col("is_churned") == 1, n_train / (2 * churned)).otherwise(
+        n_train / (2 * (n_train - churned))
+    )
     scaled = [((F.col(c) - m) / s).alias(f"_z_{c}") for c, (m, s) in scaling.items()]
     prepared = train.select("is_churned", *features, *scaled, weight.alias("weight"))
     prepared = _assemble(prepared, [f"_z_{c}" for c in features], "_scaled")
     prepared = _assemble(prepared, features, "_raw").select("is_churned", "weight", "_scaled", "_raw")
     prepared = prepared.persist()
     try:
-        logistic = train_lr(prepared, n_train=n_train, max_iter=max_iter)
+        # many short iterations: no more tasks than the rows are worth
+        few = prepared.coalesce(n_train // ROWS_PER_TASK + 1)
+        logistic = train_lr(few, n_train=n_train, max_iter=max_iter)
         forest = train_rf(prepared, trees=trees, depth=depth, seed=seed)
     finally:
         prepared.unpersist()

@@ -19,9 +19,17 @@ def outcomes_by_score(scored: DataFrame) -> DataFrame:
     )
 
 
-def auc_exact(scored: DataFrame, **options) -> DataFrame:
-    """One row ``(auc)``: chance that a positive outscores a negative, ties count half."""
-    by_score = store(outcomes_by_score(scored))
+def stored_outcomes(scored: DataFrame) -> DataFrame:
+    """Outcomes by score, stored for the passes that AUC and ROC make over them."""
+    return store(outcomes_by_score(scored))
+
+
+def auc_exact(scored: DataFrame, outcomes: DataFrame | None = None, **options) -> DataFrame:
+    """One row ``(auc)``: chance that a positive outscores a negative, ties count half.
+
+    ``outcomes`` passes a result of :func:`stored_outcomes`.
+    """
+    by_score = stored_outcomes(scored) if outcomes is None else outcomes
     ranked = running_totals(by_score, "score", {"below": "negatives"}, **options)
     wins = F.sum(
         F.col("positives") * (F.col("below") - F.col("negatives") + F.col("negatives") / 2.0)
@@ -30,12 +38,18 @@ def auc_exact(scored: DataFrame, **options) -> DataFrame:
     return ranked.agg(F.try_divide(wins, pairs).alias("auc"))
 
 
-def roc_points(scored: DataFrame, *, drop_intermediate: bool = False, **options) -> DataFrame:
+def roc_points(
+    scored: DataFrame,
+    outcomes: DataFrame | None = None,
+    *,
+    drop_intermediate: bool = False,
+    **options,
+) -> DataFrame:
     """``(threshold, fpr, tpr)`` from the origin (threshold NULL) down the distinct scores.
 
     ``drop_intermediate`` drops points between two equal steps.
     """
-    by_score = store(outcomes_by_score(scored))
+    by_score = stored_outcomes(scored) if outcomes is None else outcomes
     totals = by_score.agg(
         F.struct(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     )
@@ -108,20 +122,10 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFra
     )
 
 
-def evaluate(scored: DataFrame, n_train: int) -> DataFrame:
+def evaluate(scored: DataFrame, n_train: int, outcomes: DataFrame | None = None) -> DataFrame:
     """One row ``(precision, recall, f1, n_test, auc, n_train)``."""
     return (
         classification_metrics(scored)
-        .withColumn("auc", auc_exact(scored).scalar())
+        .withColumn("auc", auc_exact(scored, outcomes).scalar())
         .withColumn("n_train", F.lit(n_train).cast("long"))
     )
-
-
-def class_weights(matrix: DataFrame, label: str = "is_churned") -> DataFrame:
-    """Balanced weights ``(label, n, weight)``: rows / (2 · rows of the class)."""
-    total = matrix.agg(F.count("*").alias("n")).scalar()
-    return (
-        matrix.groupBy(F.col(label).alias("label"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("weight", total / (F.col("n") * 2))
-    )

@@ -48,10 +48,13 @@ _CHANGE = "CASE WHEN {before} > 0 THEN (recent_avg - {before}) / {before} ELSE 0
 _ARPU = "format('{:.2f}', arpu)"
 
 
-def _facts(spark, folder, customers=None, **options):
+def _facts(spark, folder, customers=None, *, with_forecast=False, **options):
     tx = t.tx(spark, folder)
     customers = t.stored_customers(spark, folder) if customers is None else customers
     monthly = store(kpis.monthly_kpis(tx))
+    if with_forecast:
+        series = fc.as_series(monthly)
+        options["forecast"] = b.forecast_facts(series, fc.forecast_holt(series))
     return b.briefing_facts(
         snapshot=kpis.kpi_snapshot(tx, monthly),
         trend=kpis.revenue_trend(monthly),
@@ -69,11 +72,6 @@ def _top_clv(customers):
     return survival.clv_quantile(survival.clv_per_customer(customers))
 
 
-def _forecast(spark, folder):
-    series = store(fc.series_input(t.tx(spark, folder)))
-    return b.forecast_facts(series, fc.forecast_holt(series))
-
-
 # --- Sections ----------------------------------------------------------------------------------------
 
 
@@ -165,7 +163,7 @@ def _outlook_forecast_sql() -> str:
     f"WITH RECURSIVE {HOLT_FACTS} SELECT {_outlook_forecast_sql()} AS revenue_outlook FROM facts, ahead",
 )
 def brief_revenue_forecast(spark, folder):
-    facts = _facts(spark, folder, forecast=_forecast(spark, folder))
+    facts = _facts(spark, folder, with_forecast=True)
     return facts.select(b.revenue_outlook(True).alias("revenue_outlook"))
 
 
@@ -237,7 +235,7 @@ def brief_recommendations_full(spark, folder):
         customers,
         segments=_segments(customers),
         top_clv=_top_clv(customers),
-        forecast=_forecast(spark, folder),
+        with_forecast=True,
     )
     return facts.select(b.recommendations(True, True, True).alias("recommendations"))
 
@@ -287,7 +285,7 @@ def brief_report(spark, folder):
         customers,
         segments=_segments(customers, scores),
         top_clv=_top_clv(customers),
-        forecast=_forecast(spark, folder),
+        with_forecast=True,
         importance=b.top_two_features(modelling.importance(spark, folder)),
         metrics=modelling.evaluation(fitted, split),
     )

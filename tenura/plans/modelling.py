@@ -116,7 +116,7 @@ def _split(spark, folder):
     FROM split WHERE split = 'train' GROUP BY 1""",
 )
 def class_weights(spark, folder):
-    return rounded(scoring.class_weights(_split(spark, folder).where("split = 'train'")), 6)
+    return rounded(model.class_weights(_split(spark, folder).where("split = 'train'")), 6)
 
 
 _FEATURES = ("recency_days", "frequency", "monetary_total", "aov", "tenure_days", "tx_per_month", "gap_std_days")

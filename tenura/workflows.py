@@ -107,14 +107,15 @@ def study(
     scored = store(model.score(split))
     test = scored.where("split = 'test'")
     judged = test.select("customer_id", F.col("is_churned").alias("label"), "churn_probability")
+    outcomes = scoring.stored_outcomes(judged)
     predictions = scored.select("customer_id", "churn_probability")
     shap = explain.shap_values(model, split.where("split = 'test'"), max_samples=max_explained)
     return Study(
         customers=customers,
         split=split,
         model=model,
-        metrics=scoring.evaluate(judged, model.n_train),
-        roc=scoring.roc_points(judged),
+        metrics=scoring.evaluate(judged, model.n_train, outcomes),
+        roc=scoring.roc_points(judged, outcomes),
         importance=store(explain.shap_importance(shap, model.features)),
         predictions=predictions,
         clv=survival.clv_per_customer(customers),

@@ -249,7 +249,8 @@ def regression_forecast(y: np.ndarray, months: np.ndarray, horizon: int):
     """Ridge regression on a trend with changepoints and yearly waves.
 
     Changepoints lie in the first four fifths; their slope changes are held
-    close to 0 (prior scale 0.05), the waves loosely (prior scale 10).
+    close to 0 (prior scale 0.05), the waves loosely (prior scale 10). Less
+    than a year cannot tell waves from trend and gets none.
     """
     n = len(y)
     scale = np.abs(y).max() or 1.0
@@ -260,7 +261,8 @@ def regression_forecast(y: np.ndarray, months: np.ndarray, horizon: int):
     bends = t[np.linspace(0, int(np.floor(n * 0.8)) - 1, count + 1).round().astype(int)[1:]]
     columns = [np.ones_like(t), t]
     columns += [np.maximum(t - c, 0) for c in bends]
-    columns += [f(k * angle) for k in range(1, SEASON_MONTHS // 2) for f in (np.sin, np.cos)]
+    if n >= SEASON_MONTHS:
+        columns += [f(k * angle) for k in range(1, SEASON_MONTHS // 2) for f in (np.sin, np.cos)]
     design = np.column_stack(columns)
     prior = np.concatenate([[5, 5], np.full(len(bends), 0.05), np.full(design.shape[1] - 2 - len(bends), 10)])
     x, target = design[:n], y / scale

@@ -79,7 +79,9 @@ def forest_leaves(nodes: DataFrame, n_features: int) -> DataFrame:
         found.insert(0, "tree", tree["tree"].iloc[0])
         return found
 
-    return nodes.groupBy("tree").applyInPandas(walk, LEAF_SCHEMA)
+    # small data that would otherwise land in one task, tree after tree
+    spread = nodes.repartition(nodes.sparkSession.sparkContext.defaultParallelism, "tree")
+    return spread.groupBy("tree").applyInPandas(walk, LEAF_SCHEMA)
 
 
 def _contributions(x, value, lower, upper, ratio, nodes, weights) -> np.ndarray:

@@ -10,12 +10,12 @@ from tenura.plans import tables as t
 from tenura.plans.registry import NUDGE, query, rounded
 
 FEATURES = f"""recency_days, frequency, round(monetary_total, 2) AS monetary_total, round(aov + {NUDGE}, 4) AS aov,
-tenure_days, round(tx_per_month, 4) AS tx_per_month, round(gap_std_days, 4) AS gap_std_days"""
+tenure_days, round(tx_per_month + {NUDGE}, 4) AS tx_per_month, round(gap_std_days, 4) AS gap_std_days"""
 
 
 def _money(df):
     """Four digits, two for sums of money."""
-    ratios = ("aov",) if "aov" in df.columns else ()
+    ratios = tuple(c for c in ("aov", "tx_per_month") if c in df.columns)
     return rounded(df.withColumn("monetary_total", F.round("monetary_total", 2)), ratios=ratios)
 
 
@@ -143,7 +143,7 @@ def churn_summary(spark, folder):
 
 MATRIX = f"""CAST(recency_days AS DOUBLE) AS recency_days, CAST(frequency AS DOUBLE) AS frequency,
 round(monetary_total, 2) AS monetary_total, round(aov + {NUDGE}, 4) AS aov, CAST(tenure_days AS DOUBLE) AS tenure_days,
-round(tx_per_month, 4) AS tx_per_month, round(gap_std_days, 4) AS gap_std_days,
+round(tx_per_month + {NUDGE}, 4) AS tx_per_month, round(gap_std_days, 4) AS gap_std_days,
 CAST(is_churned AS INTEGER) AS is_churned, first_tx_date"""
 
 

@@ -116,11 +116,11 @@ def coerce_types(spark, folder):
     "feature_projection",
     f"""WITH {t.TX_CUSTOMERS} SELECT customer_id, recency_days, frequency,
     round(monetary_total, 2) AS monetary_total, round(aov + {NUDGE}, 4) AS aov, tenure_days,
-    round(tx_per_month, 4) AS tx_per_month, round(gap_std_days, 4) AS gap_std_days FROM feats""",
+    round(tx_per_month + {NUDGE}, 4) AS tx_per_month, round(gap_std_days, 4) AS gap_std_days FROM feats""",
 )
 def feature_projection(spark, folder):
     features = schema.feature_projection(t.customers(spark, folder))
-    return rounded(features.withColumn("monetary_total", F.round("monetary_total", 2)), ratios=("aov",))
+    return rounded(features.withColumn("monetary_total", F.round("monetary_total", 2)), ratios=("aov", "tx_per_month"))
 
 
 _PROFILED = {

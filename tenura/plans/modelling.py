@@ -186,7 +186,8 @@ def sample_cap(spark, folder):
 
 def _shap(spark, folder):
     fitted, split = trained(spark, folder)
-    return explain.shap_values(fitted, split.where("split = 'test'")), fitted.features
+    test = split.where("split = 'test'")
+    return explain.shap_values(fitted, test, max_samples=None), fitted.features
 
 
 @query("shap_values")

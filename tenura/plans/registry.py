@@ -23,9 +23,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Sums of money divided by a count often lie exactly between two rounded
-# values, where summation order alone would decide. Both engines add this to
-# such ratios before rounding.
+# Ratios of money or counts often lie exactly between two rounded values, where
+# the order of the arithmetic alone would decide. Both engines add this to such
+# ratios before rounding.
 NUDGE = 1e-7
 
 

@@ -11,6 +11,7 @@ from tenura.operators import date_formats, explain, quality, schema, scoring, se
 from tenura.operators.model import ChurnModel, train_model
 from tenura.session import ensure_utc, store
 from tenura.sources import require_rows, scan_csv
+from tenura.sources.csv_files import has_invalid_utf8
 
 
 @dataclass
@@ -38,16 +39,17 @@ def ingest(
 ) -> Ingested:
     """Read, normalise, parse, check and deduplicate CSV files.
 
-    The text is parsed once and stored; every check reads the stored copy.
+    The text is read once and stored as it is; the look for undecodable bytes
+    and every check read the stored copy.
     With ``allow_ambiguous=False`` a file whose days and months cannot be told
     apart is refused until ``date_format`` is given. ``strict`` refuses files
     with blocking quality findings.
     """
     ensure_utc(spark)
-    raw = scan_csv(spark, path, ordinal="_ordinal", **scan)
-    named = raw.columns
-    text = store(schema.canonical_schema(raw))
-    require_rows(text)
+    raw = _stored_text(spark, path, **scan)
+    require_rows(raw)
+    cells = raw.drop("_ordinal")
+    text = schema.canonical_schema(raw)
     ambiguous = False
     if date_format is None:
         found = date_formats.detect_format(text)
@@ -58,11 +60,10 @@ def ingest(
     parsed = date_formats.parse_dates(text, date_format)
     report = quality.check_quality(parsed, as_of, strict=strict)
     clean = store(quality.dedup_transactions(parsed, "_ordinal").drop("_ordinal"))
-    headers = [c.strip().lower().replace(" ", "_") for c in named if c != "_ordinal"]
     return Ingested(
         transactions=clean,
-        columns=schema.schema_report(spark, headers),
-        formula_cells=schema.formula_cells(text.drop("_ordinal")),
+        columns=schema.schema_report(spark, cells.columns),
+        formula_cells=schema.formula_cells(cells),
         date_format=date_format,
         ambiguous=ambiguous,
         parse_failures=failures,
@@ -70,6 +71,19 @@ def ingest(
     )
 
 
+def _stored_text(spark: SparkSession, path, encoding: str | None = None, **scan) -> DataFrame:
+    """The files as strings with normalised headers and an ordinal."""
+
+    def read(encoding):
+        df = scan_csv(spark, path, encoding=encoding, ordinal="_ordinal", **scan)
+        return store(schema.normalise_headers(df))
+
+    text = read(encoding or "UTF-8")
+    if encoding is None and has_invalid_utf8(text.drop("_ordinal")):
+        text = read("ISO-8859-1")
+    return text
+
+
 @dataclass
 class Study:
     """Trained model and the tables that follow from it."""

@@ -161,6 +161,14 @@ def test_ingest_workflow(spark, tmp_path):
     assert done.transactions.count() == 3
     found = {r["check"]: r["affected_count"] for r in done.quality.collect()}
     assert found == {"null_amount": 1, "negative_amount": 1, "duplicates": 1}
+    assert [(r["column"], r["cells"]) for r in done.formula_cells.collect()] == [("amount", 2)]
+    sources = {r["column"]: r["source"] for r in done.columns.collect() if r["source"]}
+    assert sources == {"customer_id": "user_id", "transaction_date": "date", "transaction_amount": "amount"}
+
+
+def test_ingest_of_latin1(spark, tmp_path):
+    path = write(tmp_path, "user_id,date,amount,product\nc1,2024-01-25,10,café\n", encoding="latin-1")
+    assert workflows.ingest(spark, path).transactions.first()["product"] == "café"
 
 
 def test_ingest_asks_about_ambiguous_dates(spark, tmp_path):

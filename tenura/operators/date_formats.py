@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.errors import DateFormatError
-from tenura.fixed_values import DATE_FORMATS
+from tenura.fixed_values import DATE_FORMATS, MIXED_FORMAT, MIXED_PATTERNS
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,9 @@ class DetectedFormat:
 
 
 def _parse(x: Column, pattern: str, shape: str | None) -> Column:
+    if pattern == MIXED_FORMAT:
+        tried = [_parse(x, p, None) for p in MIXED_PATTERNS]
+        return F.coalesce(F.when(x.rlike(r"^\s*\d{4}-"), x.try_cast("timestamp_ntz")), *tried)
     parsed = F.try_to_timestamp(x, F.lit(pattern)).cast("timestamp_ntz")
     return F.when(x.rlike(shape), parsed) if shape else parsed
 
@@ -111,9 +114,15 @@ def ambiguity(
 
 
 def detect_format(df: DataFrame, column: str = "transaction_date") -> DetectedFormat:
-    """Run the detection (one small result row reaches the driver)."""
+    """Run the detection (one small result row reaches the driver).
+
+    If no candidate parses anything, values may still be timestamps or dates in
+    words: the format is then ``mixed`` and every value is parsed by itself.
+    """
     found = ambiguity(df, column).first()
     if found is None:
+        if not df.where(_parse(F.col(column), MIXED_FORMAT, None).isNotNull()).limit(1).isEmpty():
+            return DetectedFormat(MIXED_FORMAT, "UNKNOWN", False, False)
         raise DateFormatError(f"Could not detect a date format in {column}.")
     return DetectedFormat(
         found["format"], found["label"], found["is_ambiguous"], found["first_component_le_12"]

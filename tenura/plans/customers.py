@@ -47,6 +47,16 @@ def tx_gaps_events(spark, folder):
     return cust.tx_gaps(t.events(spark, folder))
 
 
+@query(
+    "sort_tx_by_customer_date",
+    f"""WITH {t.TX} SELECT customer_id, transaction_date, transaction_amount FROM tx
+    ORDER BY customer_id, transaction_date""",
+)
+def sort_tx_by_customer_date(spark, folder):
+    tx = t.tx(spark, folder).select("customer_id", "transaction_date", "transaction_amount")
+    return tx.orderBy("customer_id", "transaction_date")
+
+
 @query("gap_std", f"WITH {t.TX_CUSTOMERS} SELECT customer_id, round(gap_std_days, 4) AS gap_std_days FROM cust")
 def gap_std(spark, folder):
     return rounded(cust.gap_std(t.tx(spark, folder)))

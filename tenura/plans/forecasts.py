@@ -180,6 +180,16 @@ def forecast_by_product(spark, folder):
     return fc.forecast(fc.series_input(t.tx_dimensions(spark, folder), "product"))
 
 
+@query("forecast_backend_dispatch")
+def forecast_backend_dispatch(spark, folder):
+    """Every method on the same series."""
+    series = store(_series(spark, folder))
+    first, *others = [fc.forecast(series, method=method) for method in fc.METHODS]
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 @query("forecast_seasonal_regression")
 def forecast_seasonal_regression(spark, folder):
     return fc.forecast(_series(spark, folder), method="seasonal_regression")

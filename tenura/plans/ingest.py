@@ -107,6 +107,16 @@ def schema_alias_map(spark, folder):
     return schema.require_columns(schema.apply_aliases(named))
 
 
+@query(
+    "schema_required",
+    f"""WITH {t.RAW} SELECT cust_id AS customer_id, order_date AS transaction_date,
+    amount AS transaction_amount FROM raw""",
+)
+def schema_required(spark, folder):
+    named = schema.apply_aliases(schema.normalise_headers(t.raw(spark, folder)))
+    return schema.require_columns(named).select(*fixed.REQUIRED_COLUMNS)
+
+
 @query("coerce_types", f"WITH {t.CANONICAL} SELECT * FROM canonical")
 def coerce_types(spark, folder):
     return t.canonical(spark, folder)
@@ -123,6 +133,17 @@ def feature_projection(spark, folder):
     return rounded(features.withColumn("monetary_total", F.round("monetary_total", 2)), ratios=("aov", "tx_per_month"))
 
 
+@query(
+    "leakage_guard",
+    f"WITH {t.TX_CUSTOMERS} SELECT CAST(count(*) AS BIGINT) AS customers, CAST(7 AS INTEGER) AS features FROM feats",
+)
+def leakage_guard(spark, folder):
+    guarded = schema.assert_no_leakage(schema.feature_projection(t.customers(spark, folder)))
+    return guarded.agg(F.count("*").alias("customers")).withColumn(
+        "features", F.lit(len(guarded.columns) - 1)
+    )
+
+
 _PROFILED = {
     "customer_id": "string",
     "transaction_date": "timestamp_ntz",
@@ -241,6 +262,24 @@ def date_parse(spark, folder):
     return dates.parse_dates(raw, detected.format).select("subscription_id", "transaction_date")
 
 
+@query(
+    "date_parse_mixed",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts)
+    WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('day', ts) END AS transaction_date FROM events""",
+)
+def date_parse_mixed(spark, folder):
+    """Event times written in three ways, none of them a plain date."""
+    k = F.col("event_id") % 3
+    written = (
+        F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .when(k == 1, F.date_format("ts", "MM/dd/yyyy HH:mm"))
+        .otherwise(F.date_format("ts", "MMMM d, yyyy"))
+    )
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    named = events.select("event_id", written.alias("transaction_date"))
+    return dates.parse_dates(named, dates.detect_format(named).format)
+
+
 @query(
     "date_parse_failures",
     f"""WITH {t.PARSED}, n AS (

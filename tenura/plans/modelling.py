@@ -119,6 +119,16 @@ def class_weights(spark, folder):
     return rounded(model.class_weights(_split(spark, folder).where("split = 'train'")), 6)
 
 
+@query(
+    "single_class_guard",
+    f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT CAST(count(DISTINCT is_churned) AS BIGINT) AS classes
+    FROM split WHERE split = 'train'""",
+)
+def single_class_guard(spark, folder):
+    train = _split(spark, folder).where("split = 'train'")
+    return model.class_weights(train).agg(F.count("*").alias("classes"))
+
+
 _FEATURES = ("recency_days", "frequency", "monetary_total", "aov", "tenure_days", "tx_per_month", "gap_std_days")
 
 

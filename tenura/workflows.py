@@ -39,8 +39,8 @@ def ingest(
 ) -> Ingested:
     """Read, normalise, parse, check and deduplicate CSV files.
 
-    The text is read once and stored as it is; the look for undecodable bytes
-    and every check read the stored copy.
+    The text is read once and stored as it is, and once more with its types:
+    what follows reads those columns only, with filters pushed down.
     With ``allow_ambiguous=False`` a file whose days and months cannot be told
     apart is refused until ``date_format`` is given. ``strict`` refuses files
     with blocking quality findings.
@@ -57,7 +57,7 @@ def ingest(
         if ambiguous and not allow_ambiguous:
             raise DateFormatError("dates fit day-first and month-first; pass date_format to confirm")
     failures = date_formats.check_parse(text, date_format)
-    parsed = date_formats.parse_dates(text, date_format)
+    parsed = store(date_formats.parse_dates(text, date_format))
     report = quality.check_quality(parsed, as_of, strict=strict)
     clean = store(quality.dedup_transactions(parsed, "_ordinal").drop("_ordinal"))
     return Ingested(

@@ -133,6 +133,14 @@ def test_forced_format(spark, fmt, month):
     assert dates.parse_dates(column(spark, "01/02/2024"), fmt).first()[0].month == month
 
 
+def test_mixed_formats(spark):
+    df = column(spark, "2024-01-15 10:30:00", "Jan 5, 2024", "25/12/2023 8:15", "12/10/2023 8:15", "nonsense")
+    found = dates.detect_format(df)
+    assert (found.format, found.label) == ("mixed", "UNKNOWN")
+    parsed = [r[0] and r[0].isoformat() for r in dates.parse_dates(df, found.format).collect()]
+    assert parsed == ["2024-01-15T10:30:00", "2024-01-05T00:00:00", "2023-12-25T08:15:00", "2023-12-10T08:15:00", None]
+
+
 def test_unparseable_dates(spark):
     with pytest.raises(DateFormatError):
         dates.detect_format(column(spark, *["junk"] * 10))

@@ -16,6 +16,11 @@ SMALL = 1_000_000
 BUCKETS = 512
 
 
+def _fits(df: DataFrame, small: int) -> bool:
+    """Whether one task may order the rows. Counting reads no columns of a stored table."""
+    return small > 0 and df.count() <= small
+
+
 def _sketch(df: DataFrame, column: str, buckets: int) -> tuple[int, list[float]]:
     """Row count and bucket boundaries, at most ``buckets`` numbers."""
     cuts = [i / buckets for i in range(1, buckets)]
@@ -51,17 +56,16 @@ def running_totals(
     ``column`` must be distinct: group equal values first, so that a value
     shared by a third of the rows is one row here.
     """
-    n, cuts = _sketch(df, column, buckets)
     order = F.desc(column) if descending else F.asc(column)
 
     def cumulative(window):
         w = window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return {new: F.sum(source).over(w) for new, source in totals.items()}
 
-    if n <= small:
+    if _fits(df, small):
         return df.withColumns(cumulative(Window.partitionBy()))
 
-    cut = _bucketed(df, column, cuts)
+    cut = _bucketed(df, column, _sketch(df, column, buckets)[1])
     before = _totals_before(cut, totals, descending)
     local = cut.withColumns(cumulative(Window.partitionBy("_bucket")))
     joined = local.join(F.broadcast(before), "_bucket")
@@ -80,13 +84,12 @@ def with_next(
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``next_<field>`` of the following row in the order of a distinct numeric column."""
-    n, cuts = _sketch(df, column, buckets)
     order = F.desc(column) if descending else F.asc(column)
-    if n <= small:
+    if _fits(df, small):
         w = Window.partitionBy().orderBy(order)
         return df.withColumns({f"next_{f}": F.lead(f).over(w) for f in fields})
 
-    cut = _bucketed(df, column, cuts)
+    cut = _bucketed(df, column, _sketch(df, column, buckets)[1])
     # The row after a bucket's last one is the first of the next bucket.
     edge = F.max_by if descending else F.min_by
     opening = cut.groupBy("_bucket").agg(edge(F.struct(*fields), column).alias("opening"))
@@ -127,13 +130,13 @@ def exact_quantile(
     ranks to interpolate between.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    n, cuts = _sketch(values, "v", buckets)
-    if n <= small:
+    if _fits(df, small):
         return values.agg(F.percentile("v", F.lit(q)).alias("quantile"))
 
-    position = q * (n - 1)
+    n, cuts = _sketch(values, "v", buckets)
+    position = q * max(n - 1, 0)
     low = int(position)
-    high = min(low + 1, n - 1)
+    high = min(low + 1, max(n - 1, 0))
     counted = _bucketed(values.groupBy("v").agg(F.count("*").alias("n")), "v", cuts)
     spans = counted.groupBy("_bucket").agg(F.sum("n").alias("size"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

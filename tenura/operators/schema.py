@@ -105,6 +105,8 @@ def formula_cells(df: DataFrame) -> DataFrame:
     One pass over the data whatever the number of columns; the data is not changed.
     """
     strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    if not strings:
+        raise SchemaError("there are no text columns to look at")
     counts = df.agg(
         *[
             F.count_if(F.substring(F.col(f"`{c}`"), 1, 1).isin(*FORMULA_PREFIXES)).alias(c)

@@ -14,6 +14,7 @@ from tenura.plans.customers import SURVIVAL, segments_sql
 from tenura.plans.forecasts import HOLT
 from tenura.plans.registry import query, sql_text
 from tenura.session import store
+from tenura.sources.tables import read_table
 
 # --- Facts in SQL -------------------------------------------------------------------------------
 
@@ -318,7 +319,7 @@ def brief_health_status(spark, folder):
     FROM (SELECT doc_id, '**' || source || '** is *' || lang || '*: ' || text AS t FROM documents)""",
 )
 def fn_strip_markdown(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = read_table(spark, folder, "documents")
     marked = F.concat(
         F.lit("**"), "source", F.lit("** is *"), "lang", F.lit("*: "), "text"
     )
@@ -331,7 +332,7 @@ def fn_strip_markdown(spark, folder):
     FROM (SELECT doc_id, '“' || source || '” – ‘' || lang || '’ — • · … ' || text AS t FROM documents)""",
 )
 def fn_latin1_safe(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = read_table(spark, folder, "documents")
     marked = F.concat(
         F.lit("“"), "source", F.lit("” – ‘"), "lang", F.lit("’ — • · … "), "text"
     )

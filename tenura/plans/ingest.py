@@ -9,6 +9,7 @@ from tenura.plans import tables as t
 from tenura.plans.registry import NUDGE, query, rounded, sql_text
 from tenura.session import shared_dir
 from tenura.sources import csv_files
+from tenura.sources.tables import read_table
 
 _RAW_NAMED = (
     'cust_id AS " Cust_ID ", order_date AS "Order Date", amount AS "Amount", '
@@ -275,7 +276,7 @@ def date_parse_mixed(spark, folder):
         .when(k == 1, F.date_format("ts", "MM/dd/yyyy HH:mm"))
         .otherwise(F.date_format("ts", "MMMM d, yyyy"))
     )
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = read_table(spark, folder, "events")
     named = events.select("event_id", written.alias("transaction_date"))
     return dates.parse_dates(named, dates.detect_format(named).format)
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from tenura.operators import customers as cust
 from tenura.operators.schema import canonical_schema
 from tenura.operators.date_formats import parse_dates
-from tenura.session import ensure_utc, shared_dir, store
+from tenura.session import shared_dir, store
 from tenura.sources import events_as_transactions, nullify_tokens, orders_as_transactions
+from tenura.sources.tables import read_table
 
 # --- Clean transactions: one per order ------------------------------------------------
 
@@ -104,11 +105,9 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
     another date format or start like a formula, and one order in a hundred
     appears twice.
     """
-    ensure_utc(spark)
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    owners = (
-        spark.read.parquet(f"{folder}/customer.parquet")
-        .join(spark.read.parquet(f"{folder}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    orders = read_table(spark, folder, "orders")
+    owners = read_table(spark, folder, "customer").join(
+        read_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     k = F.col("o_orderkey") % 100
     key = F.col("o_custkey").cast("string")

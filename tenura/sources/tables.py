@@ -6,9 +6,22 @@ from pyspark.sql import functions as F
 from tenura.session import ensure_utc
 
 
-def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+# Stated so that no job opens the files to find out.
+SCHEMAS = {
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+        "o_totalprice double, o_orderdate timestamp_ntz"
+    ),
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double",
+    "documents": "doc_id bigint, text string, lang string, source string",
+}
+
+
+def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     ensure_utc(spark)
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def orders_as_transactions(
@@ -20,11 +33,11 @@ def orders_as_transactions(
     customer table grows with the data, so how to join it is left to the
     optimizer, which splits customers with very many orders at run time.
     """
-    rows = _read(spark, folder, "orders")
+    rows = read_table(spark, folder, "orders")
     added = []
     if dimensions:
-        customers = _read(spark, folder, "customer").join(
-            _read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        customers = read_table(spark, folder, "customer").join(
+            read_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
         )
         rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
         added = [F.col("c_mktsegment").alias("product"), F.col("n_name").alias("country")]
@@ -40,7 +53,7 @@ def orders_as_transactions(
 
 def events_as_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """One transaction per event, with time of day."""
-    return _read(spark, folder, "events").select(
+    return read_table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("customer_id"),
         F.col("ts").alias("transaction_date"),
         F.col("value").alias("transaction_amount"),

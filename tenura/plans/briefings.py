@@ -341,17 +341,22 @@ def fn_latin1_safe(spark, folder):
 
 @query(
     "fn_format_kpis",
-    f"""WITH {t.TX}, {MONTHS} SELECT month_str AS month, '$' || format('{{:,.0f}}', revenue) AS revenue,
-    format('{{:,}}', active) AS active, '$' || format('{{:.2f}}', arpu) AS arpu,
-    format('{{:.1f}}%', churn_rate / 100 * 100) AS churn_rate FROM kpis""",
+    f"""WITH {t.TX} SELECT subscription_id, '$' || format('{{:,.0f}}', transaction_amount) AS dollars,
+    '$' || format('{{:.2f}}', transaction_amount / 8) AS eighth, format('{{:,}}', CAST(subscription_id AS BIGINT)) AS number,
+    format('{{:.1f}}%', transaction_amount / 1000000 * 100) AS share,
+    format('{{:.0f}}%', transaction_amount / 1000000 * 100) AS share0,
+    format('{{:.3f}}', transaction_amount / 1000000) AS ratio FROM tx""",
 )
 def fn_format_kpis(spark, folder):
-    monthly = kpis.monthly_kpis(t.tx(spark, folder))
+    """Every amount in the formats the briefing uses, on numbers both engines share exactly."""
+    amount = F.col("transaction_amount")
     dollars = lambda x: F.concat(F.lit("$"), x)
-    return monthly.select(
-        F.col("month_str").alias("month"),
-        dollars(text.number(F.col("revenue"))).alias("revenue"),
-        text.count(F.col("active")).alias("active"),
-        dollars(text.plain_number(F.col("arpu"), 2)).alias("arpu"),
-        text.percent(F.col("churn_rate") / 100, 1).alias("churn_rate"),
+    return t.tx(spark, folder).select(
+        "subscription_id",
+        dollars(text.number(amount)).alias("dollars"),
+        dollars(text.plain_number(amount / 8, 2)).alias("eighth"),
+        text.count(F.col("subscription_id")).alias("number"),
+        text.percent(amount / 1000000, 1).alias("share"),
+        text.percent(amount / 1000000).alias("share0"),
+        text.plain_number(amount / 1000000, 3).alias("ratio"),
     )

@@ -1,9 +1,16 @@
 """The operators of this package over the given tables, each next to its SQL if SQL can say it."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenura.llm import sharding, simhash
-from tenura.llm.common import table
+from tenura.llm import language, quality, sharding, simhash
+from tenura.llm.common import held_out, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 4))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +21,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs)).withColumn("held_out", held_out(F.col("doc_id"), 4))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}

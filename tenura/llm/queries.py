@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import decontaminate, language, quality, sharding, simhash
+from tenura.llm import decontaminate, language, quality, secrets, sharding, simhash
 from tenura.llm.common import held_out, table
 
 
@@ -13,6 +13,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 4))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
+    digest = F.sha2(F.concat_ws(",", "secrets").cast("binary"), 256)
+    return found.select("doc_id", "n_candidates", "n_secrets", digest.alias("secrets_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,6 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,

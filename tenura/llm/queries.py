@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import decontaminate, language, quality, secrets, sharding, simhash
+from tenura.llm import bloom_lm, decontaminate, language, quality, secrets, sharding, simhash
 from tenura.llm.common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -76,6 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
+    "op3_language_model": op3_language_model,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,

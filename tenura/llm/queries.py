@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import bloom_lm, decontaminate, language, quality, secrets, sharding, simhash
+from tenura.llm import bloom_lm, decontaminate, language, quality, secrets, sentencepiece, sharding, simhash
 from tenura.llm.common import held_out, table
 
 
@@ -35,6 +35,17 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece.read_model()
+    encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), pieces)
+    return sentencepiece.round_trips(encoded, pieces).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
+        "round_trip",
+    )
+
+
 OP5_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -81,6 +92,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_language_model": op3_language_model,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,

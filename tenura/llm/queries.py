@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import bloom_lm, decontaminate, language, quality, secrets, sentencepiece, sharding, simhash
+from tenura.llm import ann, bloom_lm, decontaminate, html_main, language, quality, secrets, sentencepiece, sharding, simhash
 from tenura.llm.common import held_out, table
 
 
@@ -79,10 +79,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extract(pages, html_main.fit(pages))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs)).withColumn("held_out", held_out(F.col("doc_id"), 4))
@@ -95,7 +104,9 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
+    "op9_html": op9_html,
     "op10_language": op10_language,
 }
 

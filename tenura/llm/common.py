@@ -44,3 +44,17 @@ def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, share: i
     hot_rows = F.broadcast(one.where(hot).limit(share))
     usual = many.join(hot_keys, key, "left_anti").join(one.where(~hot), key, "left")
     return many.join(hot_rows, key).unionByName(usual)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as make it new among the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart, also where ids are missing or repeated; equal rows share it."""
+    data = F.col(text).cast("binary")
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(data).alias("hash"), F.crc32(data).alias("crc"))

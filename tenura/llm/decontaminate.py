@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenura.llm.common import free_name, row_key
 from tenura.session import store
 
 # What separates words, and the letters that are lowered.
@@ -170,3 +171,13 @@ def contamination(
 
 def item_digest(items: Column) -> Column:
     return F.sha2(F.concat_ws(",", items).cast("binary"), 256)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a benchmark window, with all their columns."""
+    text = settings.get("text", "text")
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, row_key(settings.pop("doc_id", "doc_id"), text))
+    found = contamination(keyed, benchmark, doc_id=key, **settings)
+    hit = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(hit, key, "left_anti").drop(key)

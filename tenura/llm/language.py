@@ -4,6 +4,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,3 +185,14 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return chosen.mapInArrow(by_batch(make), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.predict(t)[2] for t in texts], dtype=bool)
+
+    return docs.where(~rejected(F.col(text)))

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import join_counted
+from tenura.llm.common import free_name, join_counted
 from tenura.session import store
 
 # What a candidate can be made of, and words that hint at or against a credential.
@@ -147,14 +147,15 @@ def labelled_by_format(features: DataFrame) -> DataFrame:
     """Labels for findings whose format settles the matter: label 1.0 or 0.0; other rows are left out.
 
     For corpora without reviewed findings. A key id of a known format, or a
-    mixed hexadecimal string that a hint word is set to, is a credential. Bare
-    numbers, and strings mostly made of dictionary words, are none.
+    mixed hexadecimal string that a hint word is set to, is a credential. Numbers
+    and signs alone, and strings mostly made of dictionary words, are none.
     """
     known = F.col("candidate").rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9A-Za-z-]{20,})$")
     hinted = (F.col("hint_here") + F.col("hint_before") > 0) & (F.col("assigned") == 1)
-    mixed = (F.col("digit_share") > 0.1) & (F.col("lower_share") + F.col("upper_share") > 0.1)
+    letters = F.col("lower_share") + F.col("upper_share")
+    mixed = (F.col("digit_share") > 0.1) & (letters > 0.1)
     positive = known | (hinted & mixed & (F.col("coverage") < 0.5))
-    negative = (F.col("digit_share") == 1) | (F.col("coverage") > 0.8)
+    negative = (letters == 0) | (F.col("coverage") > 0.8)
     label = F.when(positive, 1.0).when(negative & ~hinted, 0.0)
     return features.withColumn("label", label).where(F.col("label").isNotNull())
 
@@ -237,23 +238,17 @@ def redact(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: st
 
     Rows with the same id share their secrets; rows without an id too.
     """
+    key, found = free_name(docs, "key"), free_name(docs, "found")
+    sized = F.struct(F.char_length("candidate").alias("n"), F.col("candidate").alias("s"))
     secrets = (
         scanned.where("is_secret")
-        .groupBy(F.col("doc_id").alias("_id"))
-        # the longest first, so that no secret is cut by one that it contains
-        .agg(F.collect_set("candidate").alias("_found"))
-        .withColumn(
-            "_found",
-            F.transform(
-                F.sort_array(F.transform("_found", lambda s: F.struct(F.char_length(s).alias("n"), s.alias("s"))), False),
-                lambda x: x.s,
-            ),
-        )
+        .groupBy(F.col("doc_id").alias(key))
+        # the longest first, so that none is cut by a shorter one that it contains
+        .agg(F.sort_array(F.collect_set(sized), False).alias(found))
     )
+    nothing = F.array().cast("array<struct<n:int,s:string>>")
     clean = F.aggregate(
-        F.coalesce("_found", F.array().cast("array<string>")),
-        F.col(text),
-        lambda so_far, s: F.replace(so_far, s, F.lit(PLACEHOLDER)),
+        F.coalesce(F.col(found), nothing), F.col(text), lambda so_far, x: F.replace(so_far, x.s, F.lit(PLACEHOLDER))
     )
-    joined = docs.join(secrets, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(secrets, F.col(doc_id).eqNullSafe(F.col(key)), "left")
     return joined.withColumn(text, clean).select(*docs.columns)

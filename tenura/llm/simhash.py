@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import by_batch, join_counted
+from tenura.llm.common import by_batch, free_name, join_counted, row_key
 from tenura.llm.graph import components
 from tenura.session import store
 
@@ -128,3 +128,14 @@ def simhash_components(
     return join_counted(rows, named, "fp", "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, words: int = 3, distance: int = 3, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each component: of the smallest doc_id, and of the smallest hash among its texts."""
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    found = simhash_components(keyed, words, distance, key, text)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

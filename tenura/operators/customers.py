@@ -244,12 +244,10 @@ def feature_matrix(customers: DataFrame, features=FEATURES) -> DataFrame:
     )
 
 
-def split_cutoff(matrix: DataFrame, train_ratio: float = 0.80, **options) -> DataFrame:
+def split_cutoff(matrix: DataFrame, train_ratio: float = 0.80) -> DataFrame:
     """One row ``(cutoff_micros)``: the quantile of first dates in microseconds."""
     joined = matrix.select(timestamp_micros(F.col("first_tx_date")).alias("micros"))
-    return exact_quantile(joined, "micros", train_ratio, **options).withColumnRenamed(
-        "quantile", "cutoff_micros"
-    )
+    return exact_quantile(joined, "micros", train_ratio).withColumnRenamed("quantile", "cutoff_micros")
 
 
 def temporal_split(matrix: DataFrame, *, train_ratio: float = 0.80, check: bool = True) -> DataFrame:

@@ -33,12 +33,10 @@ def _known(fmt: str):
     return fmt, None
 
 
-def _statistics(df: DataFrame, column: str, sample_rows: int | None = None) -> DataFrame:
+def _statistics(df: DataFrame, column: str) -> DataFrame:
     """One row from one pass: values parsed per candidate (named by position)
     and the largest first and second number."""
     values = df.where(F.col(column).isNotNull()).select(F.trim(F.col(column)).alias("x"))
-    if sample_rows is not None:
-        values = values.limit(sample_rows)
     parts = F.split("x", r"[/\-.]")
     part = lambda i: F.max(F.try_element_at(parts, F.lit(i)).try_cast("int"))
     return values.agg(
@@ -66,15 +64,12 @@ def _candidates() -> Column:
     )
 
 
-def format_scores(
-    df: DataFrame, column: str = "transaction_date", *, sample_rows: int | None = None
-) -> DataFrame:
+def format_scores(df: DataFrame, column: str = "transaction_date") -> DataFrame:
     """Values each candidate parses: ``(ordinal, format, label, score)``.
 
-    All candidates are counted in one pass over the whole column;
-    ``sample_rows`` looks at that many values only.
+    All candidates are counted in one pass over the whole column.
     """
-    scores = _statistics(df, column, sample_rows).select(F.inline(_candidates()))
+    scores = _statistics(df, column).select(F.inline(_candidates()))
     return scores.select((-F.col("priority")).alias("ordinal"), "format", "label", "score")
 
 
@@ -86,9 +81,7 @@ def pick_format(scores: DataFrame) -> DataFrame:
     return scores.where("score > 0").agg(best.alias("b")).where("b IS NOT NULL").select("b.*")
 
 
-def ambiguity(
-    df: DataFrame, column: str = "transaction_date", *, sample_rows: int | None = None
-) -> DataFrame:
+def ambiguity(df: DataFrame, column: str = "transaction_date") -> DataFrame:
     """One row: the picked format and whether day and month may be swapped.
 
     ``is_ambiguous`` needs both numbers of all values to be at most 12;
@@ -98,7 +91,7 @@ def ambiguity(
     day_month = F.col("best.label").isin("US", "EU")
     low = lambda c: F.coalesce(F.col(c) <= 12, F.lit(False))
     return (
-        _statistics(df, column, sample_rows)
+        _statistics(df, column)
         .withColumn("best", F.array_max(_candidates()))
         .where("best.score > 0")
         .select(

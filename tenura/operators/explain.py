@@ -8,7 +8,9 @@ leaf's Shapley value for feature i is
 
 The integrand is a polynomial of degree (features - 1), for which
 Gauss-Legendre quadrature with half as many nodes is exact. Features off the
-path have z = o = 1 and drop out. Values of all leaves add up, averaged over
+path have z = o = 1 and drop out. A leaf's values depend on a row only through
+the pattern of features whose splits the row meets, so they are worked out once
+per pattern and looked up by row. Values of all leaves add up, averaged over
 the trees.
 """
 
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tenura.errors import ModelError
 from tenura.operators.model import ChurnModel
-from tenura.session import shared_dir
+from tenura.session import shared_dir, store
 
+MAX_LEAVES = 1_000_000
+MAX_FEATURES = 12  # a leaf has a value for each pattern of features
 LEAF_SCHEMA = "tree int, value double, lower array<double>, upper array<double>, ratio array<double>"
 
 
@@ -84,28 +88,43 @@ def forest_leaves(nodes: DataFrame, n_features: int) -> DataFrame:
     return spread.groupBy("tree").applyInPandas(walk, LEAF_SCHEMA)
 
 
-def _contributions(x, value, lower, upper, ratio, nodes, weights) -> np.ndarray:
-    """Shapley values (rows x features), summed over the given leaves."""
-    phi = np.zeros(x.shape)
-    met = (x[:, None, :] > lower) & (x[:, None, :] <= upper)
-    gain = met - ratio
-    for t, w in zip(nodes, weights):
+def _contributions(value, ratio, points, weights) -> np.ndarray:
+    """Shapley values (patterns x leaves x features) of each leaf for each pattern of features whose
+    splits a row meets; bit f of a pattern's number stands for feature f."""
+    n = ratio.shape[1]
+    met = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    gain = met[:, None, :] - ratio
+    phi = np.zeros(gain.shape)
+    for t, w in zip(points, weights):
         factor = ratio + t * gain
-        whole = factor.prod(axis=2) * (w * value)
-        phi += np.einsum("rlf,rl->rf", gain / factor, whole)
+        phi += gain / factor * (factor.prod(axis=2) * (w * value))[:, :, None]
     return phi
 
 
-def shap_values(model: ChurnModel, matrix: DataFrame, *, max_samples: int | None = 1000) -> DataFrame:
+def _met_patterns(x, lower, upper) -> np.ndarray:
+    """Per row and leaf the number of the pattern of met features."""
+    code = np.zeros((len(x), len(lower)), np.int32)
+    for f in range(x.shape[1]):
+        column = x[:, f : f + 1]
+        code |= ((column > lower[:, f]) & (column <= upper[:, f])).astype(np.int32) << f
+    return code
+
+
+def shap_values(model: ChurnModel, matrix: DataFrame, *, max_samples: int | None = None) -> DataFrame:
     """``(customer_id, base_value, rf_probability, phi)`` with one value per feature.
 
     ``base_value`` plus the values equals the forest's probability.
-    ``max_samples=None`` explains every row. Rows are spread over tasks; each
-    holds the leaves, of which there are at most trees x 2^depth.
+    Every row is explained unless ``max_samples`` asks for some. Rows are
+    spread over tasks; each holds the leaves, at most ``MAX_LEAVES``.
     """
     spark = matrix.sparkSession
     features = list(model.features)
-    leaves = forest_leaves(forest_nodes(model, spark), len(features)).toPandas()
+    if len(features) > MAX_FEATURES:
+        raise ModelError(f"at most {MAX_FEATURES} features can be explained")
+    nodes = store(forest_nodes(model, spark))
+    if nodes.where("left < 0").count() > MAX_LEAVES:
+        raise ModelError(f"the forest has more than {MAX_LEAVES:,} leaves; train fewer or shallower trees")
+    leaves = forest_leaves(nodes, len(features)).toPandas().sort_values("tree", kind="stable")
     trees = leaves["tree"].nunique()
     stack = lambda c: np.array(leaves[c].tolist(), dtype=float)
     ratio = stack("ratio")
@@ -113,20 +132,24 @@ def shap_values(model: ChurnModel, matrix: DataFrame, *, max_samples: int | None
     base = float((value * ratio.prod(axis=1)).sum())
     points, weights = np.polynomial.legendre.leggauss((len(features) + 1) // 2)
     shared = spark.sparkContext.broadcast(
-        (value, stack("lower"), stack("upper"), ratio, (points + 1) / 2, weights / 2)
+        (
+            np.flatnonzero(np.diff(leaves["tree"], append=-1)) + 1,
+            (value, stack("lower"), stack("upper"), ratio),
+            ((points + 1) / 2, weights / 2),
+        )
     )
 
     def explain(batches):
-        value, lower, upper, ratio, nodes, weights = shared.value
+        ends, forest, quadrature = shared.value
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
             phi = np.zeros(x.shape)
-            for r in range(0, len(x), 32):
-                for s in range(0, len(value), 4096):
-                    part = slice(s, s + 4096)
-                    phi[r : r + 32] += _contributions(
-                        x[r : r + 32], value[part], lower[part], upper[part], ratio[part], nodes, weights
-                    )
+            for start, end in zip([0, *ends[:-1]], ends):
+                value, lower, upper, ratio = (a[start:end] for a in forest)
+                table = _contributions(value, ratio, *quadrature)
+                at = np.arange(len(value))
+                for r in range(0, len(x), 256):
+                    phi[r : r + 256] += table[_met_patterns(x[r : r + 256], lower, upper), at].sum(axis=1)
             yield pd.DataFrame(
                 {
                     "customer_id": batch["customer_id"],

@@ -1,159 +1,113 @@
 """Exact order statistics and running totals over large columns.
 
-Both need a total order, which a single task cannot provide at scale. The
-values are cut into buckets of similar size at boundaries taken from a
-quantile sketch; buckets are ordered in parallel and joined by the totals of
-the buckets before them. The boundaries only balance the work: results are
-exact whatever they are.
+Both need a total order, which a single task cannot provide at scale. Rows are
+dealt to the shuffle partitions by range and stored with their partition's
+number; partitions are then ordered in parallel and joined by the totals of
+those before them. The ranges only balance the work: results are exact
+whatever they are.
+
+Spark's total order holds: NULL comes first in ascending and last in
+descending order, NaN is larger than infinity, and each is one value like any
+other.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows one task orders a whole column faster than two passes do.
-SMALL = 1_000_000
-BUCKETS = 512
+from tenura.session import store
 
 
-def _fits(df: DataFrame, small: int) -> bool:
-    """Whether one task may order the rows. Counting reads no columns of a stored table."""
-    return small > 0 and df.count() <= small
+def _ranged(df: DataFrame, order: Column) -> DataFrame:
+    """``df`` stored with ``_range``, which grows along the order."""
+    return store(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
 
 
-def _sketch(df: DataFrame, column: str, buckets: int) -> tuple[int, list[float]]:
-    """Row count and bucket boundaries, at most ``buckets`` numbers."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = df.agg(
-        F.count(column).alias("n"), F.percentile_approx(column, cuts, 10 * buckets).alias("cuts")
-    ).first()
-    return found["n"], sorted({float(c) for c in found["cuts"] or []})
-
-
-def _bucketed(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        return df.withColumn("_bucket", F.lit(0.0))
-    keyed = df.withColumn("_order", F.col(column).cast("double"))
-    return (
-        Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
-        .transform(keyed)
-        .drop("_order")
-    )
+def _order(column: str, descending: bool) -> Column:
+    return F.desc(column) if descending else F.asc(column)
 
 
 def running_totals(
-    df: DataFrame,
-    column: str,
-    totals: dict[str, str],
-    *,
-    descending: bool = False,
-    small: int = SMALL,
-    buckets: int = BUCKETS,
+    df: DataFrame, column: str, totals: dict[str, str], *, descending: bool = False
 ) -> DataFrame:
     """Add cumulative sums ``{new: source}`` in the order of a numeric column.
 
     ``column`` must be distinct: group equal values first, so that a value
     shared by a third of the rows is one row here.
     """
-    order = F.desc(column) if descending else F.asc(column)
-
-    def cumulative(window):
-        w = window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return {new: F.sum(source).over(w) for new, source in totals.items()}
-
-    if _fits(df, small):
-        return df.withColumns(cumulative(Window.partitionBy()))
-
-    cut = _bucketed(df, column, _sketch(df, column, buckets)[1])
-    before = _totals_before(cut, totals, descending)
-    local = cut.withColumns(cumulative(Window.partitionBy("_bucket")))
-    joined = local.join(F.broadcast(before), "_bucket")
-    return joined.withColumns(
-        {new: F.col(new) + F.col(f"_before_{new}") for new in totals}
-    ).drop("_bucket", *[f"_before_{new}" for new in totals])
+    order = _order(column, descending)
+    cut = _ranged(df, order)
+    # at most one row per shuffle partition
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        cut.groupBy("_range")
+        .agg(*[F.sum(source).alias(f"_before_{new}") for new, source in totals.items()])
+        .withColumns(
+            {
+                f"_before_{new}": F.coalesce(F.sum(f"_before_{new}").over(earlier), F.lit(0))
+                for new in totals
+            }
+        )
+    )
+    inside = Window.partitionBy("_range").orderBy(order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns({new: F.sum(source).over(inside) for new, source in totals.items()})
+    return (
+        local.join(F.broadcast(before), "_range")
+        .withColumns({new: F.col(new) + F.col(f"_before_{new}") for new in totals})
+        .drop("_range", *[f"_before_{new}" for new in totals])
+    )
 
 
 def with_next(
-    df: DataFrame,
-    column: str,
-    fields: list[str],
-    *,
-    descending: bool = False,
-    small: int = SMALL,
-    buckets: int = BUCKETS,
+    df: DataFrame, column: str, fields: list[str], *, descending: bool = False
 ) -> DataFrame:
     """Add ``next_<field>`` of the following row in the order of a distinct numeric column."""
-    order = F.desc(column) if descending else F.asc(column)
-    if _fits(df, small):
-        w = Window.partitionBy().orderBy(order)
-        return df.withColumns({f"next_{f}": F.lead(f).over(w) for f in fields})
-
-    cut = _bucketed(df, column, _sketch(df, column, buckets)[1])
-    # The row after a bucket's last one is the first of the next bucket.
-    edge = F.max_by if descending else F.min_by
-    opening = cut.groupBy("_bucket").agg(edge(F.struct(*fields), column).alias("opening"))
-    following = Window.orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
-    opening = opening.select("_bucket", F.lead("opening").over(following).alias("_opening"))
-    inside = Window.partitionBy("_bucket").orderBy(order)
-    ahead = F.coalesce(F.lead(F.struct(*fields)).over(inside), F.col("_opening"))
+    order = _order(column, descending)
+    cut = _ranged(df, order)
+    inside = Window.partitionBy("_range").orderBy(order)
+    row = F.struct(*fields)
+    # the row after a range's last one is the first of the next range
+    opening = (
+        cut.withColumn("_at", F.row_number().over(inside))
+        .where("_at = 1")
+        .select("_range", F.lead(row).over(Window.orderBy("_range")).alias("_opening"))
+    )
     return (
-        cut.join(F.broadcast(opening), "_bucket")
-        .withColumn("_ahead", ahead)
+        cut.join(F.broadcast(opening), "_range")
+        .withColumn("_ahead", F.coalesce(F.lead(row).over(inside), F.col("_opening")))
         .withColumns({f"next_{f}": F.col("_ahead")[f] for f in fields})
-        .drop("_bucket", "_opening", "_ahead")
-    )
-
-
-def _totals_before(cut: DataFrame, totals: dict[str, str], descending: bool) -> DataFrame:
-    """Per bucket the sums of all earlier buckets; at most one row per bucket."""
-    sums = cut.groupBy("_bucket").agg(
-        *[F.sum(source).alias(f"_before_{new}") for new, source in totals.items()]
-    )
-    order = F.desc("_bucket") if descending else F.asc("_bucket")
-    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumns(
-        {
-            f"_before_{new}": F.coalesce(F.sum(f"_before_{new}").over(earlier), F.lit(0))
-            for new in totals
-        }
+        .drop("_range", "_opening", "_ahead")
     )
 
 
-def exact_quantile(
-    df: DataFrame, column: str, q: float, *, small: int = SMALL, buckets: int = BUCKETS
-) -> DataFrame:
+def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """The linearly interpolated quantile as one row ``(quantile)``.
 
-    Small columns use the built-in ``percentile``, which keeps every distinct
-    value in one task; larger ones only order the buckets that hold the two
-    ranks to interpolate between.
+    NULL and NaN are no values; infinities are. Without values the quantile is
+    NULL. Equal values are combined first; only the sizes of the ranges reach
+    the driver, and only the ranges of the two ranks in question are ordered.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    if _fits(df, small):
-        return values.agg(F.percentile("v", F.lit(q)).alias("quantile"))
-
-    n, cuts = _sketch(values, "v", buckets)
-    position = q * max(n - 1, 0)
+    value = F.col(column).cast("double")
+    counted = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    cut = _ranged(counted.groupBy("v").agg(F.count("*").alias("n")), F.asc("v"))
+    sizes = {r["_range"]: r["n"] for r in cut.groupBy("_range").agg(F.sum("n").alias("n")).collect()}
+    position = q * max(sum(sizes.values()) - 1, 0)
     low = int(position)
-    high = min(low + 1, max(n - 1, 0))
-    counted = _bucketed(values.groupBy("v").agg(F.count("*").alias("n")), "v", cuts)
-    spans = counted.groupBy("_bucket").agg(F.sum("n").alias("size"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    wanted = (
-        spans.withColumn("start", start)
-        .where(_holds(low, "start", "size") | _holds(high, "start", "size"))
-        .select("_bucket", "start")
-    )
-    inside = Window.partitionBy("_bucket").orderBy("v")
-    ranked = (
-        counted.join(F.broadcast(wanted), "_bucket")
-        .withColumn("first_rank", F.col("start") + F.sum("n").over(inside) - F.col("n"))
+    high = min(low + 1, max(sum(sizes.values()) - 1, 0))
+    starts, start = {}, 0
+    for part in sorted(sizes):
+        if start <= high and start + sizes[part] > low:
+            starts[part] = start
+        start += sizes[part]
+    inside = Window.partitionBy("_range").orderBy("v")
+    first = F.lit(0)
+    for part, before in starts.items():
+        first = F.when(F.col("_range") == part, F.lit(before)).otherwise(first)
+    ranked = cut.where(F.col("_range").isin(list(starts))).withColumn(
+        "first", first + F.sum("n").over(inside) - F.col("n")
     )
-    at = lambda rank: F.max(F.when(_holds(rank, "first_rank", "n"), F.col("v")))
-    return ranked.agg((at(low) + (at(high) - at(low)) * (position - low)).alias("quantile"))
-
-
-def _holds(rank: int, start: str, size: str) -> Column:
-    return (F.lit(rank) >= F.col(start)) & (F.lit(rank) < F.col(start) + F.col(size))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("first") + F.col("n") > rank), F.col("v")))
+    found = ranked.agg(at(low).alias("low"), at(high).alias("high"))
+    between = F.col("low") + (F.col("high") - F.col("low")) * (position - low)
+    same = (F.col("low") == F.col("high")) | F.lit(position == low)
+    return found.select(F.when(same, F.col("low")).otherwise(between).alias("quantile"))

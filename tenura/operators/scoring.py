@@ -24,13 +24,15 @@ def stored_outcomes(scored: DataFrame) -> DataFrame:
     return store(outcomes_by_score(scored))
 
 
-def auc_exact(scored: DataFrame, outcomes: DataFrame | None = None, **options) -> DataFrame:
+def auc_exact(scored: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """One row ``(auc)``: chance that a positive outscores a negative, ties count half.
 
+    A missing score ranks below all others.
+
     ``outcomes`` passes a result of :func:`stored_outcomes`.
     """
     by_score = stored_outcomes(scored) if outcomes is None else outcomes
-    ranked = running_totals(by_score, "score", {"below": "negatives"}, **options)
+    ranked = running_totals(by_score, "score", {"below": "negatives"})
     wins = F.sum(
         F.col("positives") * (F.col("below") - F.col("negatives") + F.col("negatives") / 2.0)
     )
@@ -43,7 +45,6 @@ def roc_points(
     outcomes: DataFrame | None = None,
     *,
     drop_intermediate: bool = False,
-    **options,
 ) -> DataFrame:
     """``(threshold, fpr, tpr)`` from the origin (threshold NULL) down the distinct scores.
 
@@ -54,10 +55,10 @@ def roc_points(
         F.struct(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     )
     cumulative = running_totals(
-        by_score, "score", {"tp": "positives", "fp": "negatives"}, descending=True, **options
+        by_score, "score", {"tp": "positives", "fp": "negatives"}, descending=True
     )
     if drop_intermediate:
-        cumulative = _turns(cumulative, **options)
+        cumulative = _turns(cumulative)
     points = cumulative.withColumn("t", totals.scalar()).select(
         F.col("score").alias("threshold"),
         F.try_divide("fp", "t.n").alias("fpr"),
@@ -69,10 +70,10 @@ def roc_points(
     return origin.unionByName(points)
 
 
-def _turns(cumulative: DataFrame, **options) -> DataFrame:
+def _turns(cumulative: DataFrame) -> DataFrame:
     """Drop points whose step equals the next one's; the first and last stay."""
     ahead = with_next(
-        cumulative, "score", ["positives", "negatives"], descending=True, **options
+        cumulative, "score", ["positives", "negatives"], descending=True
     )
     first = F.col("tp") + F.col("fp") == F.col("positives") + F.col("negatives")
     same = (F.col("next_positives") == F.col("positives")) & (

@@ -276,8 +276,8 @@ def quantile_linear(spark, folder):
 def quantile_distributed(spark, folder):
     """As ``quantile_linear`` by the path for columns that outgrow one task."""
     customers = t.stored_customers(spark, folder)
-    spend = exact_quantile(customers, "monetary_total", 0.75, small=0)
-    return cust.split_cutoff(customers, small=0).select(
+    spend = exact_quantile(customers, "monetary_total", 0.75)
+    return cust.split_cutoff(customers).select(
         F.col("cutoff_micros").alias("first_date_micros_q80"),
         F.round(spend.scalar(), 2).alias("spend_q75"),
     )

@@ -46,7 +46,7 @@ def auc_exact(spark, folder):
 @query("auc_distributed", f"WITH {TX_SCORED} {_AUC}")
 def auc_distributed(spark, folder):
     """As ``auc_exact`` by the path for scores that outgrow one task."""
-    return rounded(scoring.auc_exact(_scored(spark, folder), small=0), 6)
+    return rounded(scoring.auc_exact(_scored(spark, folder)), 6)
 
 
 _ROC = """
@@ -72,7 +72,7 @@ def roc_points(spark, folder):
     WHERE nr = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg UNION ALL SELECT NULL, 0.0, 0.0""",
 )
 def roc_turning_points(spark, folder):
-    return rounded(scoring.roc_points(_scored(spark, folder), drop_intermediate=True, small=0), 6)
+    return rounded(scoring.roc_points(_scored(spark, folder), drop_intermediate=True), 6)
 
 
 @query(

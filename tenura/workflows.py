@@ -104,7 +104,7 @@ def study(
     *,
     churn_window_days: int = 90,
     reference=None,
-    max_explained: int | None = 1000,
+    max_explained: int | None = None,
     **training,
 ) -> Study:
     """Features, temporal split, training, evaluation, explanation, CLV, segments.

@@ -124,7 +124,7 @@ def scores(spark, rows):
     return spark.createDataFrame(rows, "customer_id string, label int, churn_probability double")
 
 
-def test_auc_with_ties_by_both_paths(spark):
+def test_auc_with_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(str(i), int(rng.random() < 0.4), float(rng.integers(0, 40) / 40)) for i in range(600)]
     rows += [(f"t{i}", i % 2, 0.5) for i in range(300)]
@@ -132,22 +132,31 @@ def test_auc_with_ties_by_both_paths(spark):
     neg = np.array([r[2] for r in rows if not r[1]])
     brute = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     df = scores(spark, rows)
-    for small in (1_000_000, 0):
-        assert scoring.auc_exact(df, small=small, buckets=8).first()["auc"] == pytest.approx(brute, abs=1e-12)
+    assert scoring.auc_exact(df).first()["auc"] == pytest.approx(brute, abs=1e-12)
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="churn_probability", numBins=0)
     assert evaluator.evaluate(df) == pytest.approx(brute, abs=1e-9)
 
 
-def test_roc_by_both_paths(spark):
+def test_roc_against_counting(spark):
     rng = np.random.default_rng(4)
     df = scores(spark, [(str(i), int(rng.random() < 0.5), float(rng.integers(0, 90) / 90)) for i in range(500)])
+    all_rows = df.collect()
+    positives = sum(r["label"] for r in all_rows)
     for drop in (False, True):
-        curves = [
-            sorted(tuple(r) for r in scoring.roc_points(df, drop_intermediate=drop, small=s, buckets=8).na.fill(2.0).collect())
-            for s in (1_000_000, 0)
-        ]
-        assert curves[0] == curves[1]
-        assert (2.0, 0.0, 0.0) in curves[0] and any(p[1:] == (1.0, 1.0) for p in curves[0])
+        curve = [tuple(r) for r in scoring.roc_points(df, drop_intermediate=drop).na.fill(2.0).collect()]
+        assert (2.0, 0.0, 0.0) in curve and any(p[1:] == (1.0, 1.0) for p in curve)
+        for threshold, fpr, tpr in curve:
+            kept = [r for r in all_rows if r["churn_probability"] >= threshold]
+            assert tpr == pytest.approx(sum(r["label"] for r in kept) / positives)
+            assert fpr == pytest.approx(sum(1 - r["label"] for r in kept) / (500 - positives))
+
+
+def test_scores_that_are_missing_or_infinite(spark):
+    rows = [("a", 1, float("inf")), ("b", 0, None), ("c", 1, float("nan")), ("d", 0, 0.5), ("e", 1, 0.5), ("f", 0, float("-inf"))]
+    df = scores(spark, rows)
+    # NaN > inf > 0.5 > -inf > NULL: e ties with d and beats b and f
+    assert scoring.auc_exact(df).first()["auc"] == pytest.approx((3 + 3 + 2.5) / 9)
+    assert scoring.roc_points(df).count() == 6
 
 
 def test_metrics_and_confusion(spark):

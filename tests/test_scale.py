@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura.operators import cohorts, customers, kpis, quality
-from tenura.operators.ordering import exact_quantile, running_totals
+from tenura.operators.ordering import exact_quantile, running_totals, with_next
 from tenura.plans import ORACLES, QUERIES
 from tenura.sources import events_as_transactions, orders_as_transactions
 
@@ -78,31 +78,47 @@ def test_duplicates_of_one_key(spark):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.75, 0.8, 0.9, 1.0])
-def test_quantile_paths(spark, q):
+def test_quantile(spark, q):
     rng = np.random.default_rng(5)
     values = np.where(rng.random(900) < 0.35, 7.0, rng.normal(10, 5, 900).round(2))
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
-    for small in (1_000_000, 0):
-        found = exact_quantile(df, "x", q, small=small, buckets=16).first()["quantile"]
-        assert found == pytest.approx(np.quantile(values, q), abs=1e-9)
+    found = exact_quantile(df, "x", q).first()["quantile"]
+    assert found == pytest.approx(np.quantile(values, q), abs=1e-9)
 
 
 def test_quantile_of_few_or_equal_values(spark):
     for values in ([5.0], [5.0, 5.0, 5.0], [1.0, 2.0]):
         df = spark.createDataFrame([(v,) for v in values], "x double")
-        assert exact_quantile(df, "x", 0.8, small=0).first()[0] == pytest.approx(np.quantile(values, 0.8))
+        assert exact_quantile(df, "x", 0.8).first()[0] == pytest.approx(np.quantile(values, 0.8))
     empty = spark.createDataFrame([], "x double")
     assert exact_quantile(empty, "x", 0.5).first()[0] is None
 
 
-def test_running_totals_paths(spark):
+def test_quantile_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, nan, 3.0, None, inf, -inf, 2.0, inf)], "x double")
+    expected = {0.0: -inf, 0.2: 1.0, 0.3: 1.5, 0.6: 3.0, 0.7: inf, 1.0: inf}
+    for q, value in expected.items():
+        assert exact_quantile(df, "x", q).first()[0] == pytest.approx(value)
+
+
+def test_running_totals_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v, 1) for v in (2.0, nan, None, inf, -inf)], "x double, w int")
+    up = [str(r.x) for r in running_totals(df, "x", {"t": "w"}).orderBy("t").collect()]
+    down = [str(r.x) for r in running_totals(df, "x", {"t": "w"}, descending=True).orderBy("t").collect()]
+    assert up == ["None", "-inf", "2.0", "inf", "nan"] and down == up[::-1]
+    ahead = {str(r.x): r.next_w for r in with_next(df.withColumn("w", F.col("x")), "x", ["w"]).collect()}
+    assert [str(ahead[x]) for x in up] == ["-inf", "2.0", "inf", "nan", "None"]
+
+
+def test_running_totals(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).cast("double").alias("x"), F.lit(2).alias("w"))
     for descending in (False, True):
-        for small in (1_000_000, 0):
-            rows = running_totals(df, "x", {"total": "w"}, descending=descending, small=small, buckets=16).collect()
-            assert len(rows) == 500
-            for r in rows:
-                assert r["total"] == 2 * ((500 - r["x"]) if descending else (r["x"] + 1))
+        rows = running_totals(df, "x", {"total": "w"}, descending=descending).collect()
+        assert len(rows) == 500
+        for r in rows:
+            assert r["total"] == 2 * ((500 - r["x"]) if descending else (r["x"] + 1))
 
 
 def test_partitioning_does_not_matter(spark):

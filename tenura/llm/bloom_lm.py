@@ -49,7 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pair_hashes(ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pair_hashes(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per token the hash of it and the token before it, and that token's place; an end is before the first."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -112,29 +112,37 @@ def slice_filter(hashes: np.ndarray, codes: np.ndarray, n_bits: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """chunk, place, word, n (training tokens) of all chunks' dictionaries."""
+def _numbered(docs: DataFrame, kind: str) -> DataFrame:
+    """A row per chunk: its documents' ids, which learn, their numbers of tokens, and the tokens as places in words.
+
+    ``n`` counts each word's training tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, tokens):
-            learns = np.repeat(c.rows["learns"].to_numpy(), c.lengths)
-            n = np.bincount(c.ids[learns], minlength=len(c.words))
-            for a in range(0, len(c.words), 65536):
-                words = c.words[a : a + 65536]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(words), c.number)),
-                        pa.array(np.arange(a, a + len(words), dtype=np.int32)),
-                        pa.array(words, pa.binary()),
-                        pa.array(n[a : a + 65536].astype(np.int64)),
-                    ],
-                    ["chunk", "place", "word", "n"],
-                )
+            learns = c.rows["learns"].to_numpy()
+            n = np.bincount(c.ids[np.repeat(learns, c.lengths)], minlength=len(c.words))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([c.number], pa.int64()),
+                    pa.array([c.rows["doc_id"].to_pylist()], pa.list_(c.rows.schema.field("doc_id").type)),
+                    pa.array([learns.tolist()], pa.list_(pa.bool_())),
+                    pa.array([pack(c.lengths.astype("<i4"))], pa.binary()),
+                    pa.array([pack(c.ids.astype("<i4"))], pa.binary()),
+                    pa.array([c.words], pa.list_(pa.binary())),
+                    pa.array([n], pa.list_(pa.int64())),
+                ],
+                ["chunk", "doc_ids", "learns", "lengths", "ids", "words", "n"],
+            )
 
-    return docs.mapInArrow(run, "chunk long, place int, word binary, n long")
+    return docs.mapInArrow(
+        run,
+        f"chunk long, doc_ids array<{kind}>, learns array<boolean>, lengths binary, ids binary, "
+        "words array<binary>, n array<long>",
+    )
 
 
-def _pair_counts(docs: DataFrame, slices: int) -> DataFrame:
+def _pair_counts(numbered: DataFrame, slices: int) -> DataFrame:
     """slice, hashes, codes, entries: pairs of training tokens counted at least ``MIN_COUNT`` times.
 
     Pairs are counted within a chunk before the shuffle, which moves packed
@@ -142,9 +150,10 @@ def _pair_counts(docs: DataFrame, slices: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, tokens):
-            learns = np.repeat(c.rows["learns"].to_numpy(), c.lengths)
-            hashes, _ = pair_hashes(c.ids, c.lengths, word_hashes(c.words))
+        for batch, i in ((batch, i) for batch in batches for i in range(batch.num_rows)):
+            ids, learns, lengths, words = (batch.column(c)[i].as_py() for c in range(4))
+            learns = np.repeat(np.array(learns, bool), unpack(lengths, "<i4"))
+            hashes, _ = pair_hashes(unpack(ids, "<i4"), word_hashes(words))
             pairs, n = np.unique(hashes[learns], return_counts=True)
             where = _slice_of(pairs, slices).astype(np.int64)
             cuts = np.flatnonzero(np.diff(where, prepend=-1))
@@ -178,7 +187,9 @@ def _pair_counts(docs: DataFrame, slices: int) -> DataFrame:
             }
         )
 
-    parts = docs.mapInArrow(count, "slice long, steps binary, n binary")
+    parts = numbered.select("ids", "learns", "lengths", "words").mapInArrow(
+        count, "slice long, steps binary, n binary"
+    )
     return parts.groupBy("slice").applyInArrow(combine, "slice long, hashes binary, codes binary, entries long")
 
 
@@ -243,31 +254,17 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, denominator: float, rounds: in
     return np.log10(mixed)
 
 
-def _look_up(docs: DataFrame, kind: str, counts: DataFrame, part: BloomCounts, denominator: float) -> DataFrame:
+def _look_up(numbered: DataFrame, kind: str, counts: DataFrame, part: BloomCounts, denominator: float) -> DataFrame:
     """Per document: unigram figures (from the first part) and how many tokens fall in which cell."""
-    shared = docs.sparkSession.sparkContext.broadcast(part)  # at most about FILTER_BYTES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, tokens):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c.number], pa.int64()),
-                    pa.array([c.rows["doc_id"].to_pylist()], pa.list_(c.rows.schema.field("doc_id").type)),
-                    pa.array([c.rows["learns"].to_pylist()], pa.list_(pa.bool_())),
-                    pa.array([pack(c.lengths.astype("<i4"))], pa.binary()),
-                    pa.array([pack(c.ids.astype("<i4"))], pa.binary()),
-                    pa.array([word_hashes(c.words).astype("<u8").tobytes()], pa.binary()),
-                ],
-                ["chunk", "doc_ids", "learns", "lengths", "ids", "hashes"],
-            )
+    shared = numbered.sparkSession.sparkContext.broadcast(part)  # at most about FILTER_BYTES
 
     def look_up(numbers: pa.Table, answers: pa.Table) -> pa.Table:
         ids = unpack(numbers["ids"][0].as_py(), "<i4")
         lengths = unpack(numbers["lengths"][0].as_py(), "<i4").astype(np.int64)
-        hashes = np.frombuffer(numbers["hashes"][0].as_py(), "<u8")
+        hashes = word_hashes(numbers["words"][0].as_py())
         (c,) = unpack_places(answers, {"c": "<i8"}, len(hashes))
         starts = np.cumsum(lengths) - lengths
-        of_pair, before = pair_hashes(ids, lengths, hashes)
+        of_pair, before = pair_hashes(ids, hashes)
         own = shared.value.owns(of_pair)
         pairs, place = np.unique(of_pair[own], return_inverse=True)
         word = quantise(c)
@@ -292,12 +289,9 @@ def _look_up(docs: DataFrame, kind: str, counts: DataFrame, part: BloomCounts, d
             }
         )
 
-    numbers = docs.mapInArrow(
-        run,
-        f"chunk long, doc_ids array<{kind}>, learns array<boolean>, lengths binary, ids binary, hashes binary",
-    )
     return (
-        numbers.groupBy("chunk")
+        numbered.drop("n")
+        .groupBy("chunk")
         .cogroup(counts.groupBy("chunk"))
         .applyInArrow(
             look_up,
@@ -332,8 +326,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens
     that training has), train_tokens, base_score (unigrams, one added) and
     score (the pair model). A null text is empty: one end. Without training
-    rows both models give every token the same probability. ``docs`` must be
-    read the same way by several jobs (see chunks).
+    rows both models give every token the same probability.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -344,7 +337,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     # exact counts of every chunk's words; a word has at most one row per chunk
     same = Window.partitionBy("word")
-    counted = _vocabulary(rows).select(
+    numbered = store(_numbered(rows, kind))
+    places = numbered.select("chunk", "n", F.posexplode("words").alias("place", "word"))
+    counted = places.select("chunk", "place", F.get("n", F.col("place")).alias("n"), "word").select(
         "chunk",
         "place",
         "n",
@@ -357,10 +352,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     denominator = float(total + types + 1)
 
     slices = max(8, total // PAIRS_PER_SLICE)
-    pairs = store(_pair_counts(rows, slices))
+    pairs = store(_pair_counts(numbered, slices))
     looked_up = None
     for part in _filters(pairs, slices):
-        found = _look_up(rows, kind, counts, part, denominator)
+        found = _look_up(numbered, kind, counts, part, denominator)
         looked_up = found if looked_up is None else looked_up.unionByName(found)
     cells = store(looked_up)
 

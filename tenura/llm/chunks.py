@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-TOKENS = 4_000_000  # a chunk ends with the document that reaches this
+TOKENS = 2_000_000  # a chunk ends with the document that reaches this
 
 
 @dataclass

@@ -9,11 +9,12 @@ segment, and folded.
 import re
 import string
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm.chunks import chunks, pack, unpack
@@ -22,8 +23,10 @@ from tenura.session import store
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"  # how a blank is written in pieces
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, for a character without a piece
-BLOCK = 64  # characters of a segment cut into substrings at a time
 STEPS = 128  # positions folded at a time
+GROUPS = 100_000  # segments that a task groups by hashing before it sorts instead
+RUNS = 1_000_000  # words between blanks in a chunk
+CHARS_PER_TASK = 4_000_000  # of text, for each task that encodes segments
 
 # Letters after which a cut may be tried; others are never cut off what follows.
 _LETTER = "A-Za-z0-9À-ɏ"
@@ -103,36 +106,69 @@ def read_model(path: str = MODEL) -> Pieces:
     )
 
 
+@contextmanager
+def _groups_in_memory(spark: SparkSession):
+    """Group lists by hashing: by default a task with over 128 groups sorts its rows, and spills, instead."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(GROUPS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """All lattice edges of distinct segments: word, upto (where it ends), size, score, ids.
+    """All lattice edges of distinct segments, in the partitions in which these are.
 
+    ``words`` has word, ``a`` (its hash) and whatever else goes with it, in a
+    column ``with``.
     An edge is a substring of at most the longest piece's length that is in
-    the piece table, or a single character that isn't, written as its bytes.
+    the piece table, or a single character that isn't. Returns a and b (two
+    hashes, 96 bits, that stand for the segment), part (of ``STEPS`` positions), word and with (with the first
+    edge only: they can be long), and the edge as one number, in the order of
+    its fields: where it ends in the part, its size, its piece (one behind the
+    last id for a character without one). Rows of a segment come in order.
     """
-    spark = words.sparkSession
     longest = pieces.longest
+    if longest > 31 or len(pieces.texts) >= 1 << 24:
+        raise ValueError("the piece table is too large for the numbers of edges")
+    spark = words.sparkSession
     # as many rows as the vocabulary file has pieces
-    table = F.broadcast(spark.createDataFrame(pieces.scored, "piece string, id int, score double"))
-    size = F.char_length("word")
+    table = F.broadcast(spark.createDataFrame([(p, i) for p, i, _ in pieces.scored], "piece string, id int"))
+    length = F.char_length("word")
     blocks = words.select(
-        "word", size.alias("length"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(BLOCK))).alias("base")
-    ).select("word", "length", "base", F.expr(f"substring(word, base + 1, {BLOCK + longest - 1})").alias("block"))
-    at = F.sequence(F.lit(0), F.least(F.lit(BLOCK - 1), F.col("length") - F.col("base") - 1))
-    begins = blocks.select("word", "length", "base", "block", F.explode(at).alias("at"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.col("length") - F.col("base") - F.col("at")))
-    cuts = begins.select("word", "base", "at", "block", F.explode(sizes).alias("size")).select(
-        "word",
-        (F.col("base") + F.col("at") + F.col("size")).alias("upto"),
+        "a", F.hash("word").alias("b"), "word", "with", length.alias("length"), F.explode(F.sequence(F.lit(0), length - 1, F.lit(STEPS))).alias("base")
+    ).select(
+        "a",
+        "b",
+        (F.col("base") / STEPS).cast("int").alias("part"),
+        F.when(F.col("base") == 0, F.struct("word", "with")).alias("owner"),
+        F.least(F.lit(STEPS), F.col("length") - F.col("base")).alias("n"),
+        F.least(F.col("base"), F.lit(longest - 1)).alias("lead"),
+        F.expr(
+            f"substring(word, greatest(base - {longest - 1}, 0) + 1, {STEPS} + least(base, {longest - 1}))"
+        ).alias("block"),
+    )
+    ends = blocks.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("end"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.col("lead") + F.col("end")))
+    cuts = ends.select("*", F.explode(sizes).alias("size")).select(
+        "a",
+        "b",
+        "part",
+        F.when((F.col("end") == 1) & (F.col("size") == 1), F.col("owner")).alias("owner"),
+        "end",
         "size",
-        F.expr("substring(block, at + 1, size)").alias("piece"),
+        F.expr("substring(block, lead + end - size + 1, size)").alias("piece"),
     )
     joined = cuts.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    piece = F.coalesce(F.col("id"), F.lit(len(pieces.texts))).cast("long")
     return joined.select(
-        "word",
-        "upto",
-        "size",
-        F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_fallback(F.col("piece"), pieces)).alias("ids"),
+        "a",
+        "b",
+        "part",
+        "owner",
+        ((F.col("end").cast("long") * (1 << 29)) + F.col("size") * (1 << 24) + piece).alias("edge"),
     )
 
 
@@ -149,63 +185,100 @@ def _fallback(char: Column, pieces: Pieces) -> Column:
 
 
 def best_path(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids: the path of highest total score; of equal ones the one with the longer last edge, step by step.
+    """word, with, ids: the path of highest total score; of equal ones the one with the longer last edge, step by step.
 
-    Edges are grouped by word, in parts of ``STEPS`` positions, and folded
+    Edges are grouped by segment, in parts of ``STEPS`` positions, and folded
     position by position: the best edge into a position is the one for which
     the best score where it begins and its own add up to most. A second fold
     follows the best edges back from the end.
     """
     longest = pieces.longest
-    edge = F.struct("upto", "size", "score", "ids")
-    parts = lattice.groupBy("word", F.floor((F.col("upto") - 1) / STEPS).cast("int").alias("part")).agg(
-        F.max("upto").alias("upto"), F.collect_list(edge).alias("edges")
+    # scores by id as one constant
+    by_id = [pieces.unknown_score] * (len(pieces.texts) + 1)
+    for _, i, score in pieces.scored:
+        by_id[i] = score
+    scores = F.from_json(F.lit(str(by_id)), "array<double>")
+    parts = lattice.groupBy("a", "b", "part").agg(
+        F.first("owner", ignorenulls=True).alias("owner"), F.collect_list("edge").alias("edges")
     )
-    grouped = parts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("part", "upto", "edges"))).alias("parts"))
-
-    def into(best: Column, part: Column, end: Column) -> Column:
-        """``best`` has the best edge into each position before ``end``."""
-        return F.array_max(
-            F.transform(
-                F.filter(part.edges, lambda x: x.upto == end),
-                lambda x: F.struct(
-                    (F.element_at(best, -x["size"]).score + x.score).alias("score"),
-                    x["size"].alias("size"),
-                    x.upto.alias("upto"),
-                    x.ids.alias("ids"),
-                ),
-            )
-        )
+    grouped = parts.groupBy("a", "b").agg(
+        F.first("owner", ignorenulls=True).alias("owner"),
+        F.sort_array(F.collect_list(F.struct("part", "edges"))).alias("parts"),
+    )
+
+    def size_of(edge: Column) -> Column:
+        return F.shiftright(edge, 24).bitwiseAND(F.lit(31).cast("long")).cast("int")
+
+    def piece_of(edge: Column) -> Column:
+        return edge.bitwiseAND(F.lit((1 << 24) - 1).cast("long")).cast("int")
+
+    def ends_at(part: Column, end: Column) -> Column:
+        return F.filter(part.edges, lambda x: F.shiftright(x, 29) == end)
 
     def forward(best: Column, part: Column) -> Column:
+        """``best`` has the best score at each position so far."""
         kept = F.least(F.size(best), F.lit(longest))  # a step looks back by the longest piece at most
+        last = F.shiftright(F.element_at(part.edges, -1), 29)
         return F.concat(
             F.slice(best, 1, F.size(best) - kept),
             F.aggregate(
-                F.sequence(part.part * STEPS + 1, part.upto),
+                F.sequence(F.lit(1).cast("long"), last),
                 F.slice(best, F.size(best) - kept + 1, kept),
-                lambda so_far, end: F.concat(so_far, F.array(into(so_far, part, end))),
+                lambda so_far, end: F.array_append(
+                    so_far,
+                    F.array_max(
+                        F.transform(
+                            ends_at(part, end),
+                            lambda x: F.element_at(so_far, -size_of(x)) + F.get(scores, piece_of(x)),
+                        )
+                    ),
+                ),
+            ),
+        )
+
+    reached = grouped.select("owner", "parts", F.aggregate("parts", F.array(F.lit(0.0)), forward).alias("best"))
+
+    # back from the end: of the path so far, each edge with the position where it begins
+    def into(at: Column) -> Column:
+        """The longest edge into a position that gives the best score there."""
+        part = F.get(F.col("parts"), F.floor((at - 1) / STEPS).cast("int"))
+        best = F.get(F.col("best"), at)
+        return F.element_at(
+            F.filter(
+                ends_at(part, ((at - 1) % STEPS + 1).cast("long")),
+                lambda x: F.get(F.col("best"), at - size_of(x)) + F.get(scores, piece_of(x)) == best,
             ),
+            -1,
         )
 
-    def follow(path: Column, e: Column) -> Column:
-        """``path`` has the edges from the end back to the one that ends where ``e`` or an earlier one does."""
-        begin = F.element_at(path, -1).upto - F.element_at(path, -1)["size"]
-        return F.when(e.upto == begin, F.concat(path, F.array(e))).otherwise(path)
+    def follow(path: Column, at: Column) -> Column:
+        step = F.transform(
+            F.array(into(at)), lambda edge: F.struct((at - size_of(edge)).alias("begin"), edge.alias("edge"))
+        )
+        return F.when(at == F.element_at(path, -1).begin, F.array_append(path, F.get(step, F.lit(0)))).otherwise(path)
 
-    kind = "array<struct<score:double,size:int,upto:int,ids:array<int>>>"
-    begin = F.from_json(F.lit('[{"score": 0.0, "size": 0, "upto": 0, "ids": []}]'), kind)
-    reached = grouped.select("word", F.reverse(F.aggregate("parts", begin, forward)).alias("back"))
-    blocks = F.sequence(F.lit(0), F.floor(F.size("back") / STEPS).cast("int"))
+    none = F.array(F.struct((F.size("best") - 1).alias("begin"), F.lit(0).cast("long").alias("edge")))
+    blocks = F.sequence(F.size("best") - 1, F.lit(1), F.lit(-STEPS))
     path = F.aggregate(
         blocks,
-        F.slice("back", 1, 1),
-        lambda so_far, k: F.concat(
+        none,
+        lambda so_far, upto: F.concat(
             F.slice(so_far, 1, F.size(so_far) - 1),
-            F.aggregate(F.slice("back", k * STEPS + 1, STEPS), F.slice(so_far, -1, 1), follow),
+            F.aggregate(
+                F.sequence(upto, F.greatest(upto - (STEPS - 1), F.lit(1)), F.lit(-1)), F.slice(so_far, -1, 1), follow
+            ),
         ),
     )
-    return reached.select("word", F.flatten(F.transform(F.reverse(path), lambda x: x.ids)).alias("ids"))
+    found = reached.select("owner.word", "owner.with", F.reverse(path).alias("path"))
+    no_piece = len(pieces.texts)
+
+    def ids_of(step: Column) -> Column:
+        char = F.substring(F.col("word"), step.begin + 1, F.lit(1))
+        piece = piece_of(step.edge)
+        return F.when(piece == no_piece, _fallback(char, pieces)).otherwise(F.array(piece))
+
+    steps = F.slice("path", 1, F.size("path") - 1)
+    return found.select("word", "with", F.flatten(F.transform(steps, ids_of)).alias("ids"))
 
 
 def _runs(text: str | None) -> list[str]:
@@ -247,7 +320,7 @@ def _dictionary(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
     """chunk, place, word: the distinct segments of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, _runs):
+        for c in chunks(batches, _runs, RUNS):
             words, _, _ = _segments(c.words, pattern)
             for a in range(0, len(words), 65536):
                 part = words[a : a + 65536]
@@ -263,7 +336,7 @@ def _dictionary(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, place int, word string")
 
 
-def _packed(answers: DataFrame, rows: int = 500_000) -> DataFrame:
+def _packed(answers: DataFrame, rows: int = 150_000) -> DataFrame:
     """chunk, place, ids as packed rows per chunk, some for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +373,11 @@ def _packed(answers: DataFrame, rows: int = 500_000) -> DataFrame:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids of distinct segments, in the partitions in which they are."""
-    return best_path(edges(words, pieces), pieces)
+    """word, with, ids of distinct segments (word) that aren't empty; ``with`` is kept.
+
+    Segments are told apart by two hashes (96 bits) while they are grouped.
+    """
+    return best_path(edges(words.withColumn("a", F.xxhash64("word")), pieces), pieces)
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,15 +395,22 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     pattern = pieces.segment_pattern()
-    found = store(_dictionary(rows, pattern))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # in order of the word, so that a word's edges stay together without another sort
-    distinct = found.select("word").distinct().repartition(partitions, "word").sortWithinPartitions("word")
-    encoded = store(encode_words(distinct, pieces))
-    answers = store(_packed(found.join(encoded, "word")))
+    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    spread = size // CHARS_PER_TASK
+    found = _dictionary(rows, pattern).withColumn("a", F.xxhash64("word"))
+    # one shuffle brings a segment's places together, at most one for each chunk; its lattice stays there
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spread)
+    words = (
+        found.repartition(partitions, "a")
+        .groupBy("a", "word")
+        .agg(F.collect_list(F.struct("chunk", "place")).alias("with"))
+    )
+    with _groups_in_memory(spark):
+        encoded = best_path(edges(words, pieces), pieces)
+        answers = store(_packed(encoded.select(F.explode("with").alias("at"), "ids").select("at.*", "ids")))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, _runs):
+        for c in chunks(batches, _runs, RUNS):
             words, sizes, flat = _segments(c.words, pattern)
             numbers = [np.array([len(words)]), sizes, flat, c.lengths, c.ids]
             yield pa.RecordBatch.from_arrays(

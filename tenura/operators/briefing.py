@@ -209,8 +209,9 @@ def _three_way(value: Column, base: Column, margin: float, outcomes: dict[str, C
 
 
 def customer_segments(with_segments: bool) -> Column:
+    none = text.fill(words.SEGMENT_NONE, **_churn_parts())
     if not with_segments:
-        return text.fill(words.SEGMENT_NONE, **_churn_parts())
+        return none
     total = F.col("segments.total")
     lines = []
     for segment, template in words.SEGMENT_LINES.items():
@@ -218,7 +219,7 @@ def customer_segments(with_segments: bool) -> Column:
         line = text.fill(template, n=text.count(n), share=text.percent(n / total))
         lines.append(F.when(n > 0, line))
     intro = text.fill(words.SEGMENT_INTRO, total=text.count(total))
-    return F.concat(intro, F.concat_ws("\n\n", *lines))
+    return F.when(total > 0, F.concat(intro, F.concat_ws("\n\n", *lines))).otherwise(none)
 
 
 def recommendations(with_segments: bool, with_clv: bool, with_forecast: bool) -> Column:

@@ -1,5 +1,6 @@
 """Finding the date format of a string column and parsing with it."""
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,51 @@ class DetectedFormat:
     first_component_le_12: bool
 
 
+# Strptime directives and the Spark pattern letters they stand for.
+DIRECTIVES = {
+    "Y": "yyyy",
+    "y": "yy",
+    "m": "M",
+    "d": "d",
+    "H": "H",
+    "I": "h",
+    "M": "m",
+    "S": "s",
+    "f": "SSSSSS",
+    "b": "MMM",
+    "B": "MMMM",
+    "p": "a",
+    "j": "DDD",
+}
+
+
+def spark_pattern(fmt: str) -> str:
+    """The Spark pattern of a strptime format; a directive without one is an error.
+
+    One digit or two are read, as strptime does, except where numbers touch.
+    """
+    parts = re.findall(r"%.|[^%]+|%$", fmt)
+    out = []
+    for i, part in enumerate(parts):
+        if part == "%%" or part[0] != "%":
+            plain = part.replace("%%", "%").replace("'", "''")
+            out.append(re.sub(r"[A-Za-z\[\]{}#]+", lambda m: f"'{m.group()}'", plain))
+            continue
+        letters = DIRECTIVES.get(part[1:])
+        if letters is None:
+            raise DateFormatError(f"Dates with {part} in their format cannot be read.")
+        touching = [p for p in (*parts[i - 1 : i], *parts[i + 1 : i + 2]) if len(p) == 2 and p[0] == "%"]
+        out.append(letters * 2 if len(letters) == 1 and letters != "a" and touching else letters)
+    return "".join(out)
+
+
 def _parse(x: Column, pattern: str, shape: str | None) -> Column:
     if pattern == MIXED_FORMAT:
         tried = [_parse(x, p, None) for p in MIXED_PATTERNS]
         return F.coalesce(F.when(x.rlike(r"^\s*\d{4}-"), x.try_cast("timestamp_ntz")), *tried)
     parsed = F.try_to_timestamp(x, F.lit(pattern)).cast("timestamp_ntz")
+    if re.search(r"(?<!y)yy(?!y)", pattern):  # 69 to 99 are of the last century
+        parsed = F.when(F.year(parsed) > 2068, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
     return F.when(x.rlike(shape), parsed) if shape else parsed
 
 
@@ -30,7 +71,7 @@ def _known(fmt: str):
     for strptime, pattern, _, shape in DATE_FORMATS:
         if fmt in (strptime, pattern):
             return pattern, shape
-    return fmt, None
+    return (spark_pattern(fmt) if "%" in fmt else fmt), None
 
 
 def _statistics(df: DataFrame, column: str) -> DataFrame:
@@ -125,7 +166,7 @@ def detect_format(df: DataFrame, column: str = "transaction_date") -> DetectedFo
 def parse_dates(
     df: DataFrame, fmt: str, column: str = "transaction_date", into: str | None = None
 ) -> DataFrame:
-    """Parse with one format (strptime or Spark style); misfits become NULL."""
+    """Parse with one format (strptime directives or a Spark pattern); misfits become NULL."""
     pattern, shape = _known(fmt)
     return df.withColumn(into or column, _parse(F.col(column), pattern, shape))
 

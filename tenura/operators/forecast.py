@@ -38,9 +38,11 @@ def as_series(monthly: DataFrame, dimension: str | None = None) -> DataFrame:
     return monthly.select("month", F.inline(pair)).select("series_key", "month", "value")
 
 
-def series_input(tx: DataFrame, dimension: str | None = None) -> DataFrame:
-    """The series to forecast; with a dimension, one pair per value of it."""
-    monthly = monthly_totals(tx) if dimension is None else kpi_by_dimension(tx, dimension)
+def series_input(
+    tx: DataFrame, dimension: str | None = None, customers: DataFrame | None = None
+) -> DataFrame:
+    """The series to forecast; with a dimension, one pair per value of it (see ``kpi_by_dimension``)."""
+    monthly = monthly_totals(tx) if dimension is None else kpi_by_dimension(tx, dimension, customers)
     return as_series(monthly, dimension)
 
 

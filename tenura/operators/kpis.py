@@ -23,6 +23,13 @@ def customer_months(tx: DataFrame, *dimensions: str) -> DataFrame:
     )
 
 
+def _months_by(tx: DataFrame, dimension: str, customers: DataFrame | None) -> DataFrame:
+    """Customer-months with a column of the transactions or, joined after combining, of the customers."""
+    if customers is None:
+        return customer_months(tx, dimension)
+    return customer_months(tx).join(customers.select("customer_id", dimension), "customer_id", "left")
+
+
 def monthly_totals(tx: DataFrame) -> DataFrame:
     """``(month, revenue, active, arpu)`` per observed month."""
     totals = customer_months(tx).groupBy("month").agg(
@@ -186,9 +193,14 @@ def kpi_snapshot(tx: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
     )
 
 
-def kpi_by_dimension(tx: DataFrame, dimension: str) -> DataFrame:
-    """Monthly revenue, active customers and ARPU per value of a column."""
-    months = customer_months(tx, dimension)
+def kpi_by_dimension(tx: DataFrame, dimension: str, customers: DataFrame | None = None) -> DataFrame:
+    """Monthly revenue, active customers and ARPU per value of a column.
+
+    Where the column is a property of the customer, pass the table
+    ``customers`` that has it, one row per customer: transactions are then
+    combined to customer-months before the join.
+    """
+    months = _months_by(tx, dimension, customers)
     return (
         months.groupBy("month", dimension)
         .agg(F.sum("revenue").alias("revenue"), F.count("customer_id").alias("active"))
@@ -196,13 +208,13 @@ def kpi_by_dimension(tx: DataFrame, dimension: str) -> DataFrame:
     )
 
 
-def kpi_rollup(tx: DataFrame, dimension: str) -> DataFrame:
+def kpi_rollup(tx: DataFrame, dimension: str, customers: DataFrame | None = None) -> DataFrame:
     """As :func:`kpi_by_dimension` with subtotals per month and overall (NULL keys).
 
     ``level`` is 0 for a detail row, 1 for a month, 3 for the total.
     """
     return (
-        customer_months(tx, dimension)
+        _months_by(tx, dimension, customers)
         .rollup("month", dimension)
         .agg(
             F.grouping_id().alias("level"),

@@ -74,8 +74,15 @@ def schema_report(spark: SparkSession, columns) -> DataFrame:
 
 
 def to_amount(c):
-    """Text to double. Java's type suffixes (``12.5d``) do not count as numbers."""
-    return F.when(~c.rlike(r"(?i)[df]\s*$"), c.try_cast("double"))
+    """Text to double; NULL unless it is a finite number.
+
+    ``NaN`` and every spelling of infinity are missing values: sums skip them
+    and the quality report counts them. Java's type suffixes (``12.5d``) do
+    not make a number.
+    """
+    value = c.try_cast("double")
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(~c.rlike(r"(?i)[df]\s*$") & finite, value)
 
 
 def coerce_types(df: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ def survival_at_risk(customers: DataFrame) -> DataFrame:
     """``(timeline_days, at_risk, events, survival_prob)`` per distinct duration.
 
     Duration is the tenure, at least one day; the event is churn, active
-    customers are censored. Customers are counted per duration first, so the
-    ordered windows see one row per distinct number of days.
+    customers are censored; customers without any date are left out.
+    Customers are counted per duration first, so the ordered windows see one
+    row per distinct number of days.
     """
-    counts = customers.groupBy(
+    counts = customers.where("tenure_days IS NOT NULL").groupBy(
         F.greatest(F.col("tenure_days"), F.lit(1)).alias("timeline_days")
     ).agg(
         F.count("*").alias("n"),
@@ -63,7 +64,8 @@ def clv_per_customer(customers: DataFrame, *, check: bool = True) -> DataFrame:
     """``(customer_id, expected_clv, expected_remaining_months, monthly_spend)``.
 
     Remaining days are the median lifetime minus tenure, not below 30 for
-    active and 0 for churned customers.
+    active and 0 for churned customers. A customer without any date has no
+    tenure and gets NULL.
     """
     if check:
         n = len(customers.select("customer_id").take(MIN_CUSTOMERS_CLV))
@@ -75,10 +77,9 @@ def clv_per_customer(customers: DataFrame, *, check: bool = True) -> DataFrame:
     spend = F.greatest(F.col("aov") * rate, F.lit(0.0))
     # greatest skips NULL, a missing order value must stay missing
     spend = F.when(F.col("aov").isNotNull(), spend)
+    months = F.when(F.col("tenure_days").isNotNull(), F.greatest(left, floor) / DAYS_PER_MONTH)
     return (
-        customers.withColumns(
-            {"_months": F.greatest(left, floor) / DAYS_PER_MONTH, "_spend": spend}
-        )
+        customers.withColumns({"_months": months, "_spend": spend})
         .select(
             "customer_id",
             F.round(F.col("_spend") * F.col("_months"), 2).alias("expected_clv"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tenura.operators import cohorts, kpis
 from tenura.plans import tables as t
 from tenura.plans.registry import NUDGE, labelled, query, rounded
+from tenura.sources.tables import customer_dimensions
 
 # Month by month over sets of customers: active in one observed month, gone in the next.
 MONTHS = """
@@ -157,7 +158,7 @@ def recent_vs_prior_avg(spark, folder):
     round(sum(transaction_amount) / count(DISTINCT customer_id) + {NUDGE}, 2) AS arpu FROM tx GROUP BY 1, 2""",
 )
 def kpi_by_dimension(spark, folder):
-    return labelled(rounded(kpis.kpi_by_dimension(t.tx_dimensions(spark, folder), "country"), 2, ratios=("arpu",)))
+    return labelled(rounded(kpis.kpi_by_dimension(t.tx(spark, folder), "country", customer_dimensions(spark, folder)), 2, ratios=("arpu",)))
 
 
 @query(
@@ -168,7 +169,7 @@ def kpi_by_dimension(spark, folder):
     round(sum(transaction_amount) / count(DISTINCT customer_id) + {NUDGE}, 2) AS arpu FROM m GROUP BY ROLLUP (month, product)""",
 )
 def kpi_rollup(spark, folder):
-    return labelled(rounded(kpis.kpi_rollup(t.tx_dimensions(spark, folder), "product"), 2, ratios=("arpu",)))
+    return labelled(rounded(kpis.kpi_rollup(t.tx(spark, folder), "product", customer_dimensions(spark, folder)), 2, ratios=("arpu",)))
 
 
 COHORTS = """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tenura import fixed_values as words
+from tenura import workflows
 from tenura.functions import text
 from tenura.operators import briefing as b
 from tenura.operators import customers as cust
@@ -112,10 +113,23 @@ def brief_churn(spark, folder):
     return _facts(spark, folder).select(b.churn_analysis(False).alias("churn_analysis"))
 
 
-@query("brief_churn_model")
+@query(
+    "brief_churn_model",
+    f"""WITH {FACTS} SELECT CAST(n_churned AS BIGINT) AS n_churned, format('{{:.1f}}%', rate * 100) AS rate,
+    true AS says_rate, true AS names_features FROM facts""",
+)
 def brief_churn_model(spark, folder):
-    top = b.top_two_features(modelling.importance(spark, folder))
-    return _facts(spark, folder, importance=top).select(b.churn_analysis(True).alias("churn_analysis"))
+    """The section's features come from the trained model; its figures must be there."""
+    facts = _facts(spark, folder, importance=b.top_two_features(modelling.importance(spark, folder)))
+    said = facts.select("churn", "importance", b.churn_analysis(True).alias("said"))
+    rate = text.percent(F.col("churn.churn_rate"), 1)
+    names = [F.col("said").contains(b.feature_name(F.col(f"importance.{n}"))) for n in ("first", "second")]
+    return said.select(
+        F.col("churn.n_churned").alias("n_churned"),
+        rate.alias("rate"),
+        F.col("said").contains(rate).alias("says_rate"),
+        (names[0] & names[1]).alias("names_features"),
+    )
 
 
 def _outlook_sql() -> str:
@@ -275,22 +289,36 @@ def brief_model_confidence(spark, folder):
     return metrics.select(b.model_confidence().alias("model_confidence"))
 
 
-@query("brief_report")
+@query(
+    "brief_report",
+    f"""WITH {FACTS} SELECT {_health_sql()} AS health_summary, true AS has_all_sections, 'template' AS client_type,
+    true AS sections_with_ml FROM facts""",
+)
 def brief_report(spark, folder):
+    """The whole briefing, by the library's own job; sections on the model are checked for being there."""
+    tx = t.tx(spark, folder)
     fitted, split = modelling.trained(spark, folder)
     customers = t.stored_customers(spark, folder)
     scores = fitted.score(split).select("customer_id", "churn_probability")
-    facts = _facts(
-        spark,
-        folder,
-        customers,
-        segments=_segments(customers, scores),
-        top_clv=_top_clv(customers),
-        with_forecast=True,
-        importance=b.top_two_features(modelling.importance(spark, folder)),
+    study = workflows.Study(
+        customers=customers,
+        split=split,
+        model=fitted,
         metrics=modelling.evaluation(fitted, split),
+        roc=None,
+        importance=modelling.importance(spark, folder),
+        predictions=scores,
+        clv=survival.clv_per_customer(customers),
+        segments=segments.segment_customers(customers, scores),
+    )
+    report = workflows.brief(tx, study=study, forecast=fc.forecast_holt(fc.series_input(tx)))
+    others = ("churn_analysis", "revenue_outlook", "customer_segments", "recommendations", "model_confidence")
+    return report.select(
+        "health_summary",
+        F.least(*[F.char_length(c) for c in others]).between(20, 10_000).alias("has_all_sections"),
+        "client_type",
+        "sections_with_ml",
     )
-    return b.briefing_report(facts)
 
 
 _STATUS_SQL = (

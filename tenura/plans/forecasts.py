@@ -1,5 +1,6 @@
 """Monthly series and their forecasts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tenura.operators import forecast as fc
@@ -7,6 +8,7 @@ from tenura.plans import tables as t
 from tenura.plans.analytics import TX_MONTHS
 from tenura.plans.registry import labelled, query, rounded
 from tenura.session import store
+from tenura.sources.tables import customer_dimensions
 
 SERIES = TX_MONTHS + """,
 series AS (
@@ -169,27 +171,64 @@ def union_history_forecast(spark, folder):
     return rounded(fc.history_and_forecast(series, fc.forecast_holt(series)), 2)
 
 
-@query("forecast_holt_winters")
+# SQL cannot fit these models. The queries return the series, months and backend,
+# which it can work out, next to properties that the forecasts must have.
+
+
+def _properties(forecasts):
+    """Bounds enclose the value, nothing is negative, and the upper bound's distance does not shrink."""
+    order = Window.partitionBy("series_key", "backend").orderBy("month")
+    width = F.round(F.col("upper") - F.col("value"), 6)
+    return forecasts.withColumn("_before", F.lag(width).over(order)).select(
+        "series_key",
+        "month",
+        "kind",
+        "backend",
+        (F.col("lower").between(0.0, F.col("upper")) & (F.col("value") <= F.col("upper"))).alias("is_ordered"),
+        F.coalesce(width >= F.col("_before"), F.lit(True)).alias("is_widening"),
+    )
+
+
+def _months_sql(series: str, backends: str, source: str = "series") -> str:
+    return f"""WITH {series}, {_status_sql(source)}
+    SELECT series_key, strftime(last_month + to_months(CAST(h AS INTEGER)), '%Y-%m') AS month, 'forecast' AS kind,
+    backend, true AS is_ordered, true AS is_widening
+    FROM status, (SELECT unnest(range(1, 13)) AS h), (SELECT unnest({backends}) AS backend) WHERE status = 'ok'"""
+
+
+@query("forecast_holt_winters", _months_sql(SERIES, "['holt_winters']"))
 def forecast_holt_winters(spark, folder):
-    return fc.forecast(_series(spark, folder))
+    return _properties(fc.forecast(_series(spark, folder)))
 
 
-@query("forecast_by_product")
+@query(
+    "forecast_by_product",
+    _months_sql(
+        t.TX_DIMENSIONS
+        + """, pairs AS (SELECT DISTINCT unnest(['revenue|', 'subscribers|']) || coalesce(product, '') AS series_key,
+                         date_trunc('month', transaction_date) AS month FROM tx)""",
+        "['holt_winters']",
+        "pairs",
+    ),
+)
 def forecast_by_product(spark, folder):
     """Two series per product, fitted in parallel."""
-    return fc.forecast(fc.series_input(t.tx_dimensions(spark, folder), "product"))
+    products = customer_dimensions(spark, folder)
+    return _properties(fc.forecast(fc.series_input(t.tx(spark, folder), "product", products)))
 
 
-@query("forecast_backend_dispatch")
+@query("forecast_backend_dispatch", _months_sql(SERIES, "['holt_winters', 'holt']"))
 def forecast_backend_dispatch(spark, folder):
-    """Every method on the same series."""
+    """Both smoothing methods on the same series."""
     series = store(_series(spark, folder))
-    first, *others = [fc.forecast(series, method=method) for method in fc.METHODS]
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    both = [fc.forecast(series, method=method) for method in ("holt_winters", "holt")]
+    return _properties(both[0].unionByName(both[1]))
 
 
-@query("forecast_seasonal_regression")
+@query(
+    "forecast_seasonal_regression",
+    _months_sql(SERIES, "['seasonal_regression']").replace("true AS is_ordered, true AS is_widening", "true AS is_ordered"),
+)
 def forecast_seasonal_regression(spark, folder):
-    return fc.forecast(_series(spark, folder), method="seasonal_regression")
+    found = fc.forecast(_series(spark, folder), method="seasonal_regression")
+    return _properties(found).drop("is_widening")

@@ -2,8 +2,10 @@
 
 from functools import cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tenura.fixed_values import FEATURES
 from tenura.operators import customers as cust
 from tenura.operators import explain, model, scoring
 from tenura.plans import tables as t
@@ -129,15 +131,12 @@ def single_class_guard(spark, folder):
     return model.class_weights(train).agg(F.count("*").alias("classes"))
 
 
-_FEATURES = ("recency_days", "frequency", "monetary_total", "aov", "tenure_days", "tx_per_month", "gap_std_days")
-
-
 @query(
     "standard_scale",
     f"WITH {t.TX_CUSTOMERS}, {SPLIT}, train AS (SELECT * FROM split WHERE split = 'train') "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg({c}), 3) AS mean, round(stddev_pop({c}), 3) AS scale FROM train"
-        for c in _FEATURES
+        for c in FEATURES
     ),
 )
 def standard_scale(spark, folder):
@@ -156,22 +155,52 @@ def trained(spark, folder):
     return _trained(spark.sparkContext.applicationId, folder, spark)
 
 
-@query("train_lr")
+# SQL cannot train the models. The queries below return what it can work out
+# (customers, labels, counts, ranks) next to properties that must hold.
+
+_SPLIT_ROWS = "SELECT customer_id, split, CAST(is_churned AS INTEGER) AS is_churned"
+_TESTED = "(SELECT count(*) FROM split WHERE split = 'test')"
+
+
+def _is_probability(column):
+    return F.col(column).between(0.0, 1.0)
+
+
+@query("train_lr", f"WITH {t.TX_CUSTOMERS}, {SPLIT} {_SPLIT_ROWS}, true AS is_probability FROM split")
 def train_lr(spark, folder):
     fitted, split = trained(spark, folder)
-    return fitted.score(split).select("customer_id", "split", "is_churned", "lr_probability")
+    rows = fitted.score(split).withColumn("is_probability", _is_probability("lr_probability"))
+    return rows.select("customer_id", "split", "is_churned", "is_probability")
 
 
-@query("train_rf")
+@query("train_rf", f"WITH {t.TX_CUSTOMERS}, {SPLIT} {_SPLIT_ROWS}, true AS is_probability FROM split")
 def train_rf(spark, folder):
     fitted, split = trained(spark, folder)
-    return fitted.score(split).select("customer_id", "split", "is_churned", "rf_probability")
+    rows = fitted.score(split).withColumn("is_probability", _is_probability("rf_probability"))
+    return rows.select("customer_id", "split", "is_churned", "is_probability")
 
 
-@query("score_ensemble")
+@query("score_ensemble", f"WITH {t.TX_CUSTOMERS}, {SPLIT} {_SPLIT_ROWS}, true AS is_mean_of_both FROM split")
 def score_ensemble(spark, folder):
     fitted, split = trained(spark, folder)
-    return fitted.score(split).select("customer_id", "churn_probability")
+    mean = (F.col("lr_probability") + F.col("rf_probability")) / 2
+    rows = fitted.score(split).withColumn("is_mean_of_both", F.abs(mean - F.col("churn_probability")) < 1e-12)
+    return rows.select("customer_id", "split", "is_churned", "is_mean_of_both")
+
+
+def largest_gradient(fitted, split):
+    """One row: the largest component of the logistic loss's gradient over the training rows."""
+    train = fitted.score(split.where("split = 'train'"))
+    weights = {r["label"]: r["weight"] for r in model.class_weights(split.where("split = 'train'")).collect()}
+    error = F.when(F.col("is_churned") == 1, weights[1] * (F.col("lr_probability") - 1)).otherwise(
+        weights[0] * F.col("lr_probability")
+    )
+    pull = {c: b / fitted.n_train for c, b in zip(fitted.features, fitted.logistic.coefficients)}
+    parts = [
+        F.abs(F.avg(error * (F.col(c) - mean) / scale) + F.lit(float(pull[c])))
+        for c, (mean, scale) in fitted.scaling.items()
+    ]
+    return train.agg(F.greatest(F.abs(F.avg(error)), *parts).alias("largest"))
 
 
 def evaluation(fitted, split):
@@ -180,9 +209,22 @@ def evaluation(fitted, split):
     return scoring.evaluate(scored, fitted.n_train)
 
 
-@query("model_metrics")
+@query(
+    "model_metrics",
+    f"""WITH {t.TX_CUSTOMERS}, {SPLIT}
+    SELECT CAST(count(*) FILTER (split = 'train') AS BIGINT) AS n_train,
+           CAST(count(*) FILTER (split = 'test') AS BIGINT) AS n_test,
+           true AS are_shares, true AS is_at_optimum FROM split""",
+)
 def model_metrics(spark, folder):
-    return evaluation(*trained(spark, folder))
+    fitted, split = trained(spark, folder)
+    shares = [_is_probability(c) | F.col(c).isNull() for c in ("precision", "recall", "f1", "auc")]
+    return evaluation(fitted, split).select(
+        "n_train",
+        "n_test",
+        (shares[0] & shares[1] & shares[2] & shares[3]).alias("are_shares"),
+        (largest_gradient(fitted, split).scalar() < 1e-4).alias("is_at_optimum"),
+    )
 
 
 @query(
@@ -194,27 +236,68 @@ def sample_cap(spark, folder):
     return rows.agg(F.count_distinct("customer_id").alias("sampled"))
 
 
-def _shap(spark, folder):
+@cache
+def _explained(app_id: str, folder: str, spark):
+    """Shapley values of all test customers, worked out once per session and folder."""
     fitted, split = trained(spark, folder)
-    test = split.where("split = 'test'")
-    return explain.shap_values(fitted, test, max_samples=None), fitted.features
+    return store(explain.shap_values(fitted, split.where("split = 'test'"))), fitted.features
+
+
+def _shap(spark, folder):
+    return _explained(spark.sparkContext.applicationId, folder, spark)
 
 
-@query("shap_values")
+@query(
+    "shap_values",
+    f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT customer_id, feature_name, true AS adds_up FROM split,
+    (SELECT unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) AS feature_name) WHERE split = 'test'""",
+)
 def shap_values(spark, folder):
-    return explain.shap_long(*_shap(spark, folder))
+    """Each customer's values and the base value add up to the forest's probability."""
+    shap, features = _shap(spark, folder)
+    total = F.aggregate("phi", F.col("base_value"), lambda a, x: a + x)
+    sums = shap.select("customer_id", (F.abs(total - F.col("rf_probability")) < 1e-6).alias("adds_up"))
+    return explain.shap_long(shap, features).join(sums, "customer_id").select("customer_id", "feature_name", "adds_up")
 
 
 def importance(spark, folder):
     return explain.shap_importance(*_shap(spark, folder))
 
 
-@query("importance_rank")
-@query("shap_importance")
+_ALL_FEATURES = f"(SELECT unnest([{', '.join(repr(c) for c in FEATURES)}]) AS feature_name)"
+
+
+@query(
+    "shap_importance",
+    f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT feature_name, CAST({_TESTED} AS BIGINT) AS n_explained,
+    true AS is_positive FROM {_ALL_FEATURES}""",
+)
 def shap_importance(spark, folder):
-    return importance(spark, folder)
+    shap, _ = _shap(spark, folder)
+    rows = importance(spark, folder).withColumn("n_explained", shap.agg(F.count("*")).scalar())
+    return rows.select("feature_name", "n_explained", (F.col("mean_abs_shap") > 0).alias("is_positive"))
+
+
+def _ranked(rows, spark, folder):
+    """Ranks, and whether each mean is not above the one before."""
+    shap, _ = _shap(spark, folder)
+    before = F.lag("mean_abs_shap").over(Window.orderBy("rank"))
+    return rows.select(
+        "rank",
+        F.coalesce(before >= F.col("mean_abs_shap"), F.lit(True)).alias("is_in_order"),
+        shap.agg(F.count("*")).scalar().alias("n_explained"),
+    )
+
+
+_RANKS = f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT CAST(r AS BIGINT) AS "rank", true AS is_in_order,
+    CAST({_TESTED} AS BIGINT) AS n_explained FROM (SELECT unnest(range(1, %d)) AS r)"""
+
+
+@query("importance_rank", _RANKS % 8)
+def importance_rank(spark, folder):
+    return _ranked(importance(spark, folder), spark, folder)
 
 
-@query("top_features")
+@query("top_features", _RANKS % 4)
 def top_features(spark, folder):
-    return explain.top_features(importance(spark, folder))
+    return _ranked(explain.top_features(importance(spark, folder), 3), spark, folder)

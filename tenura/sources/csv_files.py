@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from tenura.errors import InsufficientDataError
 from tenura.fixed_values import ALLOWED_EXTENSIONS, NULL_TOKENS
 
-REPLACEMENT = "�"
+READABLE_EXTENSIONS = (".csv",)  # of the allowed ones; spreadsheets have to be exported first
+LOSSLESS = "ISO-8859-1"  # every byte is a character
 
 
-def _read(spark, path, encoding, multi_line) -> DataFrame:
-    return spark.read.csv(
+def _read(spark, path, encoding, multi_line, columns=None) -> DataFrame:
+    reader = spark.read
+    if columns:
+        reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
+    return reader.csv(
         path,
         header=True,
         inferSchema=False,
@@ -21,6 +25,29 @@ def _read(spark, path, encoding, multi_line) -> DataFrame:
     )
 
 
+def _headers(spark, path) -> list[tuple[str, list[str]]]:
+    """The different first lines, and the files that begin with each. One row per file reaches the driver."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.rtrim("value").alias("value"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    found: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        found.setdefault(r["line"], []).append(r["file"])
+    return list(found.items())
+
+
+def _parts(spark, path, encoding, multi_line) -> list[DataFrame]:
+    """One table per header, so that columns are matched by name and not by position."""
+    headers = _headers(spark, path)
+    if len(headers) < 2:
+        return [_read(spark, path, encoding, multi_line)]
+    return [_read(spark, files, encoding, multi_line) for _, files in headers]
+
+
 def scan_csv(
     spark: SparkSession,
     path,
@@ -32,41 +59,71 @@ def scan_csv(
 ) -> DataFrame:
     """Read CSV files with a header row, every column as a string.
 
-    ``encoding=None`` reads UTF-8 and falls back to Latin-1 when the data is
-    not valid UTF-8; naming the encoding saves that pass over the files.
-    ``multi_line`` allows line breaks inside quoted cells, which makes each
-    file one task; pass ``False`` for large files without such cells so that
-    they are split. ``ordinal`` names an added column that orders rows as
-    they stand in the files.
+    Files may have their columns in different orders, or lack some; columns
+    are those of all files. ``encoding=None`` decodes each file as UTF-8, or
+    as Latin-1 if any of its cells is not valid UTF-8, which takes a pass over
+    the files; naming the encoding saves it. Cells beyond the header's width
+    are not read: see :func:`malformed_rows`. ``multi_line`` allows line
+    breaks inside quoted cells, which makes each file one task; pass ``False``
+    for large files without such cells so that they are split. ``ordinal``
+    names an added column that orders rows as they stand in the files.
     """
-    df = _read(spark, path, encoding or "UTF-8", multi_line)
-    if encoding is None and has_invalid_utf8(df):
-        df = _read(spark, path, "ISO-8859-1", multi_line)
-    columns = df.columns
+    whole = None
+    for part in _parts(spark, path, encoding or LOSSLESS, multi_line):
+        columns = part.columns
+        file = F.col("_metadata.file_path")
+        added = [file.alias("_file")]
+        if ordinal:
+            place = (file.alias("file"), F.col("_metadata.file_block_start").alias("block"))
+            added.append(F.struct(*place, F.monotonically_increasing_id().alias("row")).alias(ordinal))
+        rows = part.select(*[F.col(f"`{c}`") for c in columns], *added)
+        if encoding is None:
+            rows = _decoded(rows, columns)
+        rows = rows.drop("_file")
+        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
     if ordinal:
-        df = df.select(
-            *[F.col(f"`{c}`") for c in columns],
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias(ordinal),
-        )
-    return nullify_tokens(df, columns=columns) if null_tokens else df
-
-
-def has_invalid_utf8(df: DataFrame) -> bool:
-    """Spark decodes bad bytes to U+FFFD instead of failing.
-
-    The header is decoded on the driver, the cells are checked by a filter
-    that stops at the first hit.
+        whole = whole.select(*[F.col(f"`{c}`") for c in whole.columns if c != ordinal], ordinal)
+    columns = [c for c in whole.columns if c != ordinal]
+    return nullify_tokens(whole, columns=columns) if null_tokens else whole
+
+
+def _decoded(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells and headers read byte by byte, as UTF-8 where a file is valid, else as Latin-1."""
+    bytes_of = lambda c: F.encode(F.col(f"`{c}`"), LOSSLESS)
+    utf8 = lambda c: F.coalesce(F.is_valid_utf8(bytes_of(c).cast("string")), F.lit(True))
+    valid = F.lit(True)
+    for c in columns:
+        valid = valid & utf8(c)
+    files = rows.groupBy("_file").agg(F.bool_and(valid).alias("_utf8"))  # one row per file
+    joined = rows.join(files, "_file")
+    cells = [
+        F.when(F.col("_utf8"), F.decode(bytes_of(c), "UTF-8")).otherwise(F.col(f"`{c}`")).alias(_header(c))
+        for c in columns
+    ]
+    rest = [c for c in rows.columns if c not in columns and c != "_file"]
+    return joined.select(*cells, *rest, "_file")
+
+
+def _header(name: str) -> str:
+    try:
+        return name.encode(LOSSLESS).decode("UTF-8").removeprefix("\ufeff")
+    except UnicodeError:
+        return name
+
+
+def malformed_rows(spark: SparkSession, path, *, multi_line: bool = True) -> DataFrame:
+    """Rows with more cells than their header: ``(file, cells)``, up to the first cell too many.
+
+    A pass over the files, as Latin-1.
     """
-    if any(REPLACEMENT in c for c in df.columns):
-        return True
-    bad = F.lit(False)
-    for c in df.columns:
-        bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT), F.lit(False))
-    return not df.where(bad).limit(1).isEmpty()
+    whole = spark.createDataFrame([], "file string, cells array<string>")
+    for _, files in _headers(spark, path):
+        names = [f"c{i}" for i in range(len(_read(spark, files, LOSSLESS, multi_line).columns) + 1)]
+        rows = _read(spark, files, LOSSLESS, multi_line, names).where(F.col(names[-1]).isNotNull())
+        whole = whole.unionByName(
+            rows.select(F.col("_metadata.file_name").alias("file"), F.array(*names).alias("cells"))
+        )
+    return whole
 
 
 def nullify_tokens(df: DataFrame, columns=None) -> DataFrame:
@@ -84,7 +141,7 @@ def nullify_tokens(df: DataFrame, columns=None) -> DataFrame:
 
 
 def file_guard(spark: SparkSession, path, *, max_bytes: int | None = None) -> DataFrame:
-    """Files that must not be read: ``(file, bytes, reason)``, empty when all is well.
+    """Files that are not read: ``(file, bytes, reason)``, empty when all is well.
 
     Lists the files without reading their contents.
     """
@@ -94,14 +151,16 @@ def file_guard(spark: SparkSession, path, *, max_bytes: int | None = None) -> Da
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
     )
     suffix = F.lower(F.regexp_extract("file", r"(\.[^.]*)$", 1))
-    reason = F.when(~suffix.isin(*ALLOWED_EXTENSIONS), F.lit("unsupported extension"))
+    reason = F.when(~suffix.isin(*ALLOWED_EXTENSIONS), F.lit("unsupported extension")).when(
+        ~suffix.isin(*READABLE_EXTENSIONS), F.lit("spreadsheet: export it as CSV")
+    )
     if max_bytes is not None:
         reason = reason.when(F.col("bytes") > max_bytes, F.lit("too large"))
     return files.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
 def ingest_summary(df: DataFrame) -> DataFrame:
-    """Per file: name, rows, columns, bytes. ``df`` must come straight from a file scan."""
+    """Per file: name, rows, columns, bytes. ``df`` must come straight from a file scan with a named encoding."""
     return (
         df.select(
             F.col("_metadata.file_name").alias("file_name"),

@@ -51,6 +51,20 @@ def orders_as_transactions(
     )
 
 
+def customer_dimensions(spark: SparkSession, folder: str) -> DataFrame:
+    """``(customer_id, product, country)``, one row per customer."""
+    nation = read_table(spark, folder, "nation")
+    return (
+        read_table(spark, folder, "customer")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .select(
+            F.col("c_custkey").cast("string").alias("customer_id"),
+            F.col("c_mktsegment").alias("product"),
+            F.col("n_name").alias("country"),
+        )
+    )
+
+
 def events_as_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """One transaction per event, with time of day."""
     return read_table(spark, folder, "events").select(

@@ -5,13 +5,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.errors import DateFormatError
+from tenura.errors import DateFormatError, SchemaError
+from tenura.operators import briefing, date_formats, explain, kpis, quality, schema, scoring, segments, survival
 from tenura.operators import customers as cust
-from tenura.operators import date_formats, explain, quality, schema, scoring, segments, survival
+from tenura.operators.forecast import as_series
 from tenura.operators.model import ChurnModel, train_model
 from tenura.session import ensure_utc, store
-from tenura.sources import require_rows, scan_csv
-from tenura.sources.csv_files import has_invalid_utf8
+from tenura.sources import file_guard, ingest_summary, require_rows, scan_csv
+from tenura.sources.csv_files import malformed_rows
 
 
 @dataclass
@@ -25,6 +26,10 @@ class Ingested:
     ambiguous: bool
     parse_failures: int
     quality: DataFrame
+    malformed: DataFrame
+    date_samples: DataFrame
+    files: DataFrame
+    refused: DataFrame
 
 
 def ingest(
@@ -42,11 +47,17 @@ def ingest(
     The text is read once and stored as it is, and once more with its types:
     what follows reads those columns only, with filters pushed down.
     With ``allow_ambiguous=False`` a file whose days and months cannot be told
-    apart is refused until ``date_format`` is given. ``strict`` refuses files
-    with blocking quality findings.
+    apart is refused until ``date_format`` is given; ``date_samples`` shows
+    what the format makes of some dates. ``malformed`` has the rows with cells
+    beyond the header, ``files`` the rows and bytes per file and ``refused``
+    the files that are no CSV. ``strict`` refuses files with such rows or with
+    blocking quality findings.
     """
     ensure_utc(spark)
-    raw = _stored_text(spark, path, **scan)
+    malformed = malformed_rows(spark, path, multi_line=scan.get("multi_line", True))
+    if strict and not malformed.isEmpty():
+        raise SchemaError("some rows have more cells than the header")
+    raw = store(schema.normalise_headers(scan_csv(spark, path, ordinal="_ordinal", **scan)))
     require_rows(raw)
     cells = raw.drop("_ordinal")
     text = schema.canonical_schema(raw)
@@ -68,22 +79,13 @@ def ingest(
         ambiguous=ambiguous,
         parse_failures=failures,
         quality=report,
+        malformed=malformed,
+        date_samples=date_formats.sample_pairs(text, date_format, ["_ordinal"]),
+        files=ingest_summary(scan_csv(spark, path, encoding="UTF-8", null_tokens=False)),
+        refused=file_guard(spark, path),
     )
 
 
-def _stored_text(spark: SparkSession, path, encoding: str | None = None, **scan) -> DataFrame:
-    """The files as strings with normalised headers and an ordinal."""
-
-    def read(encoding):
-        df = scan_csv(spark, path, encoding=encoding, ordinal="_ordinal", **scan)
-        return store(schema.normalise_headers(df))
-
-    text = read(encoding or "UTF-8")
-    if encoding is None and has_invalid_utf8(text.drop("_ordinal")):
-        text = read("ISO-8859-1")
-    return text
-
-
 @dataclass
 class Study:
     """Trained model and the tables that follow from it."""
@@ -135,3 +137,33 @@ def study(
         clv=survival.clv_per_customer(customers),
         segments=segments.segment_customers(customers, predictions),
     )
+
+
+def brief(tx: DataFrame, *, study: Study | None = None, forecast: DataFrame | None = None) -> DataFrame:
+    """One row with the written briefing: six sections and how they were made.
+
+    Without a study the sections on segments, lifetime value and the model use
+    their wording without them; ``forecast`` is a result of
+    :func:`tenura.operators.forecast.forecast` on the same transactions.
+    """
+    ensure_utc(tx.sparkSession)
+    monthly = store(kpis.monthly_kpis(tx))
+    customers = store(cust.customer_table(tx)) if study is None else study.customers
+    given = {}
+    if study is not None:
+        given = {
+            "segments": briefing.segment_counts(study.segments),
+            "top_clv": survival.clv_quantile(study.clv),
+            "importance": briefing.top_two_features(study.importance),
+            "metrics": study.metrics,
+        }
+    if forecast is not None:
+        given["forecast"] = briefing.forecast_facts(as_series(monthly), forecast)
+    facts = briefing.briefing_facts(
+        snapshot=kpis.kpi_snapshot(tx, monthly),
+        trend=kpis.revenue_trend(monthly),
+        churn=cust.churn_summary(customers),
+        behaviour=cust.rfm_summary(customers),
+        **given,
+    )
+    return briefing.briefing_report(facts)

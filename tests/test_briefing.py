@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tenura import workflows
 from tenura.functions import text
 from tenura.operators import briefing as b
+from tenura.operators import forecast
 
 
 def facts(spark, rate=0.1, months=8, recent=100.0, prior=100.0, older=100.0, **extra):
@@ -146,3 +148,20 @@ def test_numbers_format_like_python(spark, value):
     x = F.lit(value)
     row = spark.range(1).select(text.number(x, 2), text.number(x), text.plain_number(x, 1), text.percent(x, 1)).first()
     assert tuple(row) == (f"{value:,.2f}", f"{value:,.0f}", f"{value:.1f}", f"{value:.1%}")
+
+
+def test_an_empty_segment_table_reads_as_none(spark):
+    empty = dict.fromkeys(("total", "New", "Healthy", "At Risk", "High Value", "Churned"), 0)
+    said = lambda f, flag: f.select(b.customer_segments(flag).alias("s")).first()["s"]
+    assert said(facts(spark, segments=empty), True) == said(facts(spark), False)
+
+
+def test_briefing_of_transactions(spark, make_tx):
+    rows = [(f"c{i}", f"2024-{m:02d}-0{1 + i % 9}", 10.0 + i) for i in range(60) for m in range(1, 9) if i % 4 or m < 3]
+    tx = make_tx(rows)
+    report = workflows.brief(tx).first()
+    assert report["model_confidence"] is None and not report["sections_with_ml"]
+    sections = ("health_summary", "churn_analysis", "revenue_outlook", "customer_segments", "recommendations")
+    assert all(len(report[s]) > 40 for s in sections)
+    ahead = workflows.brief(tx, forecast=forecast.forecast(forecast.series_input(tx), method="holt")).first()
+    assert ahead["revenue_outlook"] != report["revenue_outlook"]

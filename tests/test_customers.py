@@ -110,6 +110,15 @@ def test_clv_uses_twice_mean_tenure_without_median(spark):
         survival.clv_per_customer(people(spark, rows[:9]))
 
 
+def test_customers_without_a_date_have_no_lifetime(spark):
+    rows = [(f"c{i}", 180, i < 6, 50.0, 1.0, 1.0, 1) for i in range(10)] + [("none", None, None, None, None, None, None)]
+    customers = people(spark, rows)
+    assert survival.survival_at_risk(customers).agg({"at_risk": "max"}).first()[0] == 10
+    found = {r["customer_id"]: r for r in survival.clv_per_customer(customers).collect()}
+    assert found["none"]["expected_remaining_months"] is None and found["none"]["expected_clv"] is None
+    assert found["c9"]["expected_remaining_months"] is not None
+
+
 def test_median_and_floors(spark):
     rows = [(f"c{i}", 10 * (i + 1), i < 10, 10.0, 1.0, 1.0, 1) for i in range(12)]
     customers = people(spark, rows)

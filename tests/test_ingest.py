@@ -5,6 +5,7 @@ from tenura.errors import DateFormatError, InsufficientDataError, LeakageError,
 from tenura.operators import date_formats as dates
 from tenura.operators import schema
 from tenura.sources import file_guard, ingest_summary, require_rows, scan_csv
+from tenura.sources.csv_files import malformed_rows
 
 
 def write(tmp_path, text, name="upload.csv", encoding="utf-8"):
@@ -40,6 +41,65 @@ def test_byte_order_mark_and_latin1(spark, tmp_path):
         assert df.first()["product"] == "café"
 
 
+def test_columns_are_matched_by_name(spark, tmp_path):
+    write(tmp_path, "customer_id,date,amount\nc1,2024-01-01,1\n", "a.csv")
+    write(tmp_path, "amount,customer_id,date,country\n2,c2,2024-01-02,NL\n", "b.csv")
+    for encoding in (None, "UTF-8"):
+        rows = {r["customer_id"]: r for r in scan_csv(spark, str(tmp_path), encoding=encoding, ordinal="o").collect()}
+        assert (rows["c1"]["date"], rows["c1"]["amount"], rows["c1"]["country"]) == ("2024-01-01", "1", None)
+        assert (rows["c2"]["date"], rows["c2"]["amount"], rows["c2"]["country"]) == ("2024-01-02", "2", "NL")
+
+
+def test_encoding_is_decided_per_file(spark, tmp_path):
+    write(tmp_path, "customer_id,größe\nc1,café\nc2,\ufffd\n", "a.csv")
+    write(tmp_path, "customer_id,größe\nc3,café\n", "b.csv", encoding="latin-1")
+    rows = scan_csv(spark, str(tmp_path)).collect()
+    assert {r["customer_id"]: r["größe"] for r in rows} == {"c1": "café", "c2": "\ufffd", "c3": "café"}
+
+
+def test_rows_wider_than_the_header_are_found(spark, tmp_path):
+    text = 'customer_id,date,amount\nc1,2024-01-01,1\nc2,2024-01-02,2,EXTRA\nc3,2024-01-03\nc4,"a,b",,more\n'
+    found = malformed_rows(spark, write(tmp_path, text)).collect()
+    assert sorted(r["cells"][-1] for r in found) == ["EXTRA", "more"] and len(found[0]["cells"]) == 4
+    assert {r["file"] for r in found} == {"upload.csv"}
+    done = workflows.ingest(spark, str(tmp_path), date_format="%Y-%m-%d")
+    assert done.malformed.count() == 2 and done.files.first()["row_count"] == 4 and done.refused.count() == 0
+    assert done.date_samples.first()["parsed"] == "January 01, 2024"
+    with pytest.raises(SchemaError):
+        workflows.ingest(spark, str(tmp_path), date_format="%Y-%m-%d", strict=True)
+
+
+def test_amounts_that_are_no_numbers_are_missing(spark):
+    texts = ["5", "NaN", "nan", "inf", "-inf", "Infinity", "-Infinity", "1e999", "12.5d", "1e3", None]
+    df = spark.createDataFrame([("c", "2024-01-01", x) for x in texts], "customer_id string, transaction_date string, transaction_amount string")
+    rows = schema.coerce_types(df).collect()
+    assert [r["transaction_amount"] for r in rows] == [5.0] + [None] * 8 + [1000.0, None]
+
+
+@pytest.mark.parametrize(
+    ("fmt", "raw", "expected"),
+    [
+        ("%d %b %Y", "3 Feb 2024", "2024-02-03 00:00:00"),
+        ("%Y-%m-%d %H:%M:%S", "2024-02-03 04:05:06", "2024-02-03 04:05:06"),
+        ("%m/%d/%y", "2/3/24", "2024-02-03 00:00:00"),
+        ("%m/%d/%y", "2/3/99", "1999-02-03 00:00:00"),
+        ("%Y%m%d", "20240203", "2024-02-03 00:00:00"),
+        ("%d.%m.%Y at %I:%M %p", "03.02.2024 at 4:05 PM", "2024-02-03 16:05:00"),
+    ],
+)
+def test_any_strptime_format(spark, fmt, raw, expected):
+    df = spark.createDataFrame([(raw,), ("no date",)], "transaction_date string")
+    rows = [r[0] for r in dates.parse_dates(df, fmt).collect()]
+    assert [str(x) for x in rows] == [expected, "None"]
+
+
+def test_unknown_directives_are_refused(spark):
+    df = spark.createDataFrame([("x",)], "transaction_date string")
+    for fmt in ("%Q", "%Y-%U", "%"):
+        with pytest.raises(DateFormatError):
+            dates.parse_dates(df, fmt)
+
+
 def test_header_only_is_insufficient(spark, tmp_path):
     with pytest.raises(InsufficientDataError):
         require_rows(scan_csv(spark, write(tmp_path, "customer_id,transaction_date\n")))
@@ -50,7 +110,7 @@ def test_file_guard_and_summary(spark, tmp_path):
     write(tmp_path, "x", "notes.txt")
     found = {r["file"]: r["reason"] for r in file_guard(spark, str(tmp_path), max_bytes=10).collect()}
     assert found == {"notes.txt": "unsupported extension", "upload.csv": "too large"}
-    summary = ingest_summary(scan_csv(spark, str(tmp_path / "upload.csv"), null_tokens=False)).first()
+    summary = ingest_summary(scan_csv(spark, str(tmp_path / "upload.csv"), encoding="UTF-8", null_tokens=False)).first()
     assert (summary["file_name"], summary["row_count"], summary["column_count"]) == ("upload.csv", 2, 3)
     assert summary["file_size_bytes"] == len(TWO_ROWS)
 

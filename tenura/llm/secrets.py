@@ -13,6 +13,7 @@ from tenura.session import store
 # What a candidate can be made of, and words that hint at or against a credential.
 CORE = r"[A-Za-z0-9_+/\-]{10,}"
 ASSIGNED = r"[=:]"
+PREFIX = r"(AKIA|ASIA|AIza|gh[pousr]_|xox[abp]-|sk-)"
 HINT = r"(?i)(secret|token|passw|pwd|api_?key|apikey|auth|bearer|credential|private|access)"
 HARMLESS = r"(?i)(example|sample|test|mock|dummy|fixture|vendor|lock$|\.md$|docs?/)"
 PLACEHOLDER = "[SECRET]"
@@ -43,7 +44,7 @@ def candidates(
     """Strings that could be credentials, with their surroundings.
 
     A candidate is a run of at least ten letters, digits or ``_+/-`` in a word
-    that has a digit or stands after an assignment. Returns row (a number for
+    that has a digit or a known prefix, or stands after an assignment. Returns row (a number for
     each input row), doc_id, path, at (the word's position), word, before2,
     before, after, candidate. A row without candidates is there once with a
     null candidate.
@@ -57,7 +58,10 @@ def candidates(
     words = rows.select("*", F.posexplode_outer("words").alias("at", "word"))
     before = F.get("words", F.col("at") - 1)
     possible = (F.char_length("word") >= 10) & (
-        F.col("word").rlike("[0-9]") | F.col("word").rlike(ASSIGNED) | F.coalesce(before.rlike(ASSIGNED + "$"), F.lit(False))
+        F.col("word").rlike("[0-9]")
+        | F.col("word").rlike(ASSIGNED)
+        | F.col("word").rlike(PREFIX)
+        | F.coalesce(before.rlike(ASSIGNED + "$"), F.lit(False))
     )
     kept = words.withColumn("possible", F.coalesce(possible, F.lit(False))).where(
         F.col("possible") | (F.coalesce("at", F.lit(0)) == 0)
@@ -150,7 +154,7 @@ def labelled_by_format(features: DataFrame) -> DataFrame:
     mixed hexadecimal string that a hint word is set to, is a credential. Numbers
     and signs alone, and strings mostly made of dictionary words, are none.
     """
-    known = F.col("candidate").rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9A-Za-z-]{20,})$")
+    known = F.col("candidate").rlike("^(A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9A-Za-z-]{20,})$")
     hinted = (F.col("hint_here") + F.col("hint_before") > 0) & (F.col("assigned") == 1)
     letters = F.col("lower_share") + F.col("upper_share")
     mixed = (F.col("digit_share") > 0.1) & (letters > 0.1)

@@ -157,7 +157,7 @@ def _pair_counts(numbered: DataFrame, slices: int) -> DataFrame:
             pairs, n = np.unique(hashes[learns], return_counts=True)
             where = _slice_of(pairs, slices).astype(np.int64)
             cuts = np.flatnonzero(np.diff(where, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(pairs)], strict=True):
+            for a, b in zip(cuts, np.append(cuts[1:], len(pairs)), strict=False):  # none without training tokens
                 # sorted hashes: small differences, many zero bytes
                 steps = np.diff(pairs[a:b], prepend=np.uint64(0)).astype("<u8")
                 yield pa.RecordBatch.from_arrays(
@@ -234,7 +234,7 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, denominator: float, rounds: in
     """
     context, rest = np.divmod(np.arange(LEVELS**3), LEVELS**2)
     pair, word = np.divmod(rest, LEVELS)
-    base = (typical(word) + 1) / denominator
+    base = np.minimum((typical(word) + 1) / denominator, 1.0)
     many = np.maximum(typical(context), 1.0)
     relative = np.minimum(np.where(pair > 0, typical(pair), 0.0) / many, 1.0)
     weight = np.full(LEVELS, 0.3)

@@ -77,7 +77,9 @@ def test_the_librarys_best_path_agrees(make_docs, pieces):
     rows = spm.encode(make_docs(texts), pieces).orderBy("doc_id").collect()
     for r, text in zip(rows, texts, strict=True):
         theirs = library.nbest_encode(text, nbest_size=1)[0]
-        assert score_of(r.ids, text, pieces) == pytest.approx(score_of(theirs, text, pieces))
+        # the library adds up in single precision, so it may take a path that is a little worse
+        assert score_of(r.ids, text, pieces) >= score_of(theirs, text, pieces)
+        assert score_of(r.ids, text, pieces) == pytest.approx(score_of(theirs, text, pieces), rel=1e-3)
 
 
 def test_no_piece_reaches_across_a_cut(pieces):

@@ -21,6 +21,16 @@ def unit_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
+def hashed_sample(df: DataFrame, size: int, total: int, *columns: Column | str) -> DataFrame:
+    """At most ``size`` of ``total`` rows, drawn by a hash of the columns.
+
+    A first draw leaves about twice as many, so that the task that puts them
+    in order gets few from each partition.
+    """
+    some = df.where(unit_hash(*columns, F.lit(1)) < 2.0 * size / max(total, 1))
+    return some.orderBy(F.xxhash64(*columns), *columns).limit(size)
+
+
 def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """A function for mapInArrow that handles one bounded batch at a time."""
 

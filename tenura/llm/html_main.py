@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import by_batch
+from tenura.llm.common import by_batch, hashed_sample
 
 # HTML's elements by kind, and words that hint at a block's role.
 BLOCK_TAGS = frozenset(
@@ -334,7 +334,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     return "\n".join(b.text for b, keep in zip(found, content_flags(found, weights), strict=True) if keep)
 
 
-def fit(pages: DataFrame, sample: int = 1_000, html: str = "html") -> np.ndarray:
+def fit(pages: DataFrame, sample: int = 1_000, page_id: str = "page_id", html: str = "html") -> np.ndarray:
     """Weights from at most ``sample`` pages, drawn by a hash, whose element names tell content and side matter apart."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -342,9 +342,8 @@ def fit(pages: DataFrame, sample: int = 1_000, html: str = "html") -> np.ndarray
         flat = [x[hinted_labels(x) >= 0].ravel() for x in rows]
         return pa.RecordBatch.from_arrays([pa.array(flat, pa.list_(pa.float64()))], ["x"])
 
-    texts = pages.select(F.col(html).alias("html")).where(F.col("html").isNotNull())
-    drawn = texts.select("html", F.xxhash64("html").alias("draw")).orderBy("draw", "html").limit(sample).select("html")
-    got = drawn.mapInArrow(by_batch(make), "x array<double>").toArrow()
+    texts = pages.select(F.col(page_id).alias("id"), F.col(html).alias("html")).where(F.col("html").isNotNull())
+    got = hashed_sample(texts, sample, texts.count(), "id", "html").select("html").mapInArrow(by_batch(make), "x array<double>").toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if got.num_rows else np.zeros((0, FEATURES))
     x = x[np.lexsort(x.T)]  # whatever order the rows came in
     return train(x, hinted_labels(x))

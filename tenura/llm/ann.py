@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.llm.common import by_batch
+from tenura.llm.common import by_batch, hashed_sample
 from tenura.session import store
 
 QUERIES_AT_ONCE = 2048  # of a block of queries, against
@@ -125,7 +125,7 @@ def nearest(
     kind = rows.schema["id"].dataType.simpleString()
     if not total:
         return spark.createDataFrame([], schema)
-    drawn = rows.select("x", F.xxhash64("id", "x").alias("draw")).orderBy("draw").limit(sample).toArrow()
+    drawn = hashed_sample(rows, sample, total, "row", "id", "x").select("x").toArrow()
     points = _matrix(drawn["x"].combine_chunks())
     cut = points.shape[1] // 2
     many = max(1, min(centroids, len(points) // 8))

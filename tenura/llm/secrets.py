@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import free_name, join_counted
+from tenura.llm.common import free_name, hashed_sample, join_counted
 from tenura.session import store
 
 # What a candidate can be made of, and words that hint at or against a credential.
@@ -170,11 +170,8 @@ def fit(findings: DataFrame, max_findings: int = 20_000, trees: int = 30, depth:
     At most ``max_findings`` of them are used, drawn by a hash of the
     candidate. None if the labels do not have both classes.
     """
-    drawn = store(
-        findings.select(*FEATURES, "label", F.xxhash64("candidate", "word", "before").alias("draw"))
-        .orderBy("draw", *FEATURES)
-        .limit(max_findings)
-    )
+    keys = [c for c in ("row", "at", "candidate", "word", "before") if c in findings.columns]
+    drawn = store(hashed_sample(findings, max_findings, findings.count(), *keys).select(*FEATURES, "label"))
     if drawn.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(

@@ -7,7 +7,7 @@ from tenura.errors import InsufficientDataError
 from tenura.fixed_values import ALLOWED_EXTENSIONS, NULL_TOKENS
 
 READABLE_EXTENSIONS = (".csv",)  # of the allowed ones; spreadsheets have to be exported first
-LOSSLESS = "ISO-8859-1"  # every byte is a character
+LATIN1 = "ISO-8859-1"  # every byte is a character
 
 
 def _read(spark, path, encoding, multi_line, columns=None) -> DataFrame:
@@ -25,27 +25,32 @@ def _read(spark, path, encoding, multi_line, columns=None) -> DataFrame:
     )
 
 
-def _headers(spark, path) -> list[tuple[str, list[str]]]:
-    """The different first lines, and the files that begin with each. One row per file reaches the driver."""
+def _headers(spark, path) -> list[tuple[str, bool, list[str]]]:
+    """Files by their first line and by whether all their lines are valid UTF-8.
+
+    One pass over the files; one row per file reaches the driver.
+    """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        F.rtrim("value").alias("value"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("row"),
+        "value",
     )
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("line"))
-    found: dict[str, list[str]] = {}
-    for r in first.orderBy("file").collect():
-        found.setdefault(r["line"], []).append(r["file"])
-    return list(found.items())
+    files = lines.groupBy("file").agg(
+        F.min_by(F.rtrim("value"), "row").alias("line"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    found: dict[tuple[str, bool], list[str]] = {}
+    for r in files.orderBy("file").collect():
+        found.setdefault((r["line"], r["utf8"]), []).append(r["file"])
+    return [(*key, files) for key, files in found.items()]
 
 
 def _parts(spark, path, encoding, multi_line) -> list[DataFrame]:
-    """One table per header, so that columns are matched by name and not by position."""
-    headers = _headers(spark, path)
-    if len(headers) < 2:
-        return [_read(spark, path, encoding, multi_line)]
-    return [_read(spark, files, encoding, multi_line) for _, files in headers]
+    """One table per header and encoding, so that columns are matched by name and not by position."""
+    groups = _headers(spark, path)
+    named = lambda utf8: encoding or ("UTF-8" if utf8 else LATIN1)
+    if len({(line, named(utf8)) for line, utf8, _ in groups}) < 2:
+        return [_read(spark, path, named(all(utf8 for _, utf8, _ in groups)), multi_line)]
+    return [_read(spark, files, named(utf8), multi_line) for _, utf8, files in groups]
 
 
 def scan_csv(
@@ -60,26 +65,23 @@ def scan_csv(
     """Read CSV files with a header row, every column as a string.
 
     Files may have their columns in different orders, or lack some; columns
-    are those of all files. ``encoding=None`` decodes each file as UTF-8, or
-    as Latin-1 if any of its cells is not valid UTF-8, which takes a pass over
-    the files; naming the encoding saves it. Cells beyond the header's width
+    are those of all files. ``encoding=None`` reads each file as UTF-8, or as
+    Latin-1 if any of its lines is not valid UTF-8. A first pass over the
+    lines finds headers and encodings. Cells beyond the header's width
     are not read: see :func:`malformed_rows`. ``multi_line`` allows line
     breaks inside quoted cells, which makes each file one task; pass ``False``
     for large files without such cells so that they are split. ``ordinal``
     names an added column that orders rows as they stand in the files.
     """
     whole = None
-    for part in _parts(spark, path, encoding or LOSSLESS, multi_line):
-        columns = part.columns
-        file = F.col("_metadata.file_path")
-        added = [file.alias("_file")]
+    for rows in _parts(spark, path, encoding, multi_line):
         if ordinal:
-            place = (file.alias("file"), F.col("_metadata.file_block_start").alias("block"))
-            added.append(F.struct(*place, F.monotonically_increasing_id().alias("row")).alias(ordinal))
-        rows = part.select(*[F.col(f"`{c}`") for c in columns], *added)
-        if encoding is None:
-            rows = _decoded(rows, columns)
-        rows = rows.drop("_file")
+            place = F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            )
+            rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns], place.alias(ordinal))
         whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
     if ordinal:
         whole = whole.select(*[F.col(f"`{c}`") for c in whole.columns if c != ordinal], ordinal)
@@ -87,39 +89,15 @@ def scan_csv(
     return nullify_tokens(whole, columns=columns) if null_tokens else whole
 
 
-def _decoded(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Cells and headers read byte by byte, as UTF-8 where a file is valid, else as Latin-1."""
-    bytes_of = lambda c: F.encode(F.col(f"`{c}`"), LOSSLESS)
-    utf8 = lambda c: F.coalesce(F.is_valid_utf8(bytes_of(c).cast("string")), F.lit(True))
-    valid = F.lit(True)
-    for c in columns:
-        valid = valid & utf8(c)
-    files = rows.groupBy("_file").agg(F.bool_and(valid).alias("_utf8"))  # one row per file
-    joined = rows.join(files, "_file")
-    cells = [
-        F.when(F.col("_utf8"), F.decode(bytes_of(c), "UTF-8")).otherwise(F.col(f"`{c}`")).alias(_header(c))
-        for c in columns
-    ]
-    rest = [c for c in rows.columns if c not in columns and c != "_file"]
-    return joined.select(*cells, *rest, "_file")
-
-
-def _header(name: str) -> str:
-    try:
-        return name.encode(LOSSLESS).decode("UTF-8").removeprefix("\ufeff")
-    except UnicodeError:
-        return name
-
-
 def malformed_rows(spark: SparkSession, path, *, multi_line: bool = True) -> DataFrame:
     """Rows with more cells than their header: ``(file, cells)``, up to the first cell too many.
 
     A pass over the files, as Latin-1.
     """
     whole = spark.createDataFrame([], "file string, cells array<string>")
-    for _, files in _headers(spark, path):
-        names = [f"c{i}" for i in range(len(_read(spark, files, LOSSLESS, multi_line).columns) + 1)]
-        rows = _read(spark, files, LOSSLESS, multi_line, names).where(F.col(names[-1]).isNotNull())
+    for _, _, files in _headers(spark, path):
+        names = [f"c{i}" for i in range(len(_read(spark, files, LATIN1, multi_line).columns) + 1)]
+        rows = _read(spark, files, LATIN1, multi_line, names).where(F.col(names[-1]).isNotNull())
         whole = whole.unionByName(
             rows.select(F.col("_metadata.file_name").alias("file"), F.array(*names).alias("cells"))
         )

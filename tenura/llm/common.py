@@ -64,7 +64,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
     """What tells rows apart, also where ids are missing or repeated; equal rows share it."""
     data = F.col(text).cast("binary")
-    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(data).alias("hash"), F.crc32(data).alias("crc"))
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(data).alias("hash"), F.crc32(data).alias("crc"))
+    # nullable throughout, as it is after it has been written, so that joins need no cast
+    return key.cast(f"struct<id:{docs.schema[doc_id].dataType.simpleString()},hash:bigint,crc:bigint>")

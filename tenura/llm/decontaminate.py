@@ -177,7 +177,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> D
     """The rows of ``docs`` without any occurrence of a benchmark window, with all their columns."""
     text = settings.get("text", "text")
     key = free_name(docs, "key")
-    keyed = docs.withColumn(key, row_key(settings.pop("doc_id", "doc_id"), text))
+    keyed = docs.withColumn(key, row_key(docs, settings.pop("doc_id", "doc_id"), text))
     found = contamination(keyed, benchmark, doc_id=key, **settings)
     hit = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
     return keyed.join(hit, key, "left_anti").drop(key)

@@ -135,7 +135,7 @@ def one_of_each(
 ) -> DataFrame:
     """``docs`` with one row of each component: of the smallest doc_id, and of the smallest hash among its texts."""
     key = free_name(docs, "key")
-    keyed = docs.withColumn(key, row_key(doc_id, text))
+    keyed = docs.withColumn(key, row_key(docs, doc_id, text))
     found = simhash_components(keyed, words, distance, key, text)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

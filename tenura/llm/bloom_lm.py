@@ -15,7 +15,6 @@ from tenura.session import store
 
 END = b""  # one end after the words of a text; no word is empty
 LEVELS = 48  # counts are quantised to 1 + floor(log2(count)), below this
-MIN_COUNT = 2  # pairs seen once are not kept
 HASHES = 6
 BITS_PER_ENTRY = 12
 FILTER_BYTES = 96 << 20  # broadcast at a time; larger filters take several passes
@@ -143,7 +142,7 @@ def _numbered(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _pair_counts(numbered: DataFrame, slices: int) -> DataFrame:
-    """slice, hashes, codes, entries: pairs of training tokens counted at least ``MIN_COUNT`` times.
+    """slice, steps (between sorted hashes), codes, entries: all pairs of training tokens.
 
     Pairs are counted within a chunk before the shuffle, which moves packed
     arrays by slice of the hash range; a slice holds a bounded share of them.
@@ -176,12 +175,12 @@ def _pair_counts(numbered: DataFrame, slices: int) -> DataFrame:
         pairs, n = pairs[order], n[order]
         firsts = np.flatnonzero(np.diff(pairs, prepend=pairs[:1] ^ np.uint64(1)))
         total = np.add.reduceat(n, firsts)
-        keep = total >= MIN_COUNT
-        codes = quantise(total[keep])
+        codes = quantise(total)
+        steps = np.diff(pairs[firsts], prepend=np.uint64(0)).astype("<u8")
         return pa.table(
             {
                 "slice": table["slice"][:1],
-                "hashes": pa.array([pairs[firsts][keep].astype("<u8").tobytes()], pa.binary()),
+                "steps": pa.array([pack(steps)], pa.binary()),
                 "codes": pa.array([codes.astype(np.uint8).tobytes()], pa.binary()),
                 "entries": pa.array([int(codes.sum())], pa.int64()),
             }
@@ -190,7 +189,7 @@ def _pair_counts(numbered: DataFrame, slices: int) -> DataFrame:
     parts = numbered.select("ids", "learns", "lengths", "words").mapInArrow(
         count, "slice long, steps binary, n binary"
     )
-    return parts.groupBy("slice").applyInArrow(combine, "slice long, hashes binary, codes binary, entries long")
+    return parts.groupBy("slice").applyInArrow(combine, "slice long, steps binary, codes binary, entries long")
 
 
 def _filters(pairs: DataFrame, slices: int) -> Iterator[BloomCounts]:
@@ -199,8 +198,12 @@ def _filters(pairs: DataFrame, slices: int) -> Iterator[BloomCounts]:
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i).to_pylist() for i in range(3)]
         made = [
-            slice_filter(np.frombuffer(h, "<u8"), np.frombuffer(c, np.uint8).astype(np.int64), e * BITS_PER_ENTRY)
-            for h, c, e in zip(*columns, strict=True)
+            slice_filter(
+                np.cumsum(unpack(s, "<u8"), dtype=np.uint64),
+                np.frombuffer(c, np.uint8).astype(np.int64),
+                e * BITS_PER_ENTRY,
+            )
+            for s, c, e in zip(*columns, strict=True)
         ]
         return pa.RecordBatch.from_arrays([batch.column(3), pa.array(made, pa.binary())], ["slice", "bits"])
 
@@ -208,7 +211,7 @@ def _filters(pairs: DataFrame, slices: int) -> Iterator[BloomCounts]:
     n_parts = max(1, -(-int(size) // FILTER_BYTES))
     for part in range(n_parts):
         own = pairs.where((F.col("entries") > 0) & (F.floor(F.col("slice") * n_parts / slices) == part))
-        rows = own.select("hashes", "codes", "entries", "slice").mapInArrow(
+        rows = own.select("steps", "codes", "entries", "slice").mapInArrow(
             by_batch(build), "slice long, bits binary"
         ).toArrow()
         starts, sizes = np.zeros(slices, np.int64), np.zeros(slices, np.int64)
@@ -239,7 +242,7 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, denominator: float, rounds: in
     relative = np.minimum(np.where(pair > 0, typical(pair), 0.0) / many, 1.0)
     weight = np.full(LEVELS, 0.3)
     if len(cells):
-        left = np.where(pair > MIN_COUNT, typical(pair) - 1, np.where(pair == MIN_COUNT, 0.75, 0.0))
+        left = np.where(pair > 0, typical(pair) - 1, 0.0)  # nothing is left of a pair seen once
         others = np.minimum(left / np.maximum(many - 1, 1.0), 1.0)[cells]
         own = np.maximum(typical(word), 1.0)[cells] / denominator
         for _ in range(rounds):

@@ -5,8 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tenura.llm import bloom_lm, chunks
+from tenura.llm.common import held_out
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +107,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert bloom_lm.score(no_docs).count() == 0
     nothing = bloom_lm.score(odd_docs.where("doc_id IS NULL")).collect()
     assert [(r.train_tokens, r.base_score, r.score) for r in nothing] == [(0, 0.0, 0.0)] * 2
+
+
+def test_every_training_pair_is_entered(make_docs, texts):
+    rows = make_docs(texts).select("doc_id", (~held_out(F.col("doc_id"), 7)).alias("learns"), "text")
+    made = bloom_lm._pair_counts(bloom_lm._numbered(rows, "bigint"), 8).collect()
+    got = collections.Counter(c for r in made for c in np.frombuffer(r.codes, np.uint8).tolist())
+    _, _, _, pairs = exact(texts)
+    assert got == collections.Counter(bloom_lm.quantise(np.array(list(pairs.values()))).tolist())
+    assert got[1] > 0
+
+
+def test_a_pair_seen_once_counts_but_not_for_itself():
+    once = bloom_lm.cell_of(np.array([3]), np.array([1]), np.array([3]))
+    never = bloom_lm.cell_of(np.array([3]), np.array([0]), np.array([3]))
+    logs = bloom_lm.fit_weights(once, np.array([1000.0]), 1e5)
+    assert logs[once] > logs[never]
+    assert (logs == bloom_lm.fit_weights(never, np.array([1000.0]), 1e5)).all()  # left out, it is unseen

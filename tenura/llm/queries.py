@@ -3,8 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import ann, bloom_lm, decontaminate, html_main, language, quality, secrets, sentencepiece, sharding, simhash
+from tenura.llm import (
+    ann,
+    bloom_lm,
+    decontaminate,
+    html_main,
+    language,
+    quality,
+    secrets,
+    sentencepiece,
+    sharding,
+    simhash,
+    token_files,
+)
 from tenura.llm.common import held_out, table
+from tenura.session import shared_dir
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +110,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs)).withColumn("held_out", held_out(F.col("doc_id"), 4))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_dir(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -108,6 +129,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_html": op9_html,
     "op10_language": op10_language,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}

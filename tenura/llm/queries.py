@@ -9,6 +9,7 @@ from tenura.llm import (
     decontaminate,
     html_main,
     language,
+    periodic_runs,
     quality,
     secrets,
     sentencepiece,
@@ -118,6 +119,44 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, where the text of every tenth id (by checksum) repeats from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select(
+        "doc_id", "text", h.alias("h"), F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)").alias("words")
+    ).select("*", F.expr("h div 10").alias("g"), F.size("words").cast("long").alias("n"))
+    first = words.select("*", F.expr("cast(g % nullif(n, 0) as int)").alias("a"))
+    period = first.select("*", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)").alias("p"))
+    repeated = F.expr("concat(slice(words, 1, a), transform(sequence(0, cast(n - a - 1 as int)), i -> words[a + i % p]))")
+    changed = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(repeated, " "))
+    return period.select("doc_id", F.coalesce(changed, F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents")))
+    run = found.schema["runs"].dataType.elementType.simpleString()
+    listed = F.transform("runs", lambda x: F.concat_ws(",", x.start, x.length, x.period))
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast(run),
+        lambda so_far, x: F.when(
+            so_far.isNull() | (x.length * so_far.period > so_far.length * x.period), x
+        ).otherwise(so_far),
+    )
+    return found.select("doc_id", "runs", "collapsed", listed.alias("listed"), best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("listed", lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias(
+            "runs_sha256"
+        ),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -130,6 +169,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_language": op10_language,
     "op11_token_files": op11_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}

@@ -10,6 +10,7 @@ from tenura.llm import (
     html_main,
     language,
     periodic_runs,
+    phrases,
     quality,
     secrets,
     sentencepiece,
@@ -157,6 +158,45 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+word AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM word),
+total AS (SELECT lang, count(*) AS n FROM place GROUP BY lang),
+f AS (
+  SELECT lang, w[i : i + k - 1] AS p, count(*) AS f
+  FROM place, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+longer AS (
+  SELECT lang, p, max(f) AS most
+  FROM (SELECT lang, unnest([p[1:2], p[2:3]]) AS p, f FROM f WHERE len(p) = 3 AND f >= 10) GROUP BY ALL),
+candidate AS (
+  SELECT lang, p, f AS a FROM f LEFT JOIN longer USING (lang, p)
+  WHERE len(p) > 1 AND f >= 10 AND (most IS NULL OR 100 * most < 50 * f)),
+cut AS (
+  SELECT candidate.lang, candidate.p, a, k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM candidate, (SELECT unnest([1, 2]) AS k) AS k, f AS x, f AS y
+  WHERE k < len(candidate.p) AND x.lang = candidate.lang AND y.lang = candidate.lang
+    AND x.p = candidate.p[1:k] AND y.p = candidate.p[k + 1 :]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM cut),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM best WHERE nth = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -170,6 +210,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_token_files": op11_token_files,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrases": op13_phrases,
 }
 
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op13_phrases": OP13_SQL}

@@ -309,20 +309,25 @@ def collocations(
     scored = _scored(kept.select("ids", F.col("f").alias("a")), phrases)
 
     words = vocabulary.select("id", F.col("word").cast("string").alias("word"))
-    first = words.select(F.col("id").alias("first"), F.expr("regexp_extract(word, '(?s)^(.*)\n', 1)").alias("lang"))
+    spelling = F.substring_index("word", "\n", -1)
+    first = words.select(
+        F.col("id").alias("first"),
+        F.expr("regexp_extract(word, '(?s)^(.*)\n', 1)").alias("lang"),
+        F.concat(spelling, F.lit(" ")).alias("begin"),  # sorts as phrases that begin with the word
+    )
     by_score = [F.col("score").desc(), F.col("a").desc()]
     in_language = Window.partitionBy("lang")
     best = (
         scored.withColumn("first", F.col("ids")[0])
         .join(first, "first")
-        .withColumn("place", F.rank().over(in_language.orderBy(*by_score)))
+        .withColumn("place", F.rank().over(in_language.orderBy(*by_score, "begin")))
         .where(F.col("place") <= top)
     )
     spelt = (
         best.select("lang", "ids", "a", "l", "r", "score", F.posexplode("ids").alias("i", "id"))
         .join(words, "id")
         .groupBy("lang", "ids", "a", "l", "r", "score")
-        .agg(F.sort_array(F.collect_list(F.struct("i", F.substring_index("word", "\n", -1).alias("word")))).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct("i", spelling.alias("word")))).alias("words"))
         .withColumn("phrase", F.array_join(F.col("words.word"), " "))
     )
     ranked = spelt.withColumn("rank", F.row_number().over(in_language.orderBy(*by_score, "phrase")).cast("long"))

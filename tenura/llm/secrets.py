@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import free_name, hashed_sample, join_counted
+from tenura.llm.common import free_name, hashed_sample, join_counted, row_key
 from tenura.session import store
 
 # What a candidate can be made of, and words that hint at or against a credential.
@@ -17,6 +17,12 @@ PREFIX = r"(AKIA|ASIA|AIza|gh[pousr]_|xox[abp]-|sk-)"
 HINT = r"(?i)(secret|token|passw|pwd|api_?key|apikey|auth|bearer|credential|private|access)"
 HARMLESS = r"(?i)(example|sample|test|mock|dummy|fixture|vendor|lock$|\.md$|docs?/)"
 PLACEHOLDER = "[SECRET]"
+# What a hint word is set to, in one word; and a whole word that follows such an assignment.
+VALUE = r"""["'`]?([^\s"'`]{6,}?)["'`]?[.,;]?$"""
+SET_HERE = HINT + r"""[A-Za-z0-9_\-]*["']?[=:]+""" + VALUE
+SET_BEFORE = HINT + r"""[A-Za-z0-9_\-]*["']?[=:]*$"""
+
+SALTS = 16
 
 FEATURES = [
     "length",
@@ -44,13 +50,16 @@ def candidates(
     """Strings that could be credentials, with their surroundings.
 
     A candidate is a run of at least ten letters, digits or ``_+/-`` in a word
-    that has a digit or a known prefix, or stands after an assignment. Returns row (a number for
-    each input row), doc_id, path, at (the word's position), word, before2,
-    before, after, candidate. A row without candidates is there once with a
-    null candidate.
+    that has a digit or a known prefix, or stands after an assignment; or the
+    whole value, of any signs and at least six of them with a digit, that a hint
+    word is set to. Returns row (a number for each input row), key (equal rows
+    share it), doc_id, path, at (the word's position), word, before2, before,
+    after, candidate. A row without candidates is there once with a null
+    candidate.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
+        row_key(docs, doc_id, text).alias("key"),
         F.col(doc_id).alias("doc_id"),
         (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"),
         F.split(F.col(text), r"\s+").alias("words"),
@@ -63,12 +72,28 @@ def candidates(
         | F.col("word").rlike(PREFIX)
         | F.coalesce(before.rlike(ASSIGNED + "$"), F.lit(False))
     )
-    kept = words.withColumn("possible", F.coalesce(possible, F.lit(False))).where(
-        F.col("possible") | (F.coalesce("at", F.lit(0)) == 0)
+    # before an assignment sign of its own stands the word that is set
+    hinted = F.when(before.rlike(f"^{ASSIGNED}+$"), F.get("words", F.col("at") - 2).rlike(SET_BEFORE)).otherwise(
+        before.rlike(ASSIGNED + "+$") & before.rlike(SET_BEFORE)
+    )
+    digit = F.col("word").rlike("[0-9]")
+    value = F.when(digit & F.col("word").rlike(SET_HERE), F.regexp_extract("word", SET_HERE, 2)).when(
+        digit & F.coalesce(hinted, F.lit(False)) & F.col("word").rlike("^" + VALUE),
+        F.regexp_extract("word", "^" + VALUE, 1),
+    )
+    kept = (
+        words.withColumn("possible", F.coalesce(possible, F.lit(False)))
+        .withColumn("value", F.when(value.rlike("[0-9]"), value))
+        .where(F.col("possible") | F.col("value").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
     )
     cores = F.when(F.col("possible"), F.regexp_extract_all("word", F.lit(CORE), F.lit(0)))
+    # a value stands for the runs inside it
+    whole = F.concat(
+        F.array("value"), F.filter(F.coalesce(cores, F.array().cast("array<string>")), lambda c: ~F.contains("value", c))
+    )
     return kept.select(
         "row",
+        "key",
         "doc_id",
         "path",
         "at",
@@ -76,21 +101,19 @@ def candidates(
         F.get("words", F.col("at") - 2).alias("before2"),
         before.alias("before"),
         F.get("words", F.col("at") + 1).alias("after"),
-        F.explode_outer(cores).alias("candidate"),
+        F.explode_outer(F.when(F.col("value").isNotNull(), whole).otherwise(cores)).alias("candidate"),
     )
 
 
-def dictionary(docs: DataFrame, size: int = 20_000, text: str = "text") -> DataFrame:
-    """The ``size`` most frequent words (3 to 20 letters a-z, any case) of all texts: word."""
+def dictionary(docs: DataFrame, share: int = 400_000, least: int = 5, text: str = "text") -> DataFrame:
+    """Words (3 to 20 letters a-z, any case) that are at least a ``share``-th of all words, and occur ``least`` times: word.
+
+    So there are at most ``share`` of them, however large the corpus is.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^a-z]+")).alias("word"))
-    return (
-        words.where(F.char_length("word").between(3, 20))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .select("word")
-    )
+    counts = store(words.where(F.char_length("word").between(3, 20)).groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(least, -(-total // share))).select("word")
 
 
 def _share(pattern: str) -> Column:
@@ -194,9 +217,11 @@ def scan(
     before, after, candidate and label (1 a secret, 0 none; others are
     ignored). Without them, findings whose format settles the matter are the
     training rows. If the labels do not have both classes, candidates next to
-    a hint word are secrets. Returns row, doc_id, at, candidate, probability,
-    is_secret; a row without candidates, such as a null or empty text, is
-    there once with a null candidate.
+    a hint word are secrets. Returns row, key, doc_id, at, candidate,
+    probability, is_secret; a row without candidates, such as a null or empty
+    text, is there once with a null candidate. Repeated rows are scanned each
+    on its own, with the same verdicts; a very long text has as many candidates
+    as it has.
     """
     found = store(candidates(docs, doc_id, text, path))
     words = store(dictionary(docs, text=text))
@@ -212,10 +237,12 @@ def scan(
         scored = features.withColumn("p", F.greatest("hint_here", "hint_before"))
     else:
         scored = forest.transform(features).withColumn("p", vector_to_array("probability")[1])
-    none = found.where(F.col("candidate").isNull()).groupBy("row").agg(F.first("doc_id").alias("doc_id"))
+    none = found.where(F.col("candidate").isNull()).groupBy("row").agg(
+        F.first("key").alias("key"), F.first("doc_id").alias("doc_id")
+    )
     none = none.join(features.select("row").distinct(), "row", "left_anti")
     return scored.select(
-        "row", "doc_id", "at", "candidate", F.col("p").alias("probability"), (F.col("p") >= threshold).alias("is_secret")
+        "row", "key", "doc_id", "at", "candidate", F.col("p").alias("probability"), (F.col("p") >= threshold).alias("is_secret")
     ).unionByName(none.withColumn("is_secret", F.lit(False)), allowMissingColumns=True)
 
 
@@ -235,15 +262,17 @@ def summary(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every secret of a document replaced by ``[SECRET]`` wherever it stands in the text.
+    """``docs`` with every secret of a text replaced by ``[SECRET]`` wherever it stands in it.
 
-    Rows with the same id share their secrets; rows without an id too.
+    ``scanned`` is what ``scan`` returned for ``docs``. Only rows with the same
+    id and the same text share secrets, so a group is one text's. Rows with a
+    missing id, and null and empty texts, stay as they are but for that.
     """
-    key, found = free_name(docs, "key"), free_name(docs, "found")
+    key, found, salt = (free_name(docs, name) for name in ("key", "found", "salt"))
     sized = F.struct(F.char_length("candidate").alias("n"), F.col("candidate").alias("s"))
     secrets = (
         scanned.where("is_secret")
-        .groupBy(F.col("doc_id").alias(key))
+        .groupBy(F.col("key").alias(key))
         # the longest first, so that none is cut by a shorter one that it contains
         .agg(F.sort_array(F.collect_set(sized), False).alias(found))
     )
@@ -251,5 +280,9 @@ def redact(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: st
     clean = F.aggregate(
         F.coalesce(F.col(found), nothing), F.col(text), lambda so_far, x: F.replace(so_far, x.s, F.lit(PLACEHOLDER))
     )
-    joined = docs.join(secrets, F.col(doc_id).eqNullSafe(F.col(key)), "left")
-    return joined.withColumn(text, clean).select(*docs.columns)
+    # equal rows may be many: they meet their secrets in several tasks
+    salted = secrets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = docs.withColumn(key, row_key(docs, doc_id, text)).withColumn(
+        salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    )
+    return keyed.join(salted, [key, salt], "left").withColumn(text, clean).select(*docs.columns)

@@ -25,7 +25,7 @@ SPACE = "▁"  # how a blank is written in pieces
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, for a character without a piece
 STEPS = 128  # positions folded at a time
 GROUPS = 100_000  # segments that a task groups by hashing before it sorts instead
-RUNS = 1_000_000  # words between blanks in a chunk
+RUNS = 700_000  # words between blanks in a chunk
 CHARS_PER_TASK = 4_000_000  # of text, for each task that encodes segments
 
 # Letters after which a cut may be tried; others are never cut off what follows.
@@ -188,9 +188,9 @@ def best_path(lattice: DataFrame, pieces: Pieces) -> DataFrame:
     """word, with, ids: the path of highest total score; of equal ones the one with the longer last edge, step by step.
 
     Edges are grouped by segment, in parts of ``STEPS`` positions, and folded
-    position by position: the best edge into a position is the one for which
-    the best score where it begins and its own add up to most. A second fold
-    follows the best edges back from the end.
+    edge by edge: the best edge into a position is the one for which the best
+    score where it begins and its own add up to most. A second fold follows the
+    best edges back from the end.
     """
     longest = pieces.longest
     # scores by id as one constant
@@ -212,50 +212,48 @@ def best_path(lattice: DataFrame, pieces: Pieces) -> DataFrame:
     def piece_of(edge: Column) -> Column:
         return edge.bitwiseAND(F.lit((1 << 24) - 1).cast("long")).cast("int")
 
-    def ends_at(part: Column, end: Column) -> Column:
-        return F.filter(part.edges, lambda x: F.shiftright(x, 29) == end)
+    def score_of(edge: Column) -> Column:
+        return F.get(scores, piece_of(edge))
 
     def forward(best: Column, part: Column) -> Column:
-        """``best`` has the best score at each position so far."""
+        """``best`` has the best score at each position so far, and the edge that gives it."""
         kept = F.least(F.size(best), F.lit(longest))  # a step looks back by the longest piece at most
-        last = F.shiftright(F.element_at(part.edges, -1), 29)
+        start = F.struct(
+            F.slice(best, F.size(best) - kept + 1, kept).alias("done"),
+            F.lit(1).cast("long").alias("at"),
+            F.lit(None).cast("struct<s: double, e: bigint>").alias("best"),
+        )
+
+        def step(state: Column, edge: Column) -> Column:
+            """Edges come by end, then size: the next end completes the position before."""
+            end = F.shiftright(edge, 29)
+            size = size_of(edge)
+            same = end == state.at
+            behind = (
+                F.when(same, F.element_at(state.done, -size).s)
+                .when(size == 1, state.best.s)
+                .otherwise(F.element_at(state.done, 1 - size).s)
+            )
+            into = F.struct((behind + score_of(edge)).alias("s"), edge.alias("e"))
+            return F.struct(
+                F.when(same, state.done).otherwise(F.array_append(state.done, state.best)).alias("done"),
+                end.alias("at"),
+                F.greatest(F.when(same, state.best), into).alias("best"),  # of equal scores the longer edge
+            )
+
         return F.concat(
             F.slice(best, 1, F.size(best) - kept),
-            F.aggregate(
-                F.sequence(F.lit(1).cast("long"), last),
-                F.slice(best, F.size(best) - kept + 1, kept),
-                lambda so_far, end: F.array_append(
-                    so_far,
-                    F.array_max(
-                        F.transform(
-                            ends_at(part, end),
-                            lambda x: F.element_at(so_far, -size_of(x)) + F.get(scores, piece_of(x)),
-                        )
-                    ),
-                ),
-            ),
+            F.aggregate(part.edges, start, step, lambda end: F.array_append(end.done, end.best)),
         )
 
-    reached = grouped.select("owner", "parts", F.aggregate("parts", F.array(F.lit(0.0)), forward).alias("best"))
-
-    # back from the end: of the path so far, each edge with the position where it begins
-    def into(at: Column) -> Column:
-        """The longest edge into a position that gives the best score there."""
-        part = F.get(F.col("parts"), F.floor((at - 1) / STEPS).cast("int"))
-        best = F.get(F.col("best"), at)
-        return F.element_at(
-            F.filter(
-                ends_at(part, ((at - 1) % STEPS + 1).cast("long")),
-                lambda x: F.get(F.col("best"), at - size_of(x)) + F.get(scores, piece_of(x)) == best,
-            ),
-            -1,
-        )
+    none = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("e")))
+    reached = grouped.select("owner", "parts", F.aggregate("parts", none, forward).alias("best"))
 
+    # back from the end: the edges of the path so far, each with the position where it begins
     def follow(path: Column, at: Column) -> Column:
-        step = F.transform(
-            F.array(into(at)), lambda edge: F.struct((at - size_of(edge)).alias("begin"), edge.alias("edge"))
-        )
-        return F.when(at == F.element_at(path, -1).begin, F.array_append(path, F.get(step, F.lit(0)))).otherwise(path)
+        edge = F.get(F.col("best"), at).e
+        step = F.struct((at - size_of(edge)).alias("begin"), edge.alias("edge"))
+        return F.when(at == F.element_at(path, -1).begin, F.array_append(path, step)).otherwise(path)
 
     none = F.array(F.struct((F.size("best") - 1).alias("begin"), F.lit(0).cast("long").alias("edge")))
     blocks = F.sequence(F.size("best") - 1, F.lit(1), F.lit(-STEPS))
@@ -397,11 +395,12 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     pattern = pieces.segment_pattern()
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     spread = size // CHARS_PER_TASK
-    found = _dictionary(rows, pattern).withColumn("a", F.xxhash64("word"))
+    found = _dictionary(rows, pattern)
     # one shuffle brings a segment's places together, at most one for each chunk; its lattice stays there
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spread)
     words = (
-        found.repartition(partitions, "a")
+        found.repartition(partitions, F.xxhash64("word"))
+        .select("chunk", "place", "word", F.xxhash64("word").alias("a"))
         .groupBy("a", "word")
         .agg(F.collect_list(F.struct("chunk", "place")).alias("with"))
     )

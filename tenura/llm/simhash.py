@@ -13,6 +13,7 @@ from tenura.llm.graph import components
 from tenura.session import store
 
 BITS = 64
+HOT_SHARE = 1000  # a key on a thousandth of all rows, of which there are as many at most, is handled apart
 
 # Byte value -> its eight bits as counters in the eight bytes of a word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint8).copy().view(np.uint64).ravel()
@@ -133,9 +134,21 @@ def simhash_components(
 def one_of_each(
     docs: DataFrame, words: int = 3, distance: int = 3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` with one row of each component: of the smallest doc_id, and of the smallest hash among its texts."""
+    """``docs`` with one row of each component: of the smallest doc_id, and of the smallest hash among its texts.
+
+    A row without an id comes before those with one, as NULL sorts first. Null,
+    empty and blank texts are one component; repeated rows leave one. All
+    columns stay as they are, whatever they are called.
+    """
     key = free_name(docs, "key")
     keyed = docs.withColumn(key, row_key(docs, doc_id, text))
-    found = simhash_components(keyed, words, distance, key, text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    found = store(simhash_components(keyed, words, distance, key, text))
+    kept = store(
+        found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n"))
+    )
+    # equal rows share a key: where they are many they are broadcast and combined before the shuffle
+    hot = F.col("n") * HOT_SHARE >= F.lit(max(found.count(), HOT_SHARE))
+    hot_keys = F.broadcast(kept.where(hot).limit(HOT_SHARE).select(key))
+    usual = keyed.join(hot_keys, key, "left_anti").join(kept.where(~hot), key, "left_semi").dropDuplicates([key])
+    repeated = keyed.join(hot_keys, key, "left_semi").dropDuplicates([key])
+    return usual.unionByName(repeated).drop(key)

@@ -40,7 +40,7 @@ def cohort_retention(
     if check:
         largest = sized.agg(F.max("cohort_size")).first()[0] or 0
         if largest < min_customers:
-            raise InsufficientDataError("cohort analysis", min_customers, largest)
+            raise InsufficientDataError(f"cohorts take {min_customers} customers; the largest has {largest}")
     return sized.where(F.col("cohort_size") >= min_customers).select(
         month_label("cohort").alias("cohort_month"),
         "period_number",

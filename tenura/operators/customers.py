@@ -36,7 +36,7 @@ def require_customers(tx: DataFrame, minimum: int, operation: str) -> None:
         return
     actual = ids.distinct().count()
     if actual < minimum:
-        raise InsufficientDataError(operation, minimum, actual)
+        raise InsufficientDataError(f"{operation} takes {minimum} rows; there are {actual}")
 
 
 def customer_days(tx: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def temporal_split(matrix: DataFrame, *, train_ratio: float = 0.80, check: bool
             F.count("*").alias("n"), F.max(micros).alias("last")
         ).withColumn("cutoff", cutoff).first()
         if found["n"] < 2:
-            raise InsufficientDataError("temporal split", 2, found["n"])
+            raise InsufficientDataError(f"a split by time takes 2 customers; there are {found['n']}")
         cutoff = found["cutoff"]
         if found["last"] <= cutoff:
             cutoff = _cutoff_before_latest(matrix, max(1, round(found["n"] * (1 - train_ratio))))

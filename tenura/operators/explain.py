@@ -53,6 +53,29 @@ def forest_nodes(model: ChurnModel, spark) -> DataFrame:
     )
 
 
+def walk_forest(model: ChurnModel, rows: DataFrame, nodes: DataFrame | None = None, key: str = "customer_id") -> DataFrame:
+    """``(key, rf_probability)``: every row's mean leaf share over the trees, from the forest as a table.
+
+    All rows go through all trees together, level by level: a join with the
+    nodes brings each row's split, the comparison the next node; a row that has
+    reached its leaf stays there. ``nodes`` is a result of :func:`forest_nodes`.
+    """
+    nodes = store(forest_nodes(model, rows.sparkSession)) if nodes is None else nodes
+    table = nodes.select(
+        "tree", F.col("id").alias("node"), "left", "right", "feature", "threshold", (F.col("churned") / F.col("cover")).alias("share")
+    )
+    trees = F.sequence(F.lit(0), F.lit(model.forest.getNumTrees - 1))
+    values = F.array(*[F.col(c).cast("double") for c in model.features])
+    at = rows.select(key, values.alias("x"), F.explode(trees).alias("tree"), F.lit(0).alias("node"))
+    value = F.get("x", F.col("feature"))
+    child = F.when(value <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+    for _ in range(max(tree.depth for tree in model.forest.trees)):
+        at = at.join(table, ["tree", "node"]).select(
+            key, "x", "tree", F.when(F.col("left") < 0, F.col("node")).otherwise(child).alias("node")
+        )
+    return at.join(table, ["tree", "node"]).groupBy(key).agg(F.avg("share").alias("rf_probability"))
+
+
 def forest_leaves(nodes: DataFrame, n_features: int) -> DataFrame:
     """One row per leaf: its churn share and, per feature, the interval
     (lower, upper] that reaches it and the product of cover ratios."""

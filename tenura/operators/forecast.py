@@ -4,6 +4,8 @@ Input everywhere: ``(series_key, month, value)`` with one row per observed
 month. Observed months count as equally spaced.
 """
 
+import math
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -11,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.errors import InsufficientDataError
+from tenura.errors import ForecasterError, InsufficientDataError
 from tenura.fixed_values import (
     MIN_MONTHS_FORECAST,
     MIN_MONTHS_SEASONAL,
@@ -21,8 +23,6 @@ from tenura.fixed_values import (
 from tenura.functions.dates import month_label
 from tenura.operators.kpis import kpi_by_dimension, monthly_totals
 
-FIT_SCHEMA = "series_key string, step int, point double, spread double, n_months int, last_month date"
-METHODS = ("holt_winters", "holt", "seasonal_regression")
 
 
 def as_series(monthly: DataFrame, dimension: str | None = None) -> DataFrame:
@@ -60,7 +60,7 @@ def require_history(series: DataFrame) -> DataFrame:
     """Raise if any series is too short (for callers with a single series)."""
     shortest = history_status(series).agg(F.min("n_months")).first()[0] or 0
     if shortest < MIN_MONTHS_FORECAST:
-        raise InsufficientDataError("forecast", MIN_MONTHS_FORECAST, shortest)
+        raise InsufficientDataError(f"a forecast takes {MIN_MONTHS_FORECAST} months of history; the shortest series has {shortest}")
     return series
 
 
@@ -81,6 +81,7 @@ def gathered(series: DataFrame) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct("month", "value")))
     return series.groupBy("series_key").agg(
         F.transform(pairs, lambda p: p["value"].cast("double")).alias("y"),
+        F.min("month").alias("first_month"),
         F.max("month").alias("last_month"),
     )
 
@@ -171,135 +172,321 @@ def holt_grid(series: DataFrame, step: float = 0.1) -> DataFrame:
 
 def forecast_holt(series: DataFrame, horizon: int = 12, step: float = 0.1) -> DataFrame:
     """Trend-only forecast from :func:`holt_grid`."""
-    points = holt_grid(series, step).select(
+    return with_intervals(_trend_points(series, horizon, step), "holt")
+
+
+# --- Exponential smoothing with a yearly season on a refined grid, in Catalyst -------------------
+
+# Half-width and step of the grid around the best point so far, round by round.
+_ROUNDS = ((0.4, 0.2), (0.1, 0.05), (0.025, 0.0125))
+_LEAST_SHARE = 0.01
+
+
+def _seasonal_start(y: Column) -> dict[str, Column]:
+    """Level before the first month, trend and seasons from the first two years.
+
+    The trend is the difference of the two years' means; the seasons are the
+    first year without the line that has this trend through its mean.
+    """
+    m = SEASON_MONTHS
+    mean = lambda first: F.aggregate(F.slice(y, first, m), F.lit(0.0), lambda a, x: a + x) / m
+    trend = (mean(m + 1) - mean(1)) / m
+    level = mean(1) - trend * ((m + 1) / 2)
+    seasons = F.transform(F.slice(y, 1, m), lambda x, i: x - level - trend * (i + 1))
+    return {"level": level, "trend": trend, "seasons": seasons}
+
+
+def _seasonal_step(state: Column, y: Column, g: Column) -> Column:
+    """One month; ``seasons`` begins with the one that comes next."""
+    carried = state.level + state.trend
+    season = F.get(state.seasons, F.lit(0))
+    error = y - carried - season
+    level = g.alpha * (y - season) + (1 - g.alpha) * carried
+    return F.struct(
+        level.alias("level"),
+        (g.beta * (level - state.level) + (1 - g.beta) * state.trend).alias("trend"),
+        F.array_append(
+            F.slice(state.seasons, 2, SEASON_MONTHS - 1), g.gamma * (y - carried) + (1 - g.gamma) * season
+        ).alias("seasons"),
+        (state.sse + error * error).alias("sse"),
+        (state.errors + error).alias("errors"),
+    )
+
+
+def seasonal_grid(series: DataFrame) -> DataFrame:
+    """Additive smoothing with trend and yearly season: the best (alpha, beta, gamma) per series.
+
+    ``(series_key, last_month, n, alpha, beta, gamma, sse, level, trend,
+    seasons, spread)`` for series of at least two years. Start values follow a
+    rule from the first two years; the parameters come from a grid that is
+    refined twice around its best point. Runs without Python.
+    """
+    found = (
+        gathered(series)
+        .where(F.size("y") >= MIN_MONTHS_SEASONAL)
+        .select("series_key", "last_month", "y", F.struct(*[v.alias(k) for k, v in _seasonal_start(F.col("y")).items()]).alias("start"))
+        .withColumn("best", F.struct(*[F.lit(0.5).alias(c) for c in ("alpha", "beta", "gamma")]))
+    )
+    power = F.aggregate("y", F.lit(1.0), lambda a, x: a + x * x)
+    for width, step in _ROUNDS:
+        moves = F.lit([round(-width + step * i, 10) for i in range(int(round(2 * width / step)) + 1)])
+        held = lambda centre, move: F.greatest(F.least(F.round(centre + move, 10), F.lit(1 - _LEAST_SHARE)), F.lit(_LEAST_SHARE))
+        grid = F.flatten(
+            F.transform(
+                moves,
+                lambda a: F.flatten(
+                    F.transform(
+                        moves,
+                        lambda b: F.transform(
+                            moves,
+                            lambda c: F.struct(
+                                held(F.col("best.alpha"), a).alias("alpha"),
+                                held(F.col("best.beta"), b).alias("beta"),
+                                held(F.col("best.gamma"), c).alias("gamma"),
+                            ),
+                        ),
+                    )
+                ),
+            )
+        )
+        runs = found.select("series_key", "last_month", "y", "start", F.explode(grid).alias("g")).withColumn(
+            "s",
+            F.aggregate(
+                "y",
+                F.struct("start.*", F.lit(0.0).alias("sse"), F.lit(0.0).alias("errors")),
+                lambda state, y: _seasonal_step(state, y, F.col("g")),
+            ),
+        )
+        # differences in the last digits do not decide
+        order = F.struct(F.round(F.col("s.sse") / power, 12), "g.alpha", "g.beta", "g.gamma")
+        found = runs.groupBy("series_key").agg(
+            F.first("last_month").alias("last_month"),
+            F.first("y").alias("y"),
+            F.first("start").alias("start"),
+            F.min_by("g", order).alias("best"),
+            F.min_by("s", order).alias("state"),
+        )
+    n = F.size("y")
+    variance = (F.col("state.sse") - F.col("state.errors") * F.col("state.errors") / n) / (n - 1)
+    return found.select(
+        "series_key",
+        "last_month",
+        n.alias("n"),
+        "best.*",
+        "state.sse",
+        "state.level",
+        "state.trend",
+        "state.seasons",
+        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("spread"),
+    )
+
+
+def _trend_points(series: DataFrame, horizon: int, step: float = 0.1) -> DataFrame:
+    return holt_grid(series, step).select(
         "series_key",
         "last_month",
         "spread",
         F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"),
         (F.col("level") + F.col("step") * F.col("trend")).alias("point"),
     )
-    return with_intervals(points, "holt")
 
 
-# --- Exponential smoothing with season, and seasonal regression: numpy per series --------
+def _seasonal_points(series: DataFrame, horizon: int) -> DataFrame:
+    """Smoothing with a season for series of two years and more, with a trend only for shorter ones."""
+    status = history_status(series).select("series_key", "n_months")
+    sized = series.join(status, "series_key")
+    short = sized.where(F.col("n_months") < MIN_MONTHS_SEASONAL).drop("n_months")
+    long = sized.where(F.col("n_months") >= MIN_MONTHS_SEASONAL).drop("n_months")
+    season = F.get("seasons", (F.col("step") - 1) % SEASON_MONTHS)
+    points = seasonal_grid(long).select(
+        "*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
+    ).select(
+        "series_key",
+        "last_month",
+        "spread",
+        "step",
+        (F.col("level") + F.col("step") * F.col("trend") + season).alias("point"),
+    )
+    return points.unionByName(_trend_points(short, horizon))
+
+
+# --- Ridge regression on trend, changepoints and yearly waves, in Catalyst -----------------------
 
+_MAX_BENDS = 25
+_WAVES = SEASON_MONTHS // 2 - 1  # pairs of sine and cosine
+# Prior scales: level and trend, slope changes (held close to 0), waves (held loosely).
+_PRIOR_TREND, _PRIOR_BEND, _PRIOR_WAVE = 5.0, 0.05, 10.0
 
-def _smooth(y: np.ndarray, params: np.ndarray, season: int):
-    """Fit every (alpha, beta, gamma) row; start values by least squares.
 
-    Returns residuals (grid x months) and final states (grid x (2 + season)).
-    Column 0 of the state carries the data, the others one unit start each.
+def _design_row(i: Column, n: Column, first: Column, bends: Column) -> Column:
+    """The regression's columns for month number ``i`` of a series that starts in calendar month ``first``."""
+    t = i / F.greatest(n - 1, F.lit(1))
+    angle = (first + i) % SEASON_MONTHS * (2 * math.pi / SEASON_MONTHS)
+    waves = [f(angle * k) for k in range(1, _WAVES + 1) for f in (F.sin, F.cos)]
+    bent = F.transform(bends, lambda c: F.greatest(t - c, F.lit(0.0)))
+    none = F.array().cast("array<double>")
+    return F.concat(F.array(F.lit(1.0), t), bent, F.when(n >= SEASON_MONTHS, F.array(*waves)).otherwise(none))
+
+
+def _solved(system: Column) -> Column:
+    """The solution of linear equations, rows of coefficients with the right side last, by elimination.
+
+    For systems that are positive definite, which need no exchange of rows.
     """
-    k = 2 + season
-    a, b, g = (params[:, i, None] for i in range(3))
-    level, trend = np.zeros((len(params), k + 1)), np.zeros((len(params), k + 1))
-    level[:, 1], trend[:, 2] = 1, 1
-    seasonal = [np.zeros((len(params), k + 1)) for _ in range(season)]
-    for i in range(season):
-        seasonal[i][:, 3 + i] = 1
-    data = np.zeros(k + 1)
-    data[0] = 1
-    fitted = np.empty((len(params), len(y), k + 1))
-    for t, seen in enumerate(y):
-        s = seasonal[t % season] if season else 0
-        carried = level + trend
-        fitted[:, t] = carried + s
-        new = a * (seen * data - s) + (1 - a) * carried
-        if season:
-            seasonal[t % season] = g * (seen * data - carried) + (1 - g) * s
-        trend = b * (new - level) + (1 - b) * trend
-        level = new
-    basis, target = fitted[:, :, 1:], y - fitted[:, :, 0]
-    start = np.einsum("gkt,gt->gk", np.linalg.pinv(basis, rcond=1e-10), target)
-    residuals = target - np.einsum("gtk,gk->gt", basis, start)
-    combine = lambda state: state[:, 0] + np.einsum("gk,gk->g", state[:, 1:], start)
-    return residuals, combine(level), combine(trend), [combine(s) for s in seasonal]
-
-
-def smoothing_forecast(y: np.ndarray, horizon: int, season: int):
-    """Point forecasts and residuals of least-squares additive smoothing.
-
-    Parameters stay within 0 < beta < alpha < 1 and 0 < gamma < 1 - alpha. A
-    coarse grid is refined around its best point until steps are tiny.
+
+    def eliminate(m: Column, p: Column) -> Column:
+        pivot = F.get(m, p)
+        return F.transform(
+            m,
+            lambda row, i: F.when(i == p, F.transform(row, lambda x: x / F.get(pivot, p))).otherwise(
+                F.zip_with(row, pivot, lambda x, y: x - F.get(row, p) / F.get(pivot, p) * y)
+            ),
+        )
+
+    solved = F.aggregate(F.sequence(F.lit(0), F.size(system) - 1), system, eliminate)
+    return F.transform(solved, lambda row: F.element_at(row, -1))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each worked out once per row.
+
+    The optimizer would move a column that is used once into its use, also
+    into a lambda, where it would be worked out for every element; a generated
+    row stays where it is.
     """
-    shares = np.array([0.05, 0.2, 0.4, 0.6, 0.8, 0.95])
-    axes = [shares, shares, shares if season else np.array([0.5])]
-    best, width = None, 0.15
-    for _ in range(8):
-        points = np.array(list(product(*axes)))
-        alpha = points[:, 0]
-        params = np.column_stack([alpha, alpha * points[:, 1], (1 - alpha) * points[:, 2]])
-        residuals, level, trend, seasonal = _smooth(y, params, season)
-        sse = (residuals**2).sum(axis=1)
-        i = int(np.argmin(sse))
-        if best is None or sse[i] < best[0]:
-            best = sse[i], points[i], residuals[i], level[i], trend[i], [s[i] for s in seasonal]
-        around = best[1][:, None] + width * np.array([-1.0, -0.5, 0.0, 0.5, 1.0])
-        axes = [np.unique(np.clip(row, 1e-4, 1 - 1e-4)) for row in around]
-        if not season:
-            axes[2] = np.array([0.5])
-        width /= 2
-    _, _, residuals, level, trend, seasonal = best
-    steps = np.arange(1, horizon + 1)
-    point = level + steps * trend
-    if season:
-        point = point + np.array([seasonal[(len(y) + h - 1) % season] for h in steps])
-    return point, residuals
-
-
-def regression_forecast(y: np.ndarray, months: np.ndarray, horizon: int):
-    """Ridge regression on a trend with changepoints and yearly waves.
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def seasonal_regression(series: DataFrame, horizon: int = 12) -> DataFrame:
+    """``(series_key, last_month, weights, spread, estimates)``: a regression per series.
 
+    Ridge regression on a trend with changepoints and yearly waves.
     Changepoints lie in the first four fifths; their slope changes are held
-    close to 0 (prior scale 0.05), the waves loosely (prior scale 10). Less
-    than a year cannot tell waves from trend and gets none.
+    close to 0, the waves loosely. Less than a year cannot tell waves from
+    trend and gets none. ``estimates`` has the months of the horizon. Moments,
+    their linear system and the estimates are folds over arrays of at most
+    ``2 + 25 + 10`` columns; no Python runs.
     """
-    n = len(y)
-    scale = np.abs(y).max() or 1.0
-    t = np.arange(n + horizon) / max(n - 1, 1)
-    first = months[0]
-    angle = 2 * np.pi * ((first + np.arange(n + horizon)) % SEASON_MONTHS) / SEASON_MONTHS
-    count = min(25, int(np.floor(n * 0.8)) - 1)
-    bends = t[np.linspace(0, int(np.floor(n * 0.8)) - 1, count + 1).round().astype(int)[1:]]
-    columns = [np.ones_like(t), t]
-    columns += [np.maximum(t - c, 0) for c in bends]
-    if n >= SEASON_MONTHS:
-        columns += [f(k * angle) for k in range(1, SEASON_MONTHS // 2) for f in (np.sin, np.cos)]
-    design = np.column_stack(columns)
-    prior = np.concatenate([[5, 5], np.full(len(bends), 0.05), np.full(design.shape[1] - 2 - len(bends), 10)])
-    x, target = design[:n], y / scale
-    noise = np.var(np.diff(target)) / 2 if n > 2 else 1.0
-    penalty = np.diag(max(noise, 1e-6) / prior**2)
-    weights = np.linalg.solve(x.T @ x + penalty, x.T @ target)
-    estimate = design @ weights * scale
-    return estimate[n:], y - estimate[:n]
-
-
-def _fit_series(method: str, horizon: int):
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
+    n = F.col("n")
+    given = gathered(series).where(F.size("y") >= MIN_MONTHS_FORECAST).select(
+        "series_key",
+        "last_month",
+        "y",
+        F.size("y").alias("n"),
+        (F.month("first_month") - 1).alias("first"),
+        F.coalesce(F.nullif(F.array_max(F.transform("y", F.abs)), F.lit(0.0)), F.lit(1.0)).alias("scale"),
+        (F.floor(F.size("y") * 0.8).cast("int") - 1).alias("most"),
+    )
+    count = F.least(F.lit(_MAX_BENDS), F.col("most"))
+    bends = F.transform(F.sequence(F.lit(1), count), lambda i: F.rint(i * (F.col("most") / count)) / (n - 1))
+    target = _once(given, bends=bends, target=F.transform("y", lambda v: v / F.col("scale")))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    deviations = lambda values, mean: total(F.transform(values, lambda x: (x - F.col(mean)) * (x - F.col(mean))))
+    steps = F.zip_with(F.slice("target", 2, n - 1), F.slice("target", 1, n - 1), lambda a, b: a - b)
+    rows = F.transform(
+        F.sequence(F.lit(0), n + (horizon - 1)), lambda i: _design_row(i, n, F.col("first"), F.col("bends"))
+    )
+    prior = F.concat(
+        F.array_repeat(F.lit(_PRIOR_TREND), 2),
+        F.array_repeat(F.lit(_PRIOR_BEND), F.size("bends")),
+        F.array_repeat(F.lit(_PRIOR_WAVE), F.when(n >= SEASON_MONTHS, 2 * _WAVES).otherwise(0)),
+    )
+    made = _once(target, steps=steps, x=rows, prior=prior)
+    made = _once(made, mean=total("steps") / (n - 1))
+    made = _once(made, noise=F.greatest(deviations("steps", "mean") / (n - 1) / 2, F.lit(1e-6)))
+    held = F.transform(
+        "prior",
+        lambda p, i: F.transform(
+            F.sequence(F.lit(0), F.size("prior")),
+            lambda j: F.when(i == j, F.col("noise") / (p * p)).otherwise(F.lit(0.0)),
+        ),
+    )
+    pairs = F.zip_with(F.slice("x", 1, n), "target", lambda x, y: F.struct(x.alias("x"), F.array_append(x, y).alias("xy")))
+    made = _once(made, held=held, pairs=pairs)
+    moments = F.aggregate(
+        "pairs",
+        F.col("held"),
+        lambda m, row: F.zip_with(m, row.x, lambda sums, a: F.zip_with(sums, row.xy, lambda total, b: total + a * b)),
+    )
+    made = _once(_once(made, moments=moments), weights=_solved(F.col("moments")))
+    dot = lambda x: total(F.zip_with(x, "weights", lambda a, b: a * b)) * F.col("scale")
+    made = _once(made, fitted=F.transform("x", dot))
+    made = _once(made, misses=F.zip_with("y", F.slice("fitted", 1, n), lambda a, b: a - b))
+    made = _once(made, middle=total("misses") / n)
+    return made.select(
+        "series_key",
+        "last_month",
+        "weights",
+        F.sqrt(deviations("misses", "middle") / (n - 1)).alias("spread"),
+        F.slice("fitted", n + 1, F.lit(horizon)).alias("estimates"),
+    )
+
+
+def _regression_points(series: DataFrame, horizon: int) -> DataFrame:
+    return seasonal_regression(series, horizon).select(
+        "series_key", "last_month", "spread", F.posexplode("estimates").alias("step", "point")
+    ).withColumn("step", F.col("step") + 1)
+
+
+# --- Forecasters of one's own --------------------------------------------------------------------
+
+_OWN: dict[str, Callable[[pd.DataFrame, int], pd.DataFrame]] = {}
+_BUILT_IN = {"holt_winters": _seasonal_points, "holt": _trend_points, "seasonal_regression": _regression_points}
+METHODS = tuple(_BUILT_IN)
+
+
+def register_forecaster(name: str, fit: Callable[[pd.DataFrame, int], pd.DataFrame]) -> None:
+    """Make ``fit(history, horizon)`` available to :func:`forecast` under a name.
+
+    ``history`` has the columns month and value of one series, in order, at
+    least ``MIN_MONTHS_FORECAST`` rows. The result has exactly the columns
+    step (1 to ``horizon``, each once), point and spread (the deviation of the
+    residuals, which sets the intervals). Series run in parallel, one group
+    each; intervals and calendar are those of the other methods.
+    """
+    if name in _BUILT_IN:
+        raise ValueError(f"{name!r} is a method of the library")
+    _OWN[name] = fit
+
+
+def _checked(name: str, found, horizon: int) -> pd.DataFrame:
+    """What a registered function returned, if it has the agreed form."""
+
+    def refuse(why: str):
+        raise ForecasterError(f"forecaster {name!r} {why}")
+
+    if not isinstance(found, pd.DataFrame) or set(found.columns) != {"step", "point", "spread"}:
+        refuse("must return a DataFrame with the columns step, point and spread")
+    numeric = found.apply(pd.to_numeric, errors="coerce")
+    if not np.isfinite(numeric.to_numpy(dtype=float)).all():
+        refuse("returned values that are no finite numbers")
+    if sorted(numeric["step"]) != list(range(1, horizon + 1)):
+        refuse(f"must return each step from 1 to {horizon} once")
+    if (numeric["spread"] < 0).any():
+        refuse("returned a negative spread")
+    return numeric
+
+
+def _own_points(name: str, fit, series: DataFrame, horizon: int) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("month")
-        y = group["value"].to_numpy(dtype=float)
-        last = group["month"].iloc[-1]
-        if len(y) < MIN_MONTHS_FORECAST:
-            return pd.DataFrame(columns=["series_key", "step", "point", "spread", "n_months", "last_month"])
-        if method == "seasonal_regression":
-            months = np.array([m.month - 1 for m in group["month"]])
-            point, residuals = regression_forecast(y, months, horizon)
-        else:
-            season = SEASON_MONTHS if len(y) >= MIN_MONTHS_SEASONAL and method == "holt_winters" else 0
-            point, residuals = smoothing_forecast(y, horizon, season)
+        if len(group) < MIN_MONTHS_FORECAST:
+            return pd.DataFrame(columns=["series_key", "last_month", "spread", "step", "point"])
+        found = _checked(name, fit(group[["month", "value"]].reset_index(drop=True), horizon), horizon)
         return pd.DataFrame(
             {
                 "series_key": group["series_key"].iloc[0],
-                "step": np.arange(1, horizon + 1),
-                "point": point,
-                "spread": np.std(residuals, ddof=1),
-                "n_months": len(y),
-                "last_month": last,
+                "last_month": group["month"].iloc[-1],
+                "spread": found["spread"].astype(float),
+                "step": found["step"].astype(int),
+                "point": found["point"].astype(float),
             }
         )
 
-    return fit
+    chosen = series.select("series_key", "month", F.col("value").cast("double").alias("value"))
+    return chosen.groupBy("series_key").applyInPandas(
+        run, "series_key string, last_month date, spread double, step int, point double"
+    )
 
 
 def with_intervals(points: DataFrame, backend: str) -> DataFrame:
@@ -329,18 +516,19 @@ def forecast(series: DataFrame, horizon: int = 12, method: str = "holt_winters")
     """``(series_key, month, kind, value, lower, upper, backend)`` for all series.
 
     ``holt_winters`` adds a yearly season to series of at least 24 months and
-    is a plain trend below that; ``holt`` never uses a season. Series with
-    less than 6 months give no rows (see :func:`history_status`). A series is
-    one group of at most one row per calendar month.
+    is a plain trend below that; ``holt`` never uses a season. Other names are
+    those of :func:`register_forecaster`. Series with less than 6 months give no
+    rows (see :func:`history_status`). A series is one group of at most one row
+    per calendar month.
     """
-    if method not in METHODS:
-        raise ValueError(f"unknown forecast method {method!r}; choose from {METHODS}")
-    fitted = (
-        series.select("series_key", "month", "value")
-        .groupBy("series_key")
-        .applyInPandas(_fit_series(method, horizon), FIT_SCHEMA)
-    )
-    return with_intervals(fitted, method)
+    given = series.select("series_key", "month", "value")
+    if method in _BUILT_IN:
+        points = _BUILT_IN[method](given, horizon)
+    elif method in _OWN:
+        points = _own_points(method, _OWN[method], given, horizon)
+    else:
+        raise ValueError(f"unknown forecast method {method!r}; choose from {(*METHODS, *_OWN)}")
+    return with_intervals(points, method)
 
 
 def history_and_forecast(series: DataFrame, forecasts: DataFrame) -> DataFrame:

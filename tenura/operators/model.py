@@ -2,12 +2,8 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+import numpy as np
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -70,34 +66,46 @@ def _churn_share(column: str) -> Column:
     return vector_to_array(column)[1]
 
 
+@dataclass
+class LogisticFit:
+    """Intercept and coefficients of scaled features, and the Newton steps that it took to find them."""
+
+    features: tuple[str, ...]
+    intercept: float
+    coefficients: np.ndarray
+    steps: int
+
+    def margin(self, scaled: dict[str, Column]) -> Column:
+        """The log odds as a sum of plain columns."""
+        total = F.lit(float(self.intercept))
+        for c, b in zip(self.features, self.coefficients.tolist()):
+            total = total + F.lit(b) * scaled[c]
+        return total
+
+    def probability(self, scaled: dict[str, Column]) -> Column:
+        return 1 / (1 + F.exp(-self.margin(scaled)))
+
+
 @dataclass
 class ChurnModel:
     """The two fitted models and what is needed to prepare their input."""
 
     features: tuple[str, ...]
     scaling: dict[str, tuple[float, float]]
-    logistic: LogisticRegressionModel
+    logistic: LogisticFit
     forest: RandomForestClassificationModel
     n_train: int
 
     def score(self, matrix: DataFrame) -> DataFrame:
         """Add ``lr_probability``, ``rf_probability`` and their mean ``churn_probability``."""
-        scaled = [
-            ((F.col(c) - mean) / scale).alias(f"_z_{c}") for c, (mean, scale) in self.scaling.items()
-        ]
-        prepared = _assemble(matrix.select("*", *scaled), [f"_z_{c}" for c in self.features], "_scaled")
-        prepared = _assemble(prepared, self.features, "_raw")
-        kept = matrix.columns
-        for fitted, name in ((self.logistic, "lr_probability"), (self.forest, "rf_probability")):
-            prepared = (
-                fitted.transform(prepared)
-                .withColumn(name, _churn_share("probability"))
-                .drop("probability", "rawPrediction", "prediction")
-            )
-        mean = (F.col("lr_probability") + F.col("rf_probability")) / 2
-        return prepared.select(*kept, "lr_probability", "rf_probability").withColumn(
-            "churn_probability", mean
+        scaled = {c: (F.col(c) - mean) / scale for c, (mean, scale) in self.scaling.items()}
+        forest = self.forest.transform(_assemble(matrix, self.features, "_raw"))
+        both = forest.select(
+            *matrix.columns,
+            self.logistic.probability(scaled).alias("lr_probability"),
+            _churn_share("probability").alias("rf_probability"),
         )
+        return both.withColumn("churn_probability", (F.col("lr_probability") + F.col("rf_probability")) / 2)
 
     def scored(self, matrix: DataFrame, label: str = "is_churned") -> DataFrame:
         """``(customer_id, label, churn_probability)`` for evaluation."""
@@ -106,21 +114,65 @@ class ChurnModel:
         )
 
 
-def train_lr(train: DataFrame, *, n_train: int, max_iter: int = 1000) -> LogisticRegressionModel:
-    """L2-regularised logistic regression with unit inverse strength.
+def _newton_moments(train: DataFrame, fit: LogisticFit, scaled: dict[str, Column]):
+    """Loss, gradient and curvature of the weighted log loss over all rows, in one aggregation.
 
-    Spark minimises the mean loss, so the penalty is divided by the sum of
-    the weights, which balanced weights make equal to the number of rows.
+    With 1 in front of the features z: the sums of w (p - y) z and of w p (1 - p) z z'.
     """
-    return LogisticRegression(
-        featuresCol="_scaled",
-        labelCol="is_churned",
-        weightCol="weight",
-        standardization=False,
-        elasticNetParam=0.0,
-        regParam=1.0 / n_train,
-        maxIter=max_iter,
-    ).fit(train)
+    # the row's numbers are columns of a subquery, so that each is worked out once
+    names = [f"_z{i}" for i in range(len(fit.features))]
+    margin = fit.margin(scaled)
+    rows = train.select(
+        F.col("is_churned").cast("double").alias("_y"),
+        F.col("weight").alias("_w"),
+        *[scaled[c].alias(n) for c, n in zip(fit.features, names)],
+        margin.alias("_s"),
+    ).withColumn("_p", 1 / (1 + F.exp(-F.col("_s"))))
+    rows = rows.withColumns(
+        {"_e": F.col("_w") * (F.col("_p") - F.col("_y")), "_h": F.col("_w") * F.col("_p") * (1 - F.col("_p"))}
+    )
+    one = [F.lit(1.0), *map(F.col, names)]
+    k = len(one)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    softplus = F.log1p(F.exp(-F.abs("_s"))) + F.greatest("_s", F.lit(0.0))
+    found = rows.agg(
+        F.sum(F.col("_w") * (softplus - F.col("_y") * F.col("_s"))),
+        *[F.sum(F.col("_e") * x) for x in one],
+        *[F.sum(F.col("_h") * one[i] * one[j]) for i, j in pairs],
+    ).first()
+    curvature = np.zeros((k, k))
+    for (i, j), value in zip(pairs, found[1 + k :]):
+        curvature[i, j] = curvature[j, i] = value
+    return found[0], np.array(found[1 : 1 + k], dtype=float), curvature
+
+
+def train_lr(
+    train: DataFrame, scaling: dict[str, tuple[float, float]], *, max_iter: int = 1000, tolerance: float = 1e-10
+) -> LogisticFit:
+    """L2-regularised logistic regression with unit inverse strength, by Newton steps.
+
+    Minimises the weighted log loss plus half the squared coefficients; the
+    intercept is free. Every step is one aggregation of moments over the rows
+    (``is_churned``, ``weight`` and the features) and a small linear system on
+    the driver; a step that does not lower the loss is halved.
+    """
+    features = tuple(scaling)
+    scaled = {c: (F.col(c) - mean) / scale for c, (mean, scale) in scaling.items()}
+    penalty = np.array([0.0] + [1.0] * len(features))
+    beta, step, before = np.zeros(1 + len(features)), None, np.inf
+    for steps in range(1, max_iter + 1):
+        loss, gradient, curvature = _newton_moments(train, LogisticFit(features, beta[0], beta[1:], steps), scaled)
+        loss += 0.5 * float(beta[1:] @ beta[1:])
+        if step is not None and loss > before + 1e-9 * abs(before) and np.abs(step).max() > tolerance:
+            step = step / 2
+            beta = beta - step
+            continue
+        before = loss
+        step = -np.linalg.solve(curvature + np.diag(penalty), gradient + penalty * beta)
+        beta = beta + step
+        if np.abs(step).max() <= tolerance * max(1.0, np.abs(beta).max()):
+            break
+    return LogisticFit(features, float(beta[0]), beta[1:], steps)
 
 
 def train_rf(
@@ -151,9 +203,9 @@ def train_model(
 ) -> ChurnModel:
     """Fit both models on a feature matrix with a 0/1 ``is_churned``.
 
-    The training rows are stored first: the iterations that follow read a
-    table with a short lineage. The driver sees two counts and two numbers
-    per feature.
+    The training rows are stored first: the passes that follow read a table
+    with a short lineage. The driver sees two counts, two numbers per feature,
+    and a sum for each pair of features in every step.
     """
     assert_no_leakage(train.select("customer_id", *features))
     train = store(train.select("is_churned", *features))
@@ -165,14 +217,9 @@ def train_model(
     weight = F.when(F.col("is_churned") == 1, n_train / (2 * churned)).otherwise(
         n_train / (2 * (n_train - churned))
     )
-    scaled = [((F.col(c) - m) / s).alias(f"_z_{c}") for c, (m, s) in scaling.items()]
-    prepared = train.select("is_churned", *features, *scaled, weight.alias("weight"))
-    prepared = _assemble(prepared, [f"_z_{c}" for c in features], "_scaled")
-    prepared = _assemble(prepared, features, "_raw").select("is_churned", "weight", "_scaled", "_raw")
-    prepared = prepared.persist()
-    try:
-        logistic = train_lr(prepared, n_train=n_train, max_iter=max_iter)
-        forest = train_rf(prepared, trees=trees, depth=depth, seed=seed)
-    finally:
-        prepared.unpersist()
+    weighted = train.withColumn("weight", weight)
+    logistic = train_lr(weighted, scaling, max_iter=max_iter)
+    forest = train_rf(
+        _assemble(weighted, features, "_raw").select("is_churned", "weight", "_raw"), trees=trees, depth=depth, seed=seed
+    )
     return ChurnModel(tuple(features), scaling, logistic, forest, n_train)

@@ -152,7 +152,7 @@ def check_quality(df: DataFrame, as_of=None, *, strict: bool = False) -> DataFra
     if strict:
         found = quality_summary(df, as_of).first()
         if not found["passed"]:
-            raise InsufficientDataError("quality check", 0, found["error_count"])
+            raise InsufficientDataError(f"{found['error_count']} rows have blocking quality findings")
     return quality_report(df, as_of)
 
 

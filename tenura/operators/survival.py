@@ -70,7 +70,7 @@ def clv_per_customer(customers: DataFrame, *, check: bool = True) -> DataFrame:
     if check:
         n = len(customers.select("customer_id").take(MIN_CUSTOMERS_CLV))
         if n < MIN_CUSTOMERS_CLV:
-            raise InsufficientDataError("CLV", MIN_CUSTOMERS_CLV, n)
+            raise InsufficientDataError(f"lifetime value takes {MIN_CUSTOMERS_CLV} customers; there are {n}")
     left = km_median(customers).scalar() - F.col("tenure_days")
     floor = F.when(F.col("is_churned"), F.lit(0.0)).otherwise(F.lit(30.0))
     rate = F.greatest(F.col("tx_per_month"), F.lit(0.01))

@@ -1,8 +1,5 @@
 """Model, evaluation and explanation."""
 
-from functools import cache
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tenura.fixed_values import FEATURES
@@ -45,12 +42,6 @@ def auc_exact(spark, folder):
     return rounded(scoring.auc_exact(_scored(spark, folder)), 6)
 
 
-@query("auc_distributed", f"WITH {TX_SCORED} {_AUC}")
-def auc_distributed(spark, folder):
-    """As ``auc_exact`` by the path for scores that outgrow one task."""
-    return rounded(scoring.auc_exact(_scored(spark, folder)), 6)
-
-
 _ROC = """
 steps AS (SELECT p, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM judged GROUP BY p),
 curve AS (
@@ -144,63 +135,117 @@ def standard_scale(spark, folder):
     return rounded(model.scale_statistics(train), 3)
 
 
-@cache
-def _trained(app_id: str, folder: str, spark):
-    """One training run per session and folder, shared by the queries below."""
+def trained(spark, folder):
     split = store(_split(spark, folder))
     return model.train_model(split.where("split = 'train'")), split
 
 
-def trained(spark, folder):
-    return _trained(spark.sparkContext.applicationId, folder, spark)
-
+# Newton steps of the logistic regression: moments of all training rows, then an 8 x 8 system solved
+# by elimination without pivoting (curvature plus penalty is positive definite).
+_Z = ["1.0", *[f"z{i}" for i in range(1, len(FEATURES) + 1)]]
+_MOMENTS = ", ".join(
+    "[" + ", ".join([f"sum(h * {a} * {b}) + {float(a == b != '1.0')}" for b in _Z] + [f"sum(e * {a})" + (f" + b[{i}]" if i > 1 else "")]) + "]"
+    for i, a in enumerate(_Z, 1)
+)
+_SYSTEM = f"""SELECT k, b, [{_MOMENTS}] AS m
+         FROM (SELECT *, w * (p - y) AS e, w * p * (1 - p) AS h
+               FROM (SELECT k, b, train.*, 1 / (1 + exp(-({" + ".join(f"b[{i}] * {z}" for i, z in enumerate(_Z, 1))}))) AS p
+                     FROM newton, train WHERE k < 25))
+         GROUP BY k, b"""
+for _row in range(1, len(_Z) + 1):
+    _SYSTEM = f"""SELECT k, b, list_transform(m, lambda r, i: CASE WHEN i = {_row}
+                     THEN list_transform(r, lambda x: x / m[{_row}][{_row}])
+                     ELSE list_transform(r, lambda x, j: x - r[{_row}] * m[{_row}][j] / m[{_row}][{_row}]) END) AS m
+         FROM ({_SYSTEM})"""
+
+LOGISTIC = f"""
+stats AS (SELECT count(*) AS n, count(*) FILTER (is_churned) AS churned,
+  {", ".join(f"avg({c}) AS m{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s{i}" for i, c in enumerate(FEATURES, 1))}
+  FROM split WHERE split = 'train'),
+scaled AS (
+  SELECT customer_id, split, CAST(is_churned AS DOUBLE) AS y,
+         CASE WHEN is_churned THEN n / (2.0 * churned) ELSE n / (2.0 * (n - churned)) END AS w,
+         {", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(FEATURES, 1))}
+  FROM split, stats),
+train AS MATERIALIZED (SELECT * FROM scaled WHERE split = 'train'),
+newton AS (
+  SELECT 0 AS k, [{", ".join(["0.0::DOUBLE"] * len(_Z))}] AS b
+  UNION ALL
+  SELECT k + 1, list_transform(b, lambda x, i: x - m[i][{len(_Z) + 1}]) FROM ({_SYSTEM})),
+coefficients AS (SELECT b FROM newton ORDER BY k DESC LIMIT 1),
+logistic AS (
+  SELECT customer_id, split, CAST(y AS INTEGER) AS is_churned,
+         1 / (1 + exp(-({" + ".join(f"b[{i}] * {z}" for i, z in enumerate(_Z, 1))}))) AS lr_probability
+  FROM scaled, coefficients)"""
+
+_LOGISTIC = f"WITH RECURSIVE {t.TX_CUSTOMERS}, {SPLIT}, {LOGISTIC}"
+
+
+def logistic(spark, folder):
+    """The fitted regression alone, and the split that it was fitted on."""
+    split = store(_split(spark, folder))
+    train = split.where("split = 'train'")
+    found = model.training_statistics(train).first()
+    weights = {r["label"]: r["weight"] for r in model.class_weights(train).collect()}
+    weight = F.when(F.col("is_churned") == 1, weights[1]).otherwise(weights[0])
+    scaling = {c: (found[c]["mean"], found[c]["scale"]) for c in FEATURES}
+    return model.train_lr(train.withColumn("weight", weight), scaling), scaling, split
 
-# SQL cannot train the models. The queries below return what it can work out
-# (customers, labels, counts, ranks) next to properties that must hold.
 
-_SPLIT_ROWS = "SELECT customer_id, split, CAST(is_churned AS INTEGER) AS is_churned"
-_TESTED = "(SELECT count(*) FROM split WHERE split = 'test')"
+@query(
+    "train_lr",
+    f"{_LOGISTIC} SELECT customer_id, split, is_churned, round(lr_probability, 4) AS lr_probability FROM logistic",
+)
+def train_lr(spark, folder):
+    """The regression's probability for every customer."""
+    fitted, scaling, split = logistic(spark, folder)
+    scaled = {c: (F.col(c) - mean) / scale for c, (mean, scale) in scaling.items()}
+    rows = split.select("customer_id", "split", "is_churned", fitted.probability(scaled).alias("lr_probability"))
+    return rounded(rows, 4)
 
 
-def _is_probability(column):
-    return F.col(column).between(0.0, 1.0)
+@query(
+    "train_lr_coefficients",
+    f"""{_LOGISTIC} SELECT unnest(['intercept', {", ".join(f"'{c}'" for c in FEATURES)}]) AS term,
+    round(unnest(b), 4) AS coefficient FROM coefficients""",
+)
+def train_lr_coefficients(spark, folder):
+    fitted, _, _ = logistic(spark, folder)
+    terms = [("intercept", fitted.intercept), *zip(fitted.features, fitted.coefficients.tolist())]
+    return rounded(spark.createDataFrame(terms, "term string, coefficient double"), 4)
 
 
-@query("train_lr", f"WITH {t.TX_CUSTOMERS}, {SPLIT} {_SPLIT_ROWS}, true AS is_probability FROM split")
-def train_lr(spark, folder):
-    fitted, split = trained(spark, folder)
-    rows = fitted.score(split).withColumn("is_probability", _is_probability("lr_probability"))
-    return rows.select("customer_id", "split", "is_churned", "is_probability")
+# A forest drawn at random has no counterpart in SQL. The queries below return what the operators
+# find; tests compare them with independent computations.
 
 
-@query("train_rf", f"WITH {t.TX_CUSTOMERS}, {SPLIT} {_SPLIT_ROWS}, true AS is_probability FROM split")
+@query("train_rf")
 def train_rf(spark, folder):
+    """The forest's probability for every customer, by a walk of all rows through the stored trees."""
     fitted, split = trained(spark, folder)
-    rows = fitted.score(split).withColumn("is_probability", _is_probability("rf_probability"))
-    return rows.select("customer_id", "split", "is_churned", "is_probability")
+    walked = explain.walk_forest(fitted, split)
+    labels = split.select("customer_id", "split", "is_churned")
+    return labels.join(rounded(walked, 6), "customer_id")
+
+
+@query("forest_leaf_counts")
+def forest_leaf_counts(spark, folder):
+    """Per tree: leaves, the weight of the training rows in them, and the churned share of it."""
+    fitted, _ = trained(spark, folder)
+    leaves = explain.forest_nodes(fitted, spark).where("left < 0").groupBy("tree")
+    found = leaves.agg(
+        F.count("*").alias("leaves"),
+        F.sum("cover").alias("weight"),
+        (F.sum("churned") / F.sum("cover")).alias("churned_share"),
+    )
+    return rounded(found, 6)
 
 
-@query("score_ensemble", f"WITH {t.TX_CUSTOMERS}, {SPLIT} {_SPLIT_ROWS}, true AS is_mean_of_both FROM split")
+@query("score_ensemble")
 def score_ensemble(spark, folder):
     fitted, split = trained(spark, folder)
-    mean = (F.col("lr_probability") + F.col("rf_probability")) / 2
-    rows = fitted.score(split).withColumn("is_mean_of_both", F.abs(mean - F.col("churn_probability")) < 1e-12)
-    return rows.select("customer_id", "split", "is_churned", "is_mean_of_both")
-
-
-def largest_gradient(fitted, split):
-    """One row: the largest component of the logistic loss's gradient over the training rows."""
-    train = fitted.score(split.where("split = 'train'"))
-    weights = {r["label"]: r["weight"] for r in model.class_weights(split.where("split = 'train'")).collect()}
-    error = F.when(F.col("is_churned") == 1, weights[1] * (F.col("lr_probability") - 1)).otherwise(
-        weights[0] * F.col("lr_probability")
-    )
-    pull = {c: b / fitted.n_train for c, b in zip(fitted.features, fitted.logistic.coefficients)}
-    parts = [
-        F.abs(F.avg(error * (F.col(c) - mean) / scale) + F.lit(float(pull[c])))
-        for c, (mean, scale) in fitted.scaling.items()
-    ]
-    return train.agg(F.greatest(F.abs(F.avg(error)), *parts).alias("largest"))
+    columns = ["customer_id", "split", "is_churned", "lr_probability", "rf_probability", "churn_probability"]
+    return rounded(fitted.score(split).select(*columns), 6)
 
 
 def evaluation(fitted, split):
@@ -209,22 +254,9 @@ def evaluation(fitted, split):
     return scoring.evaluate(scored, fitted.n_train)
 
 
-@query(
-    "model_metrics",
-    f"""WITH {t.TX_CUSTOMERS}, {SPLIT}
-    SELECT CAST(count(*) FILTER (split = 'train') AS BIGINT) AS n_train,
-           CAST(count(*) FILTER (split = 'test') AS BIGINT) AS n_test,
-           true AS are_shares, true AS is_at_optimum FROM split""",
-)
+@query("model_metrics")
 def model_metrics(spark, folder):
-    fitted, split = trained(spark, folder)
-    shares = [_is_probability(c) | F.col(c).isNull() for c in ("precision", "recall", "f1", "auc")]
-    return evaluation(fitted, split).select(
-        "n_train",
-        "n_test",
-        (shares[0] & shares[1] & shares[2] & shares[3]).alias("are_shares"),
-        (largest_gradient(fitted, split).scalar() < 1e-4).alias("is_at_optimum"),
-    )
+    return rounded(evaluation(*trained(spark, folder)), 6)
 
 
 @query(
@@ -236,68 +268,30 @@ def sample_cap(spark, folder):
     return rows.agg(F.count_distinct("customer_id").alias("sampled"))
 
 
-@cache
-def _explained(app_id: str, folder: str, spark):
-    """Shapley values of all test customers, worked out once per session and folder."""
+def explained(spark, folder):
+    """Shapley values of all test customers, and the names of the features."""
     fitted, split = trained(spark, folder)
     return store(explain.shap_values(fitted, split.where("split = 'test'"))), fitted.features
 
 
-def _shap(spark, folder):
-    return _explained(spark.sparkContext.applicationId, folder, spark)
-
-
-@query(
-    "shap_values",
-    f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT customer_id, feature_name, true AS adds_up FROM split,
-    (SELECT unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) AS feature_name) WHERE split = 'test'""",
-)
+@query("shap_values")
 def shap_values(spark, folder):
-    """Each customer's values and the base value add up to the forest's probability."""
-    shap, features = _shap(spark, folder)
-    total = F.aggregate("phi", F.col("base_value"), lambda a, x: a + x)
-    sums = shap.select("customer_id", (F.abs(total - F.col("rf_probability")) < 1e-6).alias("adds_up"))
-    return explain.shap_long(shap, features).join(sums, "customer_id").select("customer_id", "feature_name", "adds_up")
+    """Each test customer's value per feature; with the base value they add up to the forest's probability."""
+    shap, features = explained(spark, folder)
+    rows = shap.select("customer_id", "base_value", "rf_probability")
+    return rounded(explain.shap_long(shap, features).join(rows, "customer_id"), 6)
 
 
-def importance(spark, folder):
-    return explain.shap_importance(*_shap(spark, folder))
-
-
-_ALL_FEATURES = f"(SELECT unnest([{', '.join(repr(c) for c in FEATURES)}]) AS feature_name)"
-
-
-@query(
-    "shap_importance",
-    f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT feature_name, CAST({_TESTED} AS BIGINT) AS n_explained,
-    true AS is_positive FROM {_ALL_FEATURES}""",
-)
+@query("shap_importance")
 def shap_importance(spark, folder):
-    shap, _ = _shap(spark, folder)
-    rows = importance(spark, folder).withColumn("n_explained", shap.agg(F.count("*")).scalar())
-    return rows.select("feature_name", "n_explained", (F.col("mean_abs_shap") > 0).alias("is_positive"))
-
-
-def _ranked(rows, spark, folder):
-    """Ranks, and whether each mean is not above the one before."""
-    shap, _ = _shap(spark, folder)
-    before = F.lag("mean_abs_shap").over(Window.orderBy("rank"))
-    return rows.select(
-        "rank",
-        F.coalesce(before >= F.col("mean_abs_shap"), F.lit(True)).alias("is_in_order"),
-        shap.agg(F.count("*")).scalar().alias("n_explained"),
-    )
-
-
-_RANKS = f"""WITH {t.TX_CUSTOMERS}, {SPLIT} SELECT CAST(r AS BIGINT) AS "rank", true AS is_in_order,
-    CAST({_TESTED} AS BIGINT) AS n_explained FROM (SELECT unnest(range(1, %d)) AS r)"""
+    return rounded(explain.shap_importance(*explained(spark, folder)).drop("rank"), 6)
 
 
-@query("importance_rank", _RANKS % 8)
+@query("importance_rank")
 def importance_rank(spark, folder):
-    return _ranked(importance(spark, folder), spark, folder)
+    return explain.shap_importance(*explained(spark, folder)).select("rank", "feature_name")
 
 
-@query("top_features", _RANKS % 4)
+@query("top_features")
 def top_features(spark, folder):
-    return _ranked(explain.top_features(importance(spark, folder), 3), spark, folder)
+    return rounded(explain.top_features(explain.shap_importance(*explained(spark, folder)), 3), 6)

@@ -153,5 +153,5 @@ def ingest_summary(df: DataFrame) -> DataFrame:
 def require_rows(df: DataFrame) -> DataFrame:
     """Raise unless there is at least one data row."""
     if df.isEmpty():
-        raise InsufficientDataError("upload", 1, 0)
+        raise InsufficientDataError("the upload has no data rows")
     return df

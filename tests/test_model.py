@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tenura import sinks, workflows
 from tenura.errors import LeakageError, ModelError
 from tenura.operators import explain, model, scoring
+from tenura.plans import QUERIES
 from tenura.sources import orders_as_transactions
 
 
@@ -54,10 +56,45 @@ def test_logistic_optimum(fitted, matrix):
     mean, scale = np.array([fitted.scaling[c] for c in model.FEATURES]).T
     x = (data[list(model.FEATURES)].to_numpy() - mean) / scale
     y = data["is_churned"].to_numpy()
-    w, b = fitted.logistic.coefficients.toArray(), fitted.logistic.intercept
+    w, b = fitted.logistic.coefficients, fitted.logistic.intercept
     miss = 1 / (1 + np.exp(-(x @ w + b))) - y
-    assert np.abs(w + x.T @ miss).max() < 1e-3
-    assert abs(miss.sum()) < 1e-3
+    assert np.abs(w + x.T @ miss).max() < 1e-8
+    assert abs(miss.sum()) < 1e-8
+    assert fitted.logistic.steps < 15
+
+
+def test_newton_on_separable_and_constant_features(spark):
+    """Far apart classes, a constant feature and very unequal classes still give the optimum."""
+    rows = [(float(i), 5.0, int(i >= 290), 300 / 580 if i < 290 else 15.0) for i in range(300)]
+    train = spark.createDataFrame(rows, "a double, b double, is_churned int, weight double")
+    fit = model.train_lr(train, {"a": (149.5, 86.6), "b": (5.0, 1.0)})
+    z = (np.arange(300) - 149.5) / 86.6
+    miss = np.where(z > (289.5 - 149.5) / 86.6, 15.0, 300 / 580)
+    y = (np.arange(300) >= 290).astype(float)
+    error = miss * (1 / (1 + np.exp(-(fit.intercept + fit.coefficients[0] * z))) - y)
+    assert abs(error.sum()) < 1e-7 and abs(error @ z + fit.coefficients[0]) < 1e-7
+    assert fit.coefficients[1] == 0.0
+
+
+def test_walk_through_the_stored_trees(fitted, matrix):
+    """Level by level through the table of nodes, every row gets the forest's own probability."""
+    walked = {r["customer_id"]: r["rf_probability"] for r in explain.walk_forest(fitted, matrix).collect()}
+    own = {r["customer_id"]: r["rf_probability"] for r in fitted.score(matrix).collect()}
+    assert walked == pytest.approx(own, abs=1e-12)
+
+
+def test_leaves_count_the_training_rows(fitted, matrix):
+    """Each tree's leaves share out the weight of a sample as large as the training rows."""
+    nodes = explain.forest_nodes(fitted, matrix.sparkSession).toPandas()
+    at = nodes.set_index(["tree", "id"])
+    inner = nodes[nodes["left"] >= 0]
+    for column in ("cover", "churned"):
+        children = sum(at.loc[list(zip(inner["tree"], inner[side])), column].to_numpy() for side in ("left", "right"))
+        assert children == pytest.approx(inner[column].to_numpy())
+    roots = nodes[nodes["id"] == 0]
+    assert roots["cover"].to_numpy() == pytest.approx(120, rel=0.35)  # drawn with replacement
+    share = (roots["churned"] / roots["cover"]).to_numpy()
+    assert np.abs(share - 0.5).max() < 0.25 and abs(share.mean() - 0.5) < 0.05
 
 
 def test_constant_feature_scales_to_one(fitted):
@@ -199,6 +236,47 @@ def test_top_at_risk(spark):
     assert [tuple(r) for r in rows] == [("b", "90.0%", "$1,235", 10, 3), ("d", "70.0%", "$1,235", 10, 3)]
 
 
+DATA = os.environ.get("TENURA_TEST_DATA", "/root/testdata/sf0.001")
+
+
+def test_model_queries(spark):
+    """The registered results agree with each other and with numpy."""
+    rows = {name: modelling_query(spark, name) for name in ("score_ensemble", "train_rf", "train_lr", "model_metrics")}
+    scored = rows["score_ensemble"].set_index("customer_id").sort_index()
+    mean = (scored["lr_probability"] + scored["rf_probability"]) / 2
+    assert np.abs(mean - scored["churn_probability"]).max() < 2e-6
+    walked = rows["train_rf"].set_index("customer_id").sort_index()["rf_probability"]
+    assert np.abs(walked - scored["rf_probability"]).max() < 2e-6
+    regression = rows["train_lr"].set_index("customer_id").sort_index()["lr_probability"]
+    assert np.abs(regression - scored["lr_probability"]).max() < 1e-4
+    test = scored[scored["split"] == "test"]
+    hit = (test["churn_probability"] >= 0.5).to_numpy()
+    y = test["is_churned"].to_numpy().astype(bool)
+    metrics = rows["model_metrics"].iloc[0]
+    assert metrics["n_test"] == len(test) and metrics["n_train"] == len(scored) - len(test)
+    assert metrics["precision"] == pytest.approx((hit & y).sum() / hit.sum(), abs=1e-6)
+    assert metrics["recall"] == pytest.approx((hit & y).sum() / y.sum(), abs=1e-6)
+    pos, neg = test["churn_probability"][y].to_numpy(), test["churn_probability"][~y].to_numpy()
+    wins = (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
+    assert metrics["auc"] == pytest.approx(wins, abs=1e-3)
+
+
+def modelling_query(spark, name):
+    return QUERIES[name](spark, DATA).toPandas()
+
+
+def test_explanation_queries(spark):
+    shap = modelling_query(spark, "shap_values")
+    per_row = shap.groupby("customer_id").agg({"phi": "sum", "base_value": "first", "rf_probability": "first"})
+    assert np.abs(per_row["phi"] + per_row["base_value"] - per_row["rf_probability"]).max() < 1e-5
+    importance = modelling_query(spark, "shap_importance").set_index("feature_name")["mean_abs_shap"]
+    means = shap["phi"].abs().groupby(shap["feature_name"]).mean()
+    assert importance.to_dict() == pytest.approx(means.to_dict(), abs=1e-5)
+    ranks = modelling_query(spark, "importance_rank").sort_values("rank")
+    assert list(ranks["feature_name"]) == list(importance.sort_values(ascending=False).index)
+    assert set(modelling_query(spark, "top_features")["feature_name"]) == set(ranks["feature_name"][:3])
+
+
 def test_study(spark):
     done = workflows.study(orders_as_transactions(spark, "/root/testdata/sf0.001"), trees=10, depth=4)
     n = done.customers.count()

@@ -3,7 +3,7 @@
 Name checks look at ``df.columns`` only and cost no job.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.errors import LeakageError, SchemaError
@@ -142,30 +142,66 @@ def feature_projection(df: DataFrame, features=FEATURES) -> DataFrame:
     return assert_no_leakage(df.select("customer_id", *kept).na.fill(0.0, kept).na.fill(0, kept))
 
 
+def _comparable(column: Column, kind: str) -> Column:
+    """A string that is equal for equal values only."""
+    if kind in ("double", "float"):
+        return (column + 0.0).cast("string")  # one zero
+    return F.hex(column) if kind == "binary" else column.cast("string")
+
+
 def column_profile(df: DataFrame, *, approximate: bool = False) -> DataFrame:
-    """Per column: type, non-null, null and distinct counts.
+    """Per column: type, non-null, null and distinct counts, in one pass over the rows.
 
-    Exact distinct counts expand every row once per column before the
-    shuffle; ``approximate=True`` keeps a sketch per task instead.
+    Exact counts group (column, value) pairs, whose copies are combined before
+    the shuffle; ``approximate=True`` keeps a sketch per column and task
+    instead. Columns that are arrays, maps or structs are compared as JSON.
     """
     kinds = dict(df.dtypes)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggregates = []
-    for c in df.columns:
-        column = F.col(f"`{c}`")
-        aggregates += [F.count(column).alias(f"{c}|present"), distinct(column).alias(f"{c}|distinct")]
-    one = df.agg(F.count("*").alias("rows"), *aggregates)
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(kinds[c]).alias("type"),
-            F.col(f"`{c}|present`").alias("non_null"),
-            (F.col("rows") - F.col(f"`{c}|present`")).alias("null_count"),
-            F.col(f"`{c}|distinct`").alias("distinct_count"),
+    if approximate:
+        aggregates = []
+        for c in df.columns:
+            column = F.col(f"`{c}`")
+            aggregates += [
+                F.count(column).alias(f"{c}|present"),
+                F.approx_count_distinct(column).alias(f"{c}|distinct"),
+            ]
+        one = df.agg(F.count("*").alias("rows"), *aggregates)
+        counts = [
+            F.struct(
+                F.lit(i).alias("i"),
+                F.col("rows"),
+                F.col(f"`{c}|present`").alias("present"),
+                F.col(f"`{c}|distinct`").alias("distinct"),
+            )
+            for i, c in enumerate(df.columns)
+        ]
+        found = one.select(F.inline(F.array(*counts)))
+    else:
+        nested = lambda kind: kind.startswith(("array", "map", "struct"))
+        value = lambda c: F.to_json(F.col(f"`{c}`")) if nested(kinds[c]) else _comparable(F.col(f"`{c}`"), kinds[c])
+        pairs = df.select(
+            F.inline(F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("v")) for i, c in enumerate(df.columns)]))
         )
-        for c in df.columns
-    ]
-    return one.select(F.inline(F.array(*entries)))
+        found = (
+            pairs.groupBy("i", "v")
+            .agg(F.count("*").alias("n"))
+            .groupBy("i")
+            .agg(
+                F.sum("n").alias("rows"),
+                F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("present"),
+                F.count("v").alias("distinct"),
+            )
+        )
+    named = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type")) for c in df.columns])
+    columns = df.sparkSession.range(1).select(F.posexplode(named).alias("i", "c"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return columns.join(found, "i", "left").select(
+        "c.column",
+        "c.type",
+        zero(F.col("present")).alias("non_null"),
+        zero(F.col("rows") - F.col("present")).alias("null_count"),
+        zero(F.col("distinct")).alias("distinct_count"),
+    )
 
 
 def preview(df: DataFrame, order, n: int = 100) -> DataFrame:

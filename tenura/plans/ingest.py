@@ -7,7 +7,7 @@ from tenura.operators import date_formats as dates
 from tenura.operators import quality, schema
 from tenura.plans import tables as t
 from tenura.plans.registry import NUDGE, query, rounded, sql_text
-from tenura.session import shared_dir
+from tenura.session import shared_dir, store
 from tenura.sources import csv_files
 from tenura.sources.tables import read_table
 
@@ -58,20 +58,89 @@ def normalise_headers(spark, folder):
     return schema.normalise_headers(t.raw(spark, folder))
 
 
-@query("file_guard")
+# Uploads of several files: orders by status and year, with their columns in three orders. The third
+# kind has a column more, whose cells hold quotes and a line break; the last kind is no CSV.
+_NOTE = 'on "hold"\nuntil called'
+_KINDS = {
+    "F": ("customer_id", "date", "amount"),
+    "O": ("date", "amount", "customer_id"),
+    "P": ("customer_id", "note", "date", "amount"),
+}
+
+
+def _uploads(spark, folder) -> str:
+    """Writes the files, one for each kind and year; returns their folder."""
+    path = shared_dir(spark)
+    orders = read_table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"),
+        F.lit(_NOTE).alias("note"),
+        F.year("o_orderdate").alias("year"),
+        "o_orderstatus",
+    )
+    orders = store(orders.repartition("year"))
+    for kind, columns in _KINDS.items():
+        own = orders.where(F.col("o_orderstatus") == kind).select(*columns, "year").repartition("year")
+        own.write.partitionBy("year").options(header=True, escape='"').csv(f"{path}/{kind}")
+    lines = orders.select(F.concat_ws(";", "customer_id", "date").alias("value"), "year").repartition("year")
+    lines.write.partitionBy("year").text(f"{path}/T")
+    return path
+
+
+_ROW = f"len(customer_id) + len(amount) + 13 + CASE WHEN kind = 'P' THEN {len(_NOTE) + 5} ELSE 0 END"
+_UPLOADS = f"""
+uploads AS (
+  SELECT o_orderstatus AS kind, CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(o_custkey AS VARCHAR) AS customer_id,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders),
+files AS (
+  SELECT kind, year, count(*) AS row_count, CASE WHEN kind = 'P' THEN 4 ELSE 3 END AS column_count,
+         CASE WHEN kind = 'P' THEN 29 ELSE 24 END + sum({_ROW}) AS bytes
+  FROM uploads WHERE kind IN ('F', 'O', 'P') GROUP BY kind, year)"""
+
+
+def _by_folder(df, path: str):
+    """The kind and year of each file, from its folder."""
+    part = lambda i: F.regexp_extract(path, "/([FOPT])/year=([0-9]+)/", i)
+    return df.withColumns({"kind": part(1), "year": part(2)})
+
+
+@query(
+    "file_guard",
+    f"""WITH {_UPLOADS} SELECT kind, year, CAST(bytes AS BIGINT) AS bytes, NULL AS reason FROM files
+    UNION ALL SELECT 'T', year, CAST(sum(len(customer_id) + 12) AS BIGINT), 'unsupported extension' FROM uploads GROUP BY year""",
+)
 def file_guard(spark, folder):
-    return csv_files.file_guard(spark, f"{folder}/*.parquet")
+    """A row per file: those of a table written as CSV are read, those written as plain text are refused."""
+    status = csv_files.file_status(spark, f"{_uploads(spark, folder)}/*/year=*")
+    return _by_folder(status, "path").select("kind", "year", "bytes", "reason")
 
 
 @query(
     "ingest_summary",
-    f"WITH {t.RAW} SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(7 AS BIGINT) AS column_count FROM raw",
+    f"""WITH {_UPLOADS} SELECT kind, year, CAST(row_count AS BIGINT) AS row_count, CAST(column_count AS BIGINT) AS column_count,
+    CAST(bytes AS BIGINT) AS file_size_bytes, CAST(0 AS BIGINT) AS malformed_count FROM files""",
 )
 def ingest_summary(spark, folder):
-    files = csv_files.scan_csv(spark, t.raw_csv(spark, folder), encoding="UTF-8", null_tokens=False)
-    return csv_files.ingest_summary(files).agg(
-        F.sum("row_count").alias("row_count"), F.max("column_count").alias("column_count")
-    )
+    """A row per file of one upload whose files have their columns in different orders."""
+    root = _uploads(spark, folder)
+    paths = [f"{root}/{kind}/year=*" for kind in _KINDS]
+    rows = csv_files.scan_csv(spark, paths, file="_file")
+    found = csv_files.ingest_summary(rows, "_file", csv_files.malformed_rows(spark, paths))
+    return _by_folder(found, "file_path").drop("file_path", "file_name")
+
+
+@query(
+    "scan_csv_mixed_files",
+    """SELECT CAST(o_custkey AS VARCHAR) AS customer_id, strftime(o_orderdate, '%Y-%m-%d') AS date,
+    CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+    CASE WHEN o_orderstatus = 'P' THEN 'on "hold"' || chr(10) || 'until called' END AS note
+    FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+)
+def scan_csv_mixed_files(spark, folder):
+    """Columns are matched by name; a column that some files lack is NULL there; cells keep their line breaks."""
+    root = _uploads(spark, folder)
+    return csv_files.scan_csv(spark, [f"{root}/{kind}/year=*" for kind in _KINDS])
 
 
 @query("min_rows_guard", f"WITH {t.RAW} SELECT CAST(count(*) AS BIGINT) AS row_count FROM raw")

@@ -49,7 +49,7 @@ def ingest(
     With ``allow_ambiguous=False`` a file whose days and months cannot be told
     apart is refused until ``date_format`` is given; ``date_samples`` shows
     what the format makes of some dates. ``malformed`` has the rows with cells
-    beyond the header, ``files`` the rows and bytes per file and ``refused``
+    beyond the header, ``files`` the rows, columns, bytes and such rows per file and ``refused``
     the files that are no CSV. ``strict`` refuses files with such rows or with
     blocking quality findings.
     """
@@ -57,10 +57,11 @@ def ingest(
     malformed = malformed_rows(spark, path, multi_line=scan.get("multi_line", True))
     if strict and not malformed.isEmpty():
         raise SchemaError("some rows have more cells than the header")
-    raw = store(schema.normalise_headers(scan_csv(spark, path, ordinal="_ordinal", **scan)))
+    scanned = scan_csv(spark, path, ordinal="_ordinal", file="_file", **scan)
+    raw = store(schema.normalise_headers(scanned))
     require_rows(raw)
-    cells = raw.drop("_ordinal")
-    text = schema.canonical_schema(raw)
+    cells = raw.drop("_ordinal", "_file")
+    text = schema.canonical_schema(raw.drop("_file"))
     ambiguous = False
     if date_format is None:
         found = date_formats.detect_format(text)
@@ -81,7 +82,7 @@ def ingest(
         quality=report,
         malformed=malformed,
         date_samples=date_formats.sample_pairs(text, date_format, ["_ordinal"]),
-        files=ingest_summary(scan_csv(spark, path, encoding="UTF-8", null_tokens=False)),
+        files=ingest_summary(raw, "_file", malformed),
         refused=file_guard(spark, path),
     )
 

@@ -4,7 +4,7 @@ from tenura import workflows
 from tenura.errors import DateFormatError, InsufficientDataError, LeakageError, SchemaError
 from tenura.operators import date_formats as dates
 from tenura.operators import schema
-from tenura.sources import file_guard, ingest_summary, require_rows, scan_csv
+from tenura.sources import file_guard, file_status, ingest_summary, require_rows, scan_csv
 from tenura.sources.csv_files import malformed_rows
 
 
@@ -110,9 +110,98 @@ def test_file_guard_and_summary(spark, tmp_path):
     write(tmp_path, "x", "notes.txt")
     found = {r["file"]: r["reason"] for r in file_guard(spark, str(tmp_path), max_bytes=10).collect()}
     assert found == {"notes.txt": "unsupported extension", "upload.csv": "too large"}
-    summary = ingest_summary(scan_csv(spark, str(tmp_path / "upload.csv"), encoding="UTF-8", null_tokens=False)).first()
+    status = {r["file"]: r["reason"] for r in file_status(spark, str(tmp_path)).collect()}
+    assert status == {"notes.txt": "unsupported extension", "upload.csv": None}
+    rows = scan_csv(spark, str(tmp_path / "upload.csv"), null_tokens=False, file="f")
+    summary = ingest_summary(rows, "f").first()
     assert (summary["file_name"], summary["row_count"], summary["column_count"]) == ("upload.csv", 2, 3)
-    assert summary["file_size_bytes"] == len(TWO_ROWS)
+    assert summary["file_size_bytes"] == len(TWO_ROWS) and summary["malformed_count"] is None
+
+
+def test_ingest_of_files_with_different_headers(spark, tmp_path):
+    write(tmp_path, "customer_id,date,amount\nc1,2024-01-25,10\nc1,2024-01-26,11,more\n", "a.csv")
+    write(tmp_path, "date,amount,customer_id\n2024-01-27,12,c2\n", "b.csv")
+    write(tmp_path, "date,product,amount,customer_id\n2024-01-28,café,13,c3\n", "c.csv", encoding="latin-1")
+    write(tmp_path, 'customer_id,product,date,amount\nc4,"two\nlines, ""so""",2024-01-29,14\n', "d.csv")
+    done = workflows.ingest(spark, str(tmp_path))
+    rows = sorted((r["customer_id"], str(r["transaction_date"].date()), r["transaction_amount"], r["product"])
+                  for r in done.transactions.collect())
+    assert rows == [
+        ("c1", "2024-01-25", 10.0, None),
+        ("c1", "2024-01-26", 11.0, None),
+        ("c2", "2024-01-27", 12.0, None),
+        ("c3", "2024-01-28", 13.0, "café"),
+        ("c4", "2024-01-29", 14.0, 'two\nlines, "so"'),
+    ]
+    files = {r["file_name"]: (r["row_count"], r["column_count"], r["malformed_count"]) for r in done.files.collect()}
+    assert files == {"a.csv": (2, 3, 1), "b.csv": (1, 3, 0), "c.csv": (1, 4, 0), "d.csv": (1, 4, 0)}
+    assert done.malformed.count() == 1 and done.refused.count() == 0
+
+
+def quoted_file(n):
+    """CSV text with line breaks, quotes, commas and blank lines inside quoted cells, and its rows."""
+    cells = ['plain', 'two\nlines', 'say ""hi""', '""\n""', 'a,b', '\n\n', 'x\ny ""\nz""', '']
+    rows, lines = [], ['id,"a ""wide""\nname",end']
+    for i in range(n):
+        cell = cells[i * 7 % len(cells)]
+        rows.append((str(i), cell.replace('""', '"') or None, f"e{i}"))
+        lines.append(f'{i},"{cell}",e{i}' if i % len(cells) or cell else f"{i},{cell},e{i}")
+    return "\n".join(lines) + "\n", rows
+
+
+@pytest.mark.parametrize("most", [64, 200, 1000, 10_000_000])
+def test_quoted_line_breaks_across_byte_ranges(spark, tmp_path, most):
+    """Ranges may begin inside a cell, between two quotes or on a blank line of a cell."""
+    text, expected = quoted_file(300)
+    for name in ("a.csv", "b.csv"):
+        paths = write(tmp_path, text, name)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    whole = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"')
+    reference = sorted(map(tuple, whole.collect()), key=str)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(most))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = scan_csv(spark, str(tmp_path), null_tokens=False, ordinal="o")
+        assert found.columns == ["id", 'a "wide"\nname', "end", "o"]
+        rows = found.orderBy("o").drop("o").collect()
+        ranges = spark.read.text(paths).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert sorted(map(tuple, rows), key=str) == reference
+    assert [r["id"] for r in rows] == [r[0] for r in expected] * 2
+    assert [r[1] for r in rows[:300]] == [r[1] for r in expected]
+    assert ranges > 5 if most < 5000 else ranges >= 1
+
+
+def test_quoted_line_breaks_in_latin1(spark, tmp_path):
+    path = write(tmp_path, 'id,text\n1,"caf\xe9\nau lait"\n2,th\xe9\n', encoding="latin-1")
+    assert sorted(map(tuple, scan_csv(spark, path).collect())) == [("1", "café\nau lait"), ("2", "thé")]
+
+
+def test_an_open_quote_at_the_end(spark, tmp_path):
+    path = write(tmp_path, 'id,text\n1,a\n2,"never closed\n3,b\n')
+    assert [r["id"] for r in scan_csv(spark, path, ordinal="o").orderBy("o").collect()] == ["1", "2"]
+
+
+def test_profile_of_all_types(spark):
+    rows = [(1, 0.0, "a", b"x", [1, 2]), (1, -0.0, None, b"x", [1, 2]), (None, float("nan"), "a", None, [2]), (3, float("nan"), "", b"", None)]
+    df = spark.createDataFrame(rows, "i int, d double, s string, b binary, l array<int>")
+    found = {r["column"]: tuple(r)[1:] for r in schema.column_profile(df).collect()}
+    assert found == {
+        "i": ("int", 3, 1, 2),
+        "d": ("double", 4, 0, 2),
+        "s": ("string", 3, 1, 2),
+        "b": ("binary", 3, 1, 2),
+        "l": ("array<int>", 3, 1, 2),
+    }
+    plan = schema.column_profile(df)._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+    none = {r["column"]: tuple(r)[2:] for r in schema.column_profile(df.where("false")).collect()}
+    assert set(none.values()) == {(0, 0, 0)} and len(none) == 5
+    near = {r["column"]: r["distinct_count"] for r in schema.column_profile(df.select("i", "s"), approximate=True).collect()}
+    assert near == {"i": 2, "s": 2}
 
 
 def test_headers_and_aliases(spark):

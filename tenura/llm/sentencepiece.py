@@ -25,7 +25,7 @@ SPACE = "▁"  # how a blank is written in pieces
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, for a character without a piece
 STEPS = 128  # positions folded at a time
 GROUPS = 100_000  # segments that a task groups by hashing before it sorts instead
-RUNS = 700_000  # words between blanks in a chunk
+RUNS = 350_000  # words between blanks in a chunk
 CHARS_PER_TASK = 4_000_000  # of text, for each task that encodes segments
 
 # Letters after which a cut may be tried; others are never cut off what follows.
@@ -432,6 +432,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
         if not np.array_equal(place[order], np.arange(n)):
             raise ValueError("the chunks of two passes differ: the input must be read the same way each time")
         flat, sizes = _take(flat, sizes.astype(np.int64), order)
+        pa.default_memory_pool().release_unused()  # a worker keeps what earlier chunks took otherwise
         # pieces of each run, then of each document, some documents at a time
         run_flat, counts = _take(flat, sizes, run_segments)
         of_run = np.zeros(len(run_sizes) + 1, np.int64)

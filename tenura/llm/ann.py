@@ -58,6 +58,8 @@ def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def k_means(points: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
     """At most ``k`` centroids; empty clusters restart at a random point."""
+    if not points.shape[1]:  # the second half of vectors with one component
+        return np.zeros((1, 0))
     distinct = np.unique(points, axis=0)
     rng = np.random.default_rng(seed)
     centroids = distinct[rng.choice(len(distinct), min(k, len(distinct)), replace=False)]
@@ -79,22 +81,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """row, id, x (array of doubles) of rows whose vector is not null, zero, or with null or non-finite components.
 
-    Of vectors of different lengths only the commonest length takes part.
+    Vectors of different lengths are kept; they have no distance from each other.
     """
     x = F.col("x")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = (
+    return (
         vectors.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(vec_id).alias("id"),
             F.col(embedding).cast("array<double>").alias("x"),
         )
-        .where(x.isNotNull() & (F.size(x) > 1))
+        .where(x.isNotNull() & (F.size(x) > 0))
         .where(~bad & F.exists(x, lambda v: v != 0))
     )
-    sizes = rows.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n"))
-    common = sizes.orderBy(F.desc("n"), "size").first()
-    return rows.where(F.size("x") == (common["size"] if common else 0))
 
 
 def nearest(
@@ -102,7 +101,6 @@ def nearest(
     every: int = 100,
     k: int = 10,
     share: float = 0.65,
-    at_least: int = 2_000,
     centroids: int = 64,
     sample: int = 10_000,
     vec_id: str = "vec_id",
@@ -112,22 +110,29 @@ def nearest(
 
     Returns query_id, rank (from 1), vec_id, score: the Euclidean distance in
     double precision; nearest first, ties to the smaller id. Every other row
-    is a candidate, copies of the query too. Centroids are fitted on at most
-    ``sample`` rows, drawn by a hash of the id; every row is indexed. A query
-    traverses cells until they hold ``share`` of all rows and ``at_least`` so
-    many. Rows without a usable vector take no part (see ``usable``); an
-    empty table gives no rows.
+    of the same length is a candidate, copies of the query too. Vectors of each
+    length have an index of their own: centroids are fitted on at most
+    ``sample`` rows, drawn by a hash of the id, and every row is indexed. A
+    query traverses cells until they hold ``share`` of the rows, and more than
+    ``k``. Rows without a usable vector take no part (see ``usable``), repeated
+    rows are candidates each; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = store(usable(vectors, vec_id, embedding))
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in sorted(r[0] for r in rows.select(F.size("x")).distinct().collect()):
+        own = rows.where(F.size("x") == length)
+        found = found.unionByName(_search_length(own, every, k, share, centroids, sample))
+    return found
+
+
+def _search_length(rows: DataFrame, every: int, k: int, share: float, centroids: int, sample: int) -> DataFrame:
+    """``nearest`` for rows whose vectors have one length."""
+    spark = rows.sparkSession
     total = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     kind = rows.schema["id"].dataType.simpleString()
-    if not total:
-        return spark.createDataFrame([], schema)
     drawn = hashed_sample(rows, sample, total, "row", "id", "x").select("x").toArrow()
     points = _matrix(drawn["x"].combine_chunks())
-    cut = points.shape[1] // 2
+    cut = max(1, points.shape[1] // 2)
     many = max(1, min(centroids, len(points) // 8))
     index = MultiIndex(k_means(points[:, :cut], many), k_means(points[:, cut:], many), np.zeros(0))
     bare = spark.sparkContext.broadcast(index)
@@ -144,7 +149,7 @@ def nearest(
     for r in indexed.groupBy("one", "two").count().collect():  # centroids squared at most
         counts[r["one"], r["two"]] = r["count"]
     full = spark.sparkContext.broadcast(MultiIndex(index.first, index.second, counts))
-    wanted = min(total, max(at_least, int(share * total)))
+    wanted = min(total, max(k + 1, int(share * total)))
 
     # index rows of a first centroid lie in blocks, however many it has; queries come in blocks too
     salts = np.maximum(1, -(-counts.sum(axis=1) // ROWS_AT_ONCE))

@@ -1,12 +1,12 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax."""
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.llm.common import by_batch, held_out, unit_hash
@@ -15,8 +15,8 @@ from tenura.llm.ngrams import counted, hashed_blocks
 UNKNOWN = "und"
 ORDERS = range(2, 5)
 BITS = 16
-_LETTER = re.compile(r"[^\W\d_]")
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> bytes:
@@ -114,11 +114,13 @@ def fit(
     reject_rate: float = 0.001,
     folds: int = 4,
 ) -> LanguageModel:
-    """Train on about ``rows_per_language`` whole texts of each language that are not held out.
+    """Train on at most ``rows_per_language`` whole texts of each language that are not held out.
 
-    Rows are drawn by a hash of doc_id and text. A fifth of them calibrates
-    the confidence instead of training the weights. Without any labelled row
-    the model knows no language and answers ``und``.
+    Rows are drawn by a hash of doc_id, text and place, so one id or one text
+    on most rows does not bring them all. A fifth of them calibrates the
+    confidence instead of training the weights. Rows with a null text or
+    language are not learned from; without any other the model knows no
+    language and answers ``und``.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds)
@@ -127,8 +129,13 @@ def fit(
     if not counts:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     languages = sorted(counts)
-    draw = F.create_map(*[F.lit(x) for k in languages for x in (k, rows_per_language / counts[k])])
-    drawn = rows.where(unit_hash(F.col("doc_id"), F.crc32(F.col("text").cast("binary"))) < draw[F.col("lang")])
+    # a first draw leaves about twice as many, so that few rows of a language meet
+    draw = F.create_map(*[F.lit(x) for k in languages for x in (k, 2 * rows_per_language / counts[k])])
+    drawn = rows.withColumn(
+        "draw", unit_hash(F.col("doc_id"), F.crc32(F.col("text").cast("binary")), F.monotonically_increasing_id())
+    ).where(F.col("draw") < draw[F.col("lang")])
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = drawn.withColumn("nth", order).where(F.col("nth") <= rows_per_language)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         bags = [counted(letters(t), ORDERS, BITS) for t in batch.column(0).to_pylist()]
@@ -143,7 +150,7 @@ def fit(
         )
 
     bags = drawn.select(
-        "text", "lang", (unit_hash(F.col("doc_id"), F.lit(1)) < 0.2).alias("calibrates")
+        "text", "lang", (F.col("nth") % 5 == 0).alias("calibrates")
     ).mapInArrow(by_batch(make), "at array<int>, share array<float>, lang string, calibrates boolean")
     got = bags.toArrow()
     number = {k: i for i, k in enumerate(languages)}

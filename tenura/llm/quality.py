@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.llm.common import by_batch, held_out, unit_hash
@@ -135,10 +135,11 @@ def fit(
     label: str = "quality",
     folds: int = 4,
 ) -> QualityModel:
-    """Train on about ``rows_per_class`` labelled whole texts of each class that are not held out.
+    """Train on at most ``rows_per_class`` labelled whole texts of each class that are not held out.
 
-    Rows are drawn by a hash of doc_id. Labels that are null, or not 0 or 1,
-    are no labels; a document with both is drawn with both.
+    Ids are drawn by a hash, and of rows with the same id one. Labels that are
+    null, or not 0 or 1, are no labels; a document with both is drawn with
+    both. A null text counts as empty.
     """
     known = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -148,8 +149,10 @@ def fit(
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], np.zeros(0, bool))
-    draw = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, rows_per_class / n)])
+    draw = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, 2 * rows_per_class / n)])
+    by_hash = Window.partitionBy("label").orderBy(unit_hash(F.col("doc_id")), "doc_id")
     drawn = known.where(unit_hash(F.col("doc_id")) < draw[F.col("label")])
+    drawn = drawn.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= rows_per_class).drop("nth")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [indicators(t) for t in batch.column(1).to_pylist()]
@@ -159,9 +162,13 @@ def fit(
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    # at most about 2 * rows_per_class ids are broadcast
+    # at most 2 * rows_per_class ids are broadcast; each task passes on one row of an id
+    of_id = Window.partitionBy("doc_id", "label").orderBy("hash")
     got = (
         texts.join(F.broadcast(drawn), "doc_id")
+        .withColumn("hash", F.xxhash64("text"))
+        .withColumn("nth", F.row_number().over(of_id))
+        .where("nth = 1")
         .select("doc_id", "text", "label")
         .mapInArrow(by_batch(make), f"doc_id {kind}, at array<int>, label int")
         .toArrow()
@@ -183,6 +190,8 @@ def score(
     """doc_id, score (0 to 1, higher: label 1 is likelier) and predicted (score >= threshold) of every row.
 
     A null text counts as empty; an empty one has the score of the bias alone.
+    Equal texts have equal scores, whatever their ids; whole texts are read,
+    block by block where they are very long.
     The model (two arrays of 2**18 numbers) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -23,7 +23,7 @@ def test_recall_and_scores(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(3000, 16))
     got = {}
-    for r in ann.nearest(table(spark, vectors), every=50, at_least=100).orderBy("rank").collect():
+    for r in ann.nearest(table(spark, vectors), every=50).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = exact(vectors, list(range(3000)), 50)
     assert set(got) == set(want)
@@ -48,6 +48,29 @@ def test_exact_when_all_cells_are_probed_also_in_blocks(spark, monkeypatch):
     assert got == {q: [v for v, _ in found] for q, found in want.items()}
 
 
+def test_vectors_of_several_lengths_and_of_one_component(spark):
+    rng = np.random.default_rng(4)
+    ids, vectors = list(range(600)), []
+    for i in ids:
+        vectors.append(rng.normal(size=(1, 5, 8)[i // 10 % 3]).astype(np.float32))
+    rows = ann.nearest(table(spark, vectors, ids), every=10, share=1.0).collect()
+    got = {q: [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in ids[::10]}
+    for length in (1, 5, 8):
+        own = [i for i in ids if len(vectors[i]) == length]
+        want = exact([vectors[i] for i in own], own, 10)
+        assert {q: got[q] for q in want} == {q: [v for v, _ in found] for q, found in want.items()}
+
+
+def test_recall_at_the_default_share_on_the_given_vectors(spark):
+    """Measured against brute force on all given rows, whose vectors are close to uniform."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted(((r.vec_id, r.embedding) for r in given.collect()), key=lambda r: r[0])
+    ids, vectors = [r[0] for r in rows], [r[1] for r in rows]
+    want = exact(vectors, ids, 100)
+    hits = {(r.query_id, r.vec_id) for r in ann.nearest(given).collect()}
+    assert len(hits & {(q, v) for q, found in want.items() for v, _ in found}) >= 0.95 * 10 * len(want)
+
+
 def test_cells_come_by_growing_distance():
     rng = np.random.default_rng(2)
     index = ann.MultiIndex(rng.normal(size=(5, 3)), rng.normal(size=(7, 3)), np.ones((5, 7), np.int64))
@@ -72,11 +95,18 @@ def test_unusable_vectors_take_no_part(spark):
         (6, [1.0, nan, 0.0, 0.0], "a"),
         (7, [1.0, inf, 0.0, 0.0], "a"),
         (100, [1.0, 2.0], "a"),
+        (201, [1.0, 3.0], "a"),
+        (300, [7.0], "a"),
+        (301, [7.5], "a"),
+        (302, [-7.0], "a"),
         (None, [1.0, 2.0, 3.0, 4.0], "a"),
         (200, [1.0, 2.0, 3.0, 4.0], "a"),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row string")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df).collect() if r.vec_id is not None)
-    assert [g[0] for g in got] == [0, 0, 0, 200, 200, 200]
-    assert {(q, v, s) for q, _, v, s in got} == {(0, 200, 0.0), (0, 1, 1.0), (200, 0, 0.0), (200, 1, 1.0)}
+    assert [g[0] for g in got] == [0, 0, 0, 100, 200, 200, 200, 300, 300]
+    assert {(q, v, s) for q, _, v, s in got} == {
+        *{(0, 200, 0.0), (0, 1, 1.0), (200, 0, 0.0), (200, 1, 1.0)},
+        *{(100, 201, 1.0), (300, 301, 0.5), (300, 302, 14.0)},
+    }
     assert ann.nearest(df.where("false")).count() == 0

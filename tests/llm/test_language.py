@@ -55,6 +55,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert not {2, 3, 4, 8} & {r.doc_id for r in kept.collect()}
 
 
+def test_numerals_and_signs_are_no_letters(spark):
+    texts = ["½ ²③", "Ⅷ ㊿ 12", "٣٤ _ __", "a½", "ª"]
+    model = language.fit(corpus(spark, 100), rows_per_language=30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    assert [got[i] for i in range(3)] == [("und", 0.0)] * 3
+    assert "und" not in {got[3][0], got[4][0]}
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """One id and one text on most rows do not bring more rows to the driver than asked for."""
+    seen = []
+    monkeypatch.setattr(language, "_sgd", lambda bags, classes, n, dim, epochs, rate, seed: (
+        seen.append(np.bincount(classes, minlength=n)), np.zeros((1 << language.BITS, n)), np.zeros(n))[1:])
+    rows = [(1, "the same text over and over", "en")] * 3000 + [(i, "der andere text", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.fit(docs, rows_per_language=100)
+    assert (seen[0] <= 100).all() and seen[0][1] >= 70
+
+
 def test_nothing_to_learn_from(odd_docs, no_docs):
     model = language.fit(no_docs)
     assert {r.lang_pred for r in language.predict(odd_docs, model).collect()} == {"und"}

@@ -70,3 +70,13 @@ def test_labels_of_one_class_or_none(spark, odd_docs):
     for labels in (none, odd):
         scores = {r.score for r in quality.score(odd_docs, quality.fit(odd_docs, labels)).collect()}
         assert len(scores) == 1 and 0 < scores.pop() < 1
+
+
+def test_one_id_on_most_rows_does_not_fill_the_sample(spark, monkeypatch):
+    docs, labels = corpus(spark, 200)
+    many = docs.unionByName(spark.range(3000).selectExpr("0L AS doc_id", "concat('text ', id) AS text"))
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, positive: seen.append((len(rows), positive)))
+    quality.fit(many, labels, rows_per_class=40)
+    n, positive = seen[0]
+    assert n <= 80 and positive.sum() <= 40 and (~positive).sum() <= 40 and n > 50

@@ -2,7 +2,7 @@
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +51,9 @@ HINTS = [10, 11, 12, 13]  # features that say what a block's elements are called
 class Block:
     text: str
     link_chars: int
-    path: tuple  # numbers of the open elements
+    parent: int  # number of the block element around the one it is in
+    depth: int  # open block elements
+    common: int  # of these, the ones that the block before is in too
     tag: str
     side_tag: bool
     side_word: bool
@@ -60,7 +62,9 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("tag", "number", "side_tag", "side_word", "main_tag", "main_word", "unseen")
+    """An open element: what a block in it needs to know of it and the elements around it."""
+
+    __slots__ = ("tag", "number", "side_tag", "side_word", "main_tag", "main_word", "unseen", "holder", "parent", "depth")
 
     def __init__(self, tag, number, parent, attributes):
         self.tag, self.number = tag, number
@@ -75,6 +79,10 @@ class _Open:
         self.main_tag = bool(parent and parent.main_tag) or tag in MAIN_TAGS
         self.main_word = bool(parent and parent.main_word) or bool(role and MAIN_WORDS.search(role))
         self.unseen = bool(parent and parent.unseen) or tag in UNSEEN_TAGS
+        # of block elements: the nearest one's tag and number, the number of the one around it, how many
+        self.holder, self.parent, self.depth = (parent.holder, parent.parent, parent.depth) if parent else (("", 0), 0, 0)
+        if tag in BLOCK_TAGS:
+            self.holder, self.parent, self.depth = (tag, number), self.holder[1], self.depth + 1
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -86,28 +94,33 @@ def blocks_of(page: str) -> list[Block]:
     """
     found: list[Block] = []
     stack: list[_Open] = []
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places of open elements in the stack by tag
     pieces: list[str] = []
     links = number = link_depth = 0
+    lowest = 0  # the fewest open block elements since the last block: those that it shares with the next
 
     def end_block() -> None:
-        nonlocal links
+        nonlocal links, lowest
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
                 top = stack[-1] if stack else None
-                holder = next((o.tag for o in reversed(stack) if o.tag in BLOCK_TAGS), "")
+                depth = top.depth if top else 0
                 found.append(
                     Block(
                         text,
                         links,
-                        tuple(o.number for o in stack if o.tag in BLOCK_TAGS),
-                        holder,
+                        top.parent if top else 0,
+                        depth,
+                        min(lowest, depth),
+                        top.holder[0] if top else "",
                         bool(top and top.side_tag),
                         bool(top and top.side_word),
                         bool(top and top.main_tag),
                         bool(top and top.main_word),
                     )
                 )
+                lowest = depth
             pieces.clear()
         links = 0
 
@@ -120,13 +133,18 @@ def blocks_of(page: str) -> list[Block]:
                 links += len(text.strip())
 
     def close(tag: str) -> None:
-        nonlocal link_depth
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-        if at is not None:
-            if any(o.tag in BLOCK_TAGS for o in stack[at:]):
-                end_block()
-            link_depth -= sum(o.tag == "a" for o in stack[at:])
-            del stack[at:]
+        nonlocal link_depth, lowest
+        if not opened[tag]:
+            return
+        at = opened[tag][-1]
+        above = stack[at - 1].depth if at else 0
+        if stack[-1].depth > above:
+            end_block()
+        while len(stack) > at:
+            last = stack.pop()
+            opened[last.tag].pop()
+            link_depth -= last.tag == "a"
+        lowest = min(lowest, above)
 
     at = 0
     while True:
@@ -143,7 +161,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = name.lower()
         if slash:
-            if tag in BLOCK_TAGS and not any(o.tag == tag for o in stack):
+            if tag in BLOCK_TAGS and not opened[tag]:
                 end_block()
             close(tag)
             continue
@@ -152,11 +170,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             end_block()
-            if tag in CLOSES_P and any(o.tag == "p" for o in stack):
+            if tag in CLOSES_P and opened["p"]:
                 close("p")
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].tag == tag:
                 close(tag)
-            if tag == "body" and any(o.tag == "head" for o in stack):
+            if tag == "body" and opened["head"]:
                 close("head")
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
@@ -166,6 +184,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         stack.append(_Open(tag, number, stack[-1] if stack else None, attributes))
+        opened[tag].append(len(stack) - 1)
         link_depth += tag == "a"
     end_block()
     return found
@@ -210,6 +229,7 @@ def hinted_labels(x: np.ndarray) -> np.ndarray:
 # Log odds of content: what training starts from, and keeps for element names,
 # since those are what its labels come from.
 START = np.array([-1.5, 2.0, -4.0, 1.0, -0.5, 0.5, -1.0, 0.5, 1.0, -2.0, -7.0, -7.0, 3.0, 1.5, -1.0, -0.5])
+NAMES = (-4.0, 3.0)  # bounds of what element names and class words say together
 FROM_TEXT = [i for i in range(FEATURES) if i not in HINTS]
 
 
@@ -307,25 +327,20 @@ def content_flags(
         return []
     x = features(found)
     looks = np.clip(x[:, FROM_TEXT] @ weights[FROM_TEXT], -ceiling, ceiling)
-    # the costs are the negative logarithms of both classes' probabilities; only their difference counts
-    gain = (looks + x[:, HINTS] @ weights[HINTS]).tolist()
+    # the costs are the negative logarithms of both classes' probabilities; only their difference counts.
+    # Names are one bounded cost: a text that looks like content, among neighbours that do, outvotes them
+    names = np.clip(x[:, HINTS] @ weights[HINTS], *NAMES)
+    gain = (looks + names).tolist()
     if min(gain) >= 0 or max(gain) < 0:
         return [g >= 0 for g in gain]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            before = found[i - 1].path
-            common = 0
-            for one, two in zip(before, b.path, strict=False):
-                if one != two:
-                    break
-                common += 1
-            near = 2 * common / max(len(before) + len(b.path), 1)
+            near = 2 * b.common / max(found[i - 1].depth + b.depth, 1)
             edges.append((i - 1, i, smooth * near * near))
-        parent = b.path[:-1]
-        if parent in last:
-            edges.append((last[parent], i, smooth))
-        last[parent] = i
+        if b.parent in last:
+            edges.append((last[b.parent], i, smooth))
+        last[b.parent] = i
     return minimum_cut(gain, edges)
 
 

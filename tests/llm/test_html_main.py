@@ -77,3 +77,44 @@ def test_extract_odd_rows(spark):
     assert [f[2] for f in found][2:4] == [0, 0]
     assert html_main.extract(pages.where("false"), html_main.fit(pages.where("false"))).count() == 0
     assert np.isfinite(html_main.fit(pages)).all()
+
+
+def test_neighbours_outvote_a_name():
+    """A paragraph that is named like a notice but reads like its neighbours stays; a short advert goes."""
+    long = "This sentence belongs to the story, as its length, commas and full stop suggest, and so do the others. "
+    page = (
+        "<body><nav><a href=x>Home</a> <a href=y>News</a></nav><article>"
+        f"<p>{long * 4}</p><p>{long * 3}</p><p class='notice'>{long * 4}</p><p>{long * 4}</p><p>{long * 3}</p>"
+        "<div class='ad'><a href=z>Buy now</a></div></article><footer>© 2020 All rights reserved</footer></body>"
+    )
+    found = html_main.blocks_of(page)
+    weights = html_main.START.copy()
+    flags = html_main.content_flags(found, weights)
+    assert [b.text[:4] for b, keep in zip(found, flags, strict=True) if keep] == ["This"] * 5
+    alone = html_main.content_flags(found, weights, smooth=0.0)
+    assert [i for i, (a, b) in enumerate(zip(flags, alone, strict=True)) if a != b] == [3]
+
+
+def test_shared_elements_are_counted():
+    page = "<div>a<section><p>b</p><p>c</p></section><ul><li>d<li>e</ul>f</div>g"
+    found = html_main.blocks_of(page)
+    assert [(b.text, b.depth, b.common) for b in found] == [
+        ("a", 1, 0), ("b", 3, 1), ("c", 3, 2), ("d", 3, 1), ("e", 3, 2), ("f", 1, 1), ("g", 0, 0),
+    ]
+    assert found[1].parent == found[2].parent != found[3].parent == found[4].parent
+
+
+def test_a_megabyte_of_nested_elements():
+    import time
+    import tracemalloc
+
+    for page in ("<div>x " * 150_000, "<span>x " * 130_000 + "</b>" * 1000, "<div><p>Words, some. <a>y</a></p>" * 30_000):
+        html_main.blocks_of(page[:7000])
+        start = time.process_time()
+        found = html_main.blocks_of(page)
+        html_main.content_flags(found, html_main.START)
+        assert time.process_time() - start < 8  # some two seconds on a machine of its own
+    tracemalloc.start()
+    html_main.blocks_of("<div>x " * 150_000)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()

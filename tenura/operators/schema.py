@@ -132,7 +132,7 @@ def assert_no_leakage(df: DataFrame) -> DataFrame:
     """Raise if a column that encodes the label is among the features."""
     banned = sorted(set(LEAKAGE_COLUMNS) & set(df.columns))
     if banned:
-        raise LeakageError(f"Label leakage detected: {banned} may not be features.")
+        raise LeakageError(f"the columns {banned} say who churned; take them out of the features")
     return df
 
 

@@ -42,6 +42,13 @@ def auc_exact(spark, folder):
     return rounded(scoring.auc_exact(_scored(spark, folder)), 6)
 
 
+@query("auc_distributed", f"WITH {TX_SCORED} {_AUC}")
+def auc_distributed(spark, folder):
+    """As ``auc_exact``, from outcomes by score that several results share."""
+    scored = _scored(spark, folder)
+    return rounded(scoring.auc_exact(scored, scoring.stored_outcomes(scored)), 6)
+
+
 _ROC = """
 steps AS (SELECT p, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM judged GROUP BY p),
 curve AS (

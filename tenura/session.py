@@ -1,6 +1,5 @@
 """Session settings the library relies on."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +14,14 @@ def ensure_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    Only a local session without that setting falls back to a temporary
-    folder; on a cluster it would be visible to one machine only.
+    A session without that setting uses the checkpoint folder of its context,
+    or else its warehouse, which all executors share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tenura-")
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{root.rstrip('/')}/tenura-{uuid.uuid4().hex}"
 
 

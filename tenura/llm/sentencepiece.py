@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm.chunks import chunks, pack, unpack
+from tenura.llm.common import bounded_batches
 from tenura.session import store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -386,6 +387,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     (see chunks).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("crc"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm import decontaminate, language, secrets, sentencepiece, simhash
-from tenura.llm.common import table
+from tenura.llm.common import bounded_batches, table
 from tenura.session import shared_dir
 
 ORACLE_SQL = None  # models are trained and fingerprints hashed; tests compare each stage with brute force
@@ -20,6 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So do null and empty texts. Repeated rows get the same verdict; whole texts
     decide, however long; missing ids and further columns play no part.
     """
+    bounded_batches(spark)
     return language.keep_identified(docs, language.fit(docs)).select(COLUMNS)
 
 
@@ -30,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     equal ids the one with the smallest hash of its text. Null, empty and blank
     texts are one group, repeated rows another; whole texts are fingerprinted.
     """
+    bounded_batches(spark)
     return simhash.one_of_each(docs).select(COLUMNS)
 
 

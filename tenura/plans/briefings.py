@@ -4,14 +4,15 @@ from pyspark.sql import functions as F
 
 from tenura import fixed_values as words
 from tenura import workflows
+from tenura.fixed_values import FEATURES
 from tenura.functions import text
 from tenura.operators import briefing as b
 from tenura.operators import customers as cust
 from tenura.operators import forecast as fc
-from tenura.operators import kpis, scoring, segments, survival
+from tenura.operators import explain, kpis, scoring, segments, survival
 from tenura.plans import modelling, tables as t
 from tenura.plans.analytics import MONTHS, TREND
-from tenura.plans.customers import SURVIVAL, segments_sql
+from tenura.plans.customers import SPLIT, SURVIVAL, segments_sql
 from tenura.plans.forecasts import HOLT
 from tenura.plans.registry import query, sql_text
 from tenura.session import store
@@ -113,23 +114,38 @@ def brief_churn(spark, folder):
     return _facts(spark, folder).select(b.churn_analysis(False).alias("churn_analysis"))
 
 
+def _named(table: dict[str, str], key: str) -> str:
+    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN " + sql_text(v) for k, v in table.items()) + " END"
+
+
+_MODEL_CHURN_SQL = " || ' ' || ".join(
+    [
+        sql_text(
+            template, name=_named(words.FEATURE_NAMES, f), explanation=_named(words.FEATURE_EXPLANATIONS, f)
+        )
+        for template, f in ((words.CHURN_LEAD, "strongest[1]"), (words.CHURN_SECOND, "strongest[2]"))
+    ]
+    + [sql_text(words.CHURN_CONTEXT, **_PARTS)]
+)
+
+
 @query(
     "brief_churn_model",
-    f"""WITH {FACTS} SELECT CAST(n_churned AS BIGINT) AS n_churned, format('{{:.1f}}%', rate * 100) AS rate,
-    true AS says_rate, true AS names_features FROM facts""",
+    f"""WITH RECURSIVE {FACTS}, {SPLIT}, {modelling.LOGISTIC},
+    coefficient_sizes AS (SELECT unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) AS feature, abs(unnest(b[2:])) AS size FROM coefficients),
+    by_size AS (SELECT list(feature ORDER BY size DESC, feature) AS strongest FROM coefficient_sizes)
+    SELECT {_MODEL_CHURN_SQL} AS churn_analysis FROM facts, by_size""",
 )
 def brief_churn_model(spark, folder):
-    """The section's features come from the trained model; its figures must be there."""
-    facts = _facts(spark, folder, importance=b.top_two_features(modelling.importance(spark, folder)))
-    said = facts.select("churn", "importance", b.churn_analysis(True).alias("said"))
-    rate = text.percent(F.col("churn.churn_rate"), 1)
-    names = [F.col("said").contains(b.feature_name(F.col(f"importance.{n}"))) for n in ("first", "second")]
-    return said.select(
-        F.col("churn.n_churned").alias("n_churned"),
-        rate.alias("rate"),
-        F.col("said").contains(rate).alias("says_rate"),
-        (names[0] & names[1]).alias("names_features"),
+    """The section on churn with a model: the regression, whose scaled coefficients rank the features."""
+    fitted, _, _ = modelling.logistic(spark, folder)
+    sizes = [(f, abs(c)) for f, c in zip(fitted.features, fitted.coefficients.tolist())]
+    order = sorted(sizes, key=lambda x: (-x[1], x[0]))
+    ranks = spark.createDataFrame(
+        [(f, size, i) for i, (f, size) in enumerate(order, 1)], "feature_name string, mean_abs_shap double, rank long"
     )
+    facts = _facts(spark, folder, importance=b.top_two_features(ranks))
+    return facts.select(b.churn_analysis(True).alias("churn_analysis"))
 
 
 def _outlook_sql() -> str:
@@ -289,36 +305,26 @@ def brief_model_confidence(spark, folder):
     return metrics.select(b.model_confidence().alias("model_confidence"))
 
 
-@query(
-    "brief_report",
-    f"""WITH {FACTS} SELECT {_health_sql()} AS health_summary, true AS has_all_sections, 'template' AS client_type,
-    true AS sections_with_ml FROM facts""",
-)
+@query("brief_report")
 def brief_report(spark, folder):
-    """The whole briefing, by the library's own job; sections on the model are checked for being there."""
+    """The whole briefing, by the library's own job, with the trained model: no SQL trains the forest."""
     tx = t.tx(spark, folder)
     fitted, split = modelling.trained(spark, folder)
     customers = t.stored_customers(spark, folder)
-    scores = fitted.score(split).select("customer_id", "churn_probability")
+    scores = store(fitted.score(split).select("customer_id", "churn_probability"))
+    shap = store(explain.shap_values(fitted, split.where("split = 'test'")))
     study = workflows.Study(
         customers=customers,
         split=split,
         model=fitted,
         metrics=modelling.evaluation(fitted, split),
         roc=None,
-        importance=modelling.importance(spark, folder),
+        importance=explain.shap_importance(shap, fitted.features),
         predictions=scores,
         clv=survival.clv_per_customer(customers),
         segments=segments.segment_customers(customers, scores),
     )
-    report = workflows.brief(tx, study=study, forecast=fc.forecast_holt(fc.series_input(tx)))
-    others = ("churn_analysis", "revenue_outlook", "customer_segments", "recommendations", "model_confidence")
-    return report.select(
-        "health_summary",
-        F.least(*[F.char_length(c) for c in others]).between(20, 10_000).alias("has_all_sections"),
-        "client_type",
-        "sections_with_ml",
-    )
+    return workflows.brief(tx, study=study, forecast=fc.forecast_holt(fc.series_input(tx)))
 
 
 _STATUS_SQL = (

@@ -1,10 +1,15 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from tenura import fixed_values as words
 from tenura import workflows
 from tenura.functions import text
 from tenura.operators import briefing as b
 from tenura.operators import forecast
+from tenura.plans import QUERIES
+from tenura.plans import tables as t
 
 
 def facts(spark, rate=0.1, months=8, recent=100.0, prior=100.0, older=100.0, **extra):
@@ -165,3 +170,26 @@ def test_briefing_of_transactions(spark, make_tx):
     assert all(len(report[s]) > 40 for s in sections)
     ahead = workflows.brief(tx, forecast=forecast.forecast(forecast.series_input(tx), method="holt")).first()
     assert ahead["revenue_outlook"] != report["revenue_outlook"]
+
+
+def test_report_query_says_what_its_parts_say(spark):
+    """The sections of the whole report, put together from the figures of other queries."""
+    folder = os.environ.get("TENURA_TEST_DATA", "/root/testdata/sf0.001")
+    run = lambda name: QUERIES[name](spark, folder).toPandas()
+    report = run("brief_report").iloc[0]
+    assert report["health_summary"] == run("brief_health").iloc[0, 0]
+    assert report["revenue_outlook"] == run("brief_revenue_forecast").iloc[0, 0]
+    top = list(run("top_features").sort_values("rank")["feature_name"])
+    for name in top[:2]:
+        assert f"**{words.FEATURE_NAMES[name]}**" in report["churn_analysis"]
+        assert words.FEATURE_EXPLANATIONS[name] in report["churn_analysis"]
+    assert report["churn_analysis"].endswith(run("brief_churn_model").iloc[0, 0].split(". ")[-1])
+    metrics = run("model_metrics").iloc[0]
+    assert f"{metrics['auc']:.3f}" in report["model_confidence"] and f"{metrics['n_test']:,}" in report["model_confidence"]
+    scored = run("score_ensemble").set_index("customer_id")["churn_probability"]
+    customers = t.customers(spark, folder).toPandas().set_index("customer_id")
+    kept = customers[~customers["is_churned"] & (customers["tenure_days"] >= words.NEW_TENURE_DAYS)]
+    at_risk = int((scored[kept.index] >= words.AT_RISK_PROBABILITY).sum())
+    line = words.SEGMENT_LINES["At Risk"].split("{n}")[0]
+    assert (f"{line}{at_risk:,}" in report["customer_segments"]) == (at_risk > 0)
+    assert report["recommendations"] and report["client_type"] == "template" and report["sections_with_ml"]

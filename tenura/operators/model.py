@@ -114,32 +114,28 @@ class ChurnModel:
         )
 
 
-def _newton_moments(train: DataFrame, fit: LogisticFit, scaled: dict[str, Column]):
+def _newton_moments(rows: DataFrame, beta: np.ndarray):
     """Loss, gradient and curvature of the weighted log loss over all rows, in one aggregation.
 
-    With 1 in front of the features z: the sums of w (p - y) z and of w p (1 - p) z z'.
+    ``rows`` has the label y, the weight w and the scaled features z1, z2 ...
+    With 1 in front of the features z: the sums of w (p - y) z and of
+    w p (1 - p) z z'.
     """
-    # the row's numbers are columns of a subquery, so that each is worked out once
-    names = [f"_z{i}" for i in range(len(fit.features))]
-    margin = fit.margin(scaled)
-    rows = train.select(
-        F.col("is_churned").cast("double").alias("_y"),
-        F.col("weight").alias("_w"),
-        *[scaled[c].alias(n) for c, n in zip(fit.features, names)],
-        margin.alias("_s"),
-    ).withColumn("_p", 1 / (1 + F.exp(-F.col("_s"))))
-    rows = rows.withColumns(
-        {"_e": F.col("_w") * (F.col("_p") - F.col("_y")), "_h": F.col("_w") * F.col("_p") * (1 - F.col("_p"))}
-    )
-    one = [F.lit(1.0), *map(F.col, names)]
-    k = len(one)
+    k = len(beta)
+    one = ["1D", *[f"z{i}" for i in range(1, k)]]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    softplus = F.log1p(F.exp(-F.abs("_s"))) + F.greatest("_s", F.lit(0.0))
-    found = rows.agg(
-        F.sum(F.col("_w") * (softplus - F.col("_y") * F.col("_s"))),
-        *[F.sum(F.col("_e") * x) for x in one],
-        *[F.sum(F.col("_h") * one[i] * one[j]) for i, j in pairs],
-    ).first()
+    margin = " + ".join(f"{b!r}D * {z}" for b, z in zip(beta.tolist(), one))
+    found = (
+        rows.selectExpr("*", f"{margin} AS s")
+        .selectExpr("*", "1 / (1 + exp(-s)) AS p")
+        .selectExpr("*", "w * (p - y) AS e", "w * p * (1 - p) AS h")
+        .selectExpr(
+            "sum(w * (log1p(exp(-abs(s))) + greatest(s, 0D) - y * s))",
+            *[f"sum(e * {x})" for x in one],
+            *[f"sum(h * {one[i]} * {one[j]})" for i, j in pairs],
+        )
+        .first()
+    )
     curvature = np.zeros((k, k))
     for (i, j), value in zip(pairs, found[1 + k :]):
         curvature[i, j] = curvature[j, i] = value
@@ -147,21 +143,23 @@ def _newton_moments(train: DataFrame, fit: LogisticFit, scaled: dict[str, Column
 
 
 def train_lr(
-    train: DataFrame, scaling: dict[str, tuple[float, float]], *, max_iter: int = 1000, tolerance: float = 1e-10
+    train: DataFrame, scaling: dict[str, tuple[float, float]], *, max_iter: int = 1000, tolerance: float = 1e-6
 ) -> LogisticFit:
     """L2-regularised logistic regression with unit inverse strength, by Newton steps.
 
     Minimises the weighted log loss plus half the squared coefficients; the
     intercept is free. Every step is one aggregation of moments over the rows
     (``is_churned``, ``weight`` and the features) and a small linear system on
-    the driver; a step that does not lower the loss is halved.
+    the driver; a step that does not lower the loss is halved. Errors shrink with
+    the square of a step, so a last one below ``tolerance`` leaves next to none.
     """
     features = tuple(scaling)
-    scaled = {c: (F.col(c) - mean) / scale for c, (mean, scale) in scaling.items()}
+    scaled = [((F.col(c) - mean) / scale).alias(f"z{i}") for i, (c, (mean, scale)) in enumerate(scaling.items(), 1)]
+    rows = train.select(F.col("is_churned").cast("double").alias("y"), F.col("weight").alias("w"), *scaled)
     penalty = np.array([0.0] + [1.0] * len(features))
     beta, step, before = np.zeros(1 + len(features)), None, np.inf
     for steps in range(1, max_iter + 1):
-        loss, gradient, curvature = _newton_moments(train, LogisticFit(features, beta[0], beta[1:], steps), scaled)
+        loss, gradient, curvature = _newton_moments(rows, beta)
         loss += 0.5 * float(beta[1:] @ beta[1:])
         if step is not None and loss > before + 1e-9 * abs(before) and np.abs(step).max() > tolerance:
             step = step / 2

@@ -185,7 +185,7 @@ def test_report_query_says_what_its_parts_say(spark):
         assert words.FEATURE_EXPLANATIONS[name] in report["churn_analysis"]
     assert report["churn_analysis"].endswith(run("brief_churn_model").iloc[0, 0].split(". ")[-1])
     metrics = run("model_metrics").iloc[0]
-    assert f"{metrics['auc']:.3f}" in report["model_confidence"] and f"{metrics['n_test']:,}" in report["model_confidence"]
+    assert f"{metrics['auc']:.3f}" in report["model_confidence"] and f"tested on {int(metrics['n_test']):,}" in report["model_confidence"]
     scored = run("score_ensemble").set_index("customer_id")["churn_probability"]
     customers = t.customers(spark, folder).toPandas().set_index("customer_id")
     kept = customers[~customers["is_churned"] & (customers["tenure_days"] >= words.NEW_TENURE_DAYS)]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 128  # ids, as 32 rows of 4 lanes
@@ -332,19 +332,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     """
     found = spark.read.parquet(path)
     parts = found.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    listed = parts.agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"))
-    starts = listed.select(
-        F.inline(
-            F.transform(
-                "parts",
-                lambda x, i: F.struct(
-                    x.part.alias("part"),
-                    F.aggregate(F.slice("parts", 1, i), F.lit(0).cast("long"), lambda s, y: s + y.n).alias("of_part"),
-                ),
-            )
-        )
-    )
-    joined = found.join(F.broadcast(starts), "part")  # a row per writing task
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per writing task
+    starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("of_part"))
+    joined = found.join(F.broadcast(starts), "part")
     return joined.withColumn("start", F.col("of_part") + F.col("before")).drop("of_part")
 
 

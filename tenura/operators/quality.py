@@ -31,14 +31,18 @@ def _rules(as_of) -> dict[str, Column]:
     }
 
 
+def _grouped(df: DataFrame) -> DataFrame:
+    """Rows by duplicate key, combined before the shuffle, however often one row repeats."""
+    return df.groupBy(*KEYS).agg(F.count("*").alias("n"))
+
+
 def quality_counts(df: DataFrame, as_of=None) -> DataFrame:
     """One row: total rows and the affected rows per finding.
 
     Every rule depends on the duplicate key only, so the rows are grouped by
-    that key once (combined before the shuffle, however often one row
-    repeats) and all findings come from the grouped rows.
+    that key once and all findings come from the grouped rows.
     """
-    grouped = df.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    grouped = _grouped(df)
     counts = [
         F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0)).alias(name)
         for name, rule in _rules(as_of).items()
@@ -62,12 +66,16 @@ def finding_count(df: DataFrame, name: str, as_of=None) -> DataFrame:
     )
 
 
-def _examples(df: DataFrame, rule: Column, value: Column, shown: Column, n: int = 3) -> Column:
-    """The ``n`` smallest offending values as a scalar array of strings.
+def _examples(grouped: DataFrame, rule: Column, value: Column, shown: Column, n: int = 3) -> Column:
+    """The ``n`` smallest offending values as a scalar array of strings, from the rows by duplicate key.
 
-    Each task keeps ``n`` rows; only those are collected into the array.
+    Each task keeps ``n`` values; only those are collected into the array. The
+    condition names the count, so that it stays behind the grouping, which
+    this and the counts then share: the table is scanned once.
     """
-    few = df.where(rule).select(value.alias("v"), shown.alias("s")).orderBy("v").limit(n)
+    offending = F.when(rule & (F.col("n") > 0), F.struct(value.alias("v"), shown.alias("s")))
+    copies = F.array_repeat(offending, F.least(F.col("n"), F.lit(n)).cast("int"))
+    few = grouped.select(F.explode(copies).alias("x")).where("x IS NOT NULL").select("x.*").orderBy("v").limit(n)
     return few.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("v", "s"))), lambda e: e["s"])
     ).scalar()
@@ -78,8 +86,8 @@ def quality_report(df: DataFrame, as_of=None) -> DataFrame:
     rules = _rules(as_of)
     amount, ts = F.col("transaction_amount"), F.col("transaction_date")
     examples = {
-        "negative_amount": _examples(df, rules["negative_amount"], amount, amount.cast("string")),
-        "future_date": _examples(df, rules["future_date"], ts, F.date_format(ts, "yyyy-MM-dd")),
+        "negative_amount": _examples(_grouped(df), rules["negative_amount"], amount, amount.cast("string")),
+        "future_date": _examples(_grouped(df), rules["future_date"], ts, F.date_format(ts, "yyyy-MM-dd")),
     }
     none = F.array().cast("array<string>")
     pct = F.try_divide(F.col("n") * 100.0, F.col("rows"))

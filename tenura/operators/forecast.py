@@ -116,8 +116,8 @@ def _holt_start() -> Column:
     )
 
 
-def holt_grid(series: DataFrame, step: float = 0.1) -> DataFrame:
-    """Best (alpha, beta) of a grid per series, start values by least squares.
+def holt_grid(series: DataFrame, step: float = 0.1, longest: int | None = None) -> DataFrame:
+    """Best (alpha, beta) of a grid per series (of at most ``longest`` months), start values by least squares.
 
     ``(series_key, last_month, n, alpha, beta, sse, level, trend, spread)`` where
     level and trend are the final states and spread the residual deviation.
@@ -133,7 +133,7 @@ def holt_grid(series: DataFrame, step: float = 0.1) -> DataFrame:
     )
     runs = (
         gathered(series)
-        .where(F.size("y") >= MIN_MONTHS_FORECAST)
+        .where(F.size("y").between(MIN_MONTHS_FORECAST, longest or (1 << 30)))
         .withColumn("g", F.explode(grid))
         .withColumn(
             "s",
@@ -281,8 +281,8 @@ def seasonal_grid(series: DataFrame) -> DataFrame:
     )
 
 
-def _trend_points(series: DataFrame, horizon: int, step: float = 0.1) -> DataFrame:
-    return holt_grid(series, step).select(
+def _trend_points(series: DataFrame, horizon: int, step: float = 0.1, longest: int | None = None) -> DataFrame:
+    return holt_grid(series, step, longest).select(
         "series_key",
         "last_month",
         "spread",
@@ -293,12 +293,8 @@ def _trend_points(series: DataFrame, horizon: int, step: float = 0.1) -> DataFra
 
 def _seasonal_points(series: DataFrame, horizon: int) -> DataFrame:
     """Smoothing with a season for series of two years and more, with a trend only for shorter ones."""
-    status = history_status(series).select("series_key", "n_months")
-    sized = series.join(status, "series_key")
-    short = sized.where(F.col("n_months") < MIN_MONTHS_SEASONAL).drop("n_months")
-    long = sized.where(F.col("n_months") >= MIN_MONTHS_SEASONAL).drop("n_months")
     season = F.get("seasons", (F.col("step") - 1) % SEASON_MONTHS)
-    points = seasonal_grid(long).select(
+    points = seasonal_grid(series).select(
         "*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
     ).select(
         "series_key",
@@ -307,7 +303,8 @@ def _seasonal_points(series: DataFrame, horizon: int) -> DataFrame:
         "step",
         (F.col("level") + F.col("step") * F.col("trend") + season).alias("point"),
     )
-    return points.unionByName(_trend_points(short, horizon))
+    # both parts gather the months in the same way, once
+    return points.unionByName(_trend_points(series, horizon, longest=MIN_MONTHS_SEASONAL - 1))
 
 
 # --- Ridge regression on trend, changepoints and yearly waves, in Catalyst -----------------------

@@ -11,13 +11,17 @@ import string
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.chunks import chunks, pack, unpack
+from tenura.llm.chunks import pack, unpack
 from tenura.llm.common import bounded_batches
 from tenura.session import store
 
@@ -26,11 +30,13 @@ SPACE = "▁"  # how a blank is written in pieces
 UNKNOWN_PENALTY = 10.0  # fixed value: below the lowest score, for a character without a piece
 STEPS = 128  # positions folded at a time
 GROUPS = 100_000  # segments that a task groups by hashing before it sorts instead
-RUNS = 350_000  # words between blanks in a chunk
+RUNS = 1_000_000  # words between blanks in a chunk
 CHARS_PER_TASK = 4_000_000  # of text, for each task that encodes segments
 
 # Letters after which a cut may be tried; others are never cut off what follows.
 _LETTER = "A-Za-z0-9À-ɏ"
+_LETTERS = "".join(re.findall(f"[{_LETTER}]", "".join(map(chr, range(0x300)))))
+_PLACE = np.dtype([("chunk", "<i8"), ("place", "<i4")])  # where a segment stands in a chunk's dictionary
 
 
 @dataclass
@@ -51,6 +57,18 @@ class Pieces:
         usual = [s for _, _, s in self.scored if s > -1e6]  # reserved pieces are far below
         return min(usual, default=0.0) - UNKNOWN_PENALTY
 
+    def _long(self) -> list[str]:
+        return [p.replace(SPACE, " ") for p, _, _ in self.scored if len(p) > 1]
+
+    def signs(self) -> str | None:
+        """Punctuation that never follows a letter inside a piece; None if pieces span words."""
+        following = {(a, b) for p in self._long() for a, b in zip(p, p[1:], strict=False)}
+        if any(b == " " and a != " " for a, b in following):
+            return None
+        letter = re.compile(f"[{_LETTER}]")
+        reached = {b for a, b in following if letter.match(a)}
+        return "".join(c for c in string.punctuation if c not in reached)
+
     def segment_pattern(self) -> re.Pattern:
         """Splits a text (with blanks) where no piece can reach across.
 
@@ -58,14 +76,11 @@ class Pieces:
         character that is in no longer piece, and between a letter and a
         punctuation sign that never follows a letter inside a piece.
         """
-        long = [p.replace(SPACE, " ") for p, _, _ in self.scored if len(p) > 1]
-        if any(b == " " and a != " " for p in long for a, b in zip(p, p[1:], strict=False)):
+        signs = self.signs()
+        if signs is None:
             return re.compile(r"[\s\S]+")  # pieces span words
-        inside = set("".join(long))
+        inside = set("".join(self._long()))
         alone = "".join(c for c in map(chr, [*range(32), 127]) if c not in inside)
-        letter = re.compile(f"[{_LETTER}]")
-        reached = {b for p in long for a, b in zip(p, p[1:], strict=False) if letter.match(a)}
-        signs = "".join(c for c in string.punctuation if c not in reached)
         a, s, z = f"[{_LETTER}]", re.escape(signs), re.escape(alone)
         other = f"[^{_LETTER} {z}]"  # signs of any kind
         glued = f"[^{_LETTER} {z}{s}]"  # signs that a piece may join to a letter
@@ -280,30 +295,140 @@ def best_path(lattice: DataFrame, pieces: Pieces) -> DataFrame:
     return found.select("word", "with", F.flatten(F.transform(steps, ids_of)).alias("ids"))
 
 
-def _runs(text: str | None) -> list[str]:
-    """A text as runs of blanks and what follows them; the first blank of each is left out.
+def _runs_of(texts: pa.Array) -> pa.Array:
+    """Each text as a list of runs of blanks and what follows them; the first blank of each is left out.
 
     The model reads a blank before the text, so every run begins with one. A
-    piece's sign for a blank is read as a blank.
+    piece's sign for a blank is read as a blank, and free to stand between
+    the runs. A null or empty text has a null list.
+    """
+    texts = pc.replace_substring(texts, SPACE, " ")
+    several = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+    several = pc.fill_null(several, False)
+    texts = pc.if_else(pc.equal(texts, ""), None, texts)
+    if not pc.any(several).as_py():
+        return pc.split_pattern(texts, " ")
+    # several blanks in a row, or at an end
+    odd = pc.binary_join_element_wise("", texts.filter(several), " ")
+    odd = pc.utf8_slice_codeunits(pc.replace_substring_regex(odd, " ( *)", SPACE + r"\1"), 1)
+    return pc.split_pattern(pc.replace_with_mask(pc.replace_substring(texts, " ", SPACE), several, odd), SPACE)
+
+
+def _runs(text: str | None) -> list[str]:
+    """The same for one text."""
+    return _runs_of(pa.array([text], pa.string()))[0].as_py() or []
+
+
+def _release() -> None:
+    """Give back what Arrow has freed: several workers stand beside each other and live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+
+
+@dataclass
+class _Chunk:
+    """Documents as numbers of their runs, as in ``chunks``, with Arrow for the dictionary."""
+
+    number: int
+    rows: pa.Table  # the columns besides the text
+    lengths: np.ndarray  # runs of each document
+    ids: np.ndarray  # all runs, as places in ``runs``
+    runs: pa.Array  # the different ones, in order of first occurrence
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    """Group rows whose last column is a text; a chunk ends with the document that reaches ``RUNS``."""
+    first = TaskContext.get().partitionId() << 32
+    made, total = 0, 0
+    rows, lengths, runs = [], [], []
+
+    def finish() -> _Chunk:
+        coded = pa.concat_arrays(runs).dictionary_encode()
+        ids = coded.indices.to_numpy()
+        runs.clear()
+        _release()
+        return _Chunk(first + made, pa.Table.from_batches(rows), np.concatenate(lengths), ids, coded.dictionary)
+
+    for batch in batches:
+        lists = _runs_of(batch.column(batch.num_columns - 1))
+        others = batch.drop_columns([batch.schema.names[-1]])
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat, ends, start = lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]), 0
+        while start < batch.num_rows:
+            reaches = int(np.searchsorted(ends[1:], ends[start] + RUNS - total)) + 1
+            stop = min(reaches, batch.num_rows)
+            rows.append(others.slice(start, stop - start))
+            lengths.append(sizes[start:stop])
+            runs.append(flat.slice(ends[start], ends[stop] - ends[start]))
+            total += int(ends[stop] - ends[start])
+            start = stop
+            if total >= RUNS:
+                yield finish()
+                made, total = made + 1, 0
+                rows, lengths, runs = [], [], []
+        del lists, flat
+        _release()
+    if lengths:
+        yield finish()
+    _release()
+
+
+@dataclass
+class _Cuts:
+    """How runs are cut into segments."""
+
+    pattern: re.Pattern
+    signs: str | None
+
+
+def _bucket(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word, by a hash of its length and its first, middle and last 8 bytes."""
+    size = _bytes(words).astype(np.int64)
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    starts = np.frombuffer(words.buffers()[1], np.int32, len(words), 4 * words.offset).astype(np.int64)
+    own = np.where(np.arange(8) < size[:, None], np.uint8(255), np.uint8(0)).view("<u8")[:, 0]
+    found = size.astype(np.uint64)
+    for at in (np.zeros_like(size), np.maximum(size - 8, 0) // 2, np.maximum(size - 8, 0)):
+        window = data[(starts + at)[:, None] + np.arange(8)].view("<u8")[:, 0] & own
+        found = (found ^ window) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return ((found >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _bytes(strings: pa.Array) -> np.ndarray:
+    return pc.binary_length(strings).to_numpy()
+
+
+def _segments(runs: pa.Array, cuts: _Cuts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct segments of a chunk's runs, each run's number of them, and all runs' segments.
+
+    Letters followed by signs that no piece joins to them, or either alone,
+    are cut for all runs at once; the pattern cuts the others.
     """
-    if not text:
-        return []
-    text = text.replace(SPACE, " ")
-    runs = text.split(" ")
-    if "" in runs:  # several blanks in a row, or at an end
-        runs = [r[1:] for r in re.findall(" +[^ ]*", " " + text)]
-    return runs
-
-
-def _segments(runs: list[str], pattern: re.Pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct segments of a chunk's runs, each run's number of them, and all runs' segments."""
-    found: dict[str, int] = {}
-    sizes, flat = [], []
-    for run in runs:
-        own = [found.setdefault(x, len(found)) for x in pattern.findall(" " + run)]
-        sizes.append(len(own))
-        flat.extend(own)
-    return list(found), np.array(sizes, np.int64), np.array(flat, np.int64)
+    n = len(runs)
+    if cuts.signs is None:
+        head = tail = runs
+        plain = np.zeros(n, bool)
+    else:
+        head = pc.utf8_rtrim(runs, characters=cuts.signs)
+        tail = pc.utf8_ltrim(runs, characters=_LETTERS)
+        plain = _bytes(head) + _bytes(tail) == _bytes(runs)
+    two = plain & (_bytes(head) > 0) & (_bytes(tail) > 0)
+    others = [cuts.pattern.findall(" " + run) for run in runs.filter(pa.array(~plain)).to_pylist()]
+    sizes = np.where(two, 2, 1).astype(np.int64)
+    sizes[~plain] = [len(x) for x in others]
+    starts = np.cumsum(sizes) - sizes
+    firsts = pc.if_else(pa.array(two), head, runs).filter(pa.array(plain))
+    found = pa.concat_arrays(
+        [
+            pc.binary_join_element_wise("", firsts, " "),
+            tail.filter(pa.array(two)),
+            pa.array(chain.from_iterable(others), pa.string()),
+        ]
+    ).dictionary_encode()
+    rest, _ = _take(np.arange(int(sizes.sum())), sizes, np.flatnonzero(~plain))
+    flat = np.empty(int(sizes.sum()), np.int64)
+    flat[np.concatenate([starts[plain], starts[two] + 1, rest])] = found.indices.to_numpy()
+    return found.dictionary, sizes, flat
 
 
 def _take(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,60 +440,91 @@ def _take(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return flat[at], size
 
 
-def _dictionary(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
-    """chunk, place, word: the distinct segments of every chunk."""
+def _dictionary(docs: DataFrame, cuts: _Cuts, buckets: int) -> DataFrame:
+    """bucket, chunk, steps (between places), sizes, data: every chunk's distinct segments, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, _runs, RUNS):
-            words, _, _ = _segments(c.words, pattern)
-            for a in range(0, len(words), 65536):
-                part = words[a : a + 65536]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), c.number)),
-                        pa.array(np.arange(a, a + len(part), dtype=np.int32)),
-                        pa.array(part, pa.string()),
-                    ],
-                    ["chunk", "place", "word"],
-                )
+        for c in _chunks(batches):
+            words, _, _ = _segments(c.runs, cuts)
+            if not len(words):
+                continue
+            bucket = _bucket(words, buckets)
+            place = np.argsort(bucket, kind="stable")
+            words, bucket = words.take(pa.array(place)), bucket[place]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            sizes = _bytes(words).astype("<i4")
+            data = memoryview(words.buffers()[2])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            spans = list(zip(first, [*first[1:], len(words)], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[first].astype(np.int32)),
+                    pa.array(np.full(len(first), c.number)),
+                    pa.array([pack(np.diff(place[a:b], prepend=0).astype("<i4")) for a, b in spans], pa.binary()),
+                    pa.array([pack(sizes[a:b]) for a, b in spans], pa.binary()),
+                    pa.array([zstandard.compress(data[ends[a] : ends[b]], 1) for a, b in spans], pa.binary()),
+                ],
+                ["bucket", "chunk", "steps", "sizes", "data"],
+            )
 
-    return docs.mapInArrow(run, "chunk long, place int, word string")
+    return docs.mapInArrow(run, "bucket int, chunk long, steps binary, sizes binary, data binary")
 
 
-def _packed(answers: DataFrame, rows: int = 150_000) -> DataFrame:
-    """chunk, place, ids as packed rows per chunk, some for each partition."""
+def _distinct(dictionary: DataFrame) -> DataFrame:
+    """word, with: each segment of a partition of packed dictionaries once, and its places in them (``_PLACE``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            chunk, place = table["chunk"].to_numpy(), table["place"].to_numpy()
-            lists = table["ids"].combine_chunks()
-            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            order = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                ids, own = _take(flat, sizes.astype(np.int64), order[a:b])
-                packed = [pack(x.astype("<i4")) for x in (place[order[a:b]], own, ids)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk[order[a]]]), *(pa.array([x], pa.binary()) for x in packed)],
-                    ["chunk", "place", "sizes", "ids"],
-                )
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        if not rows:
+            return
+        sizes = [unpack(row["sizes"], "<i4") for row in rows]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        data = b"".join(zstandard.decompress(row["data"]) for row in rows)
+        words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        places = np.empty(len(words), _PLACE)
+        places["chunk"] = np.repeat([row["chunk"] for row in rows], [len(x) for x in sizes])
+        places["place"] = np.concatenate([np.cumsum(unpack(row["steps"], "<i4")) for row in rows])
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(codes))]) * _PLACE.itemsize
+        owned = places[np.argsort(codes, kind="stable")].tobytes()
+        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(owned)]
+        having = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), buffers)
+        made = pa.RecordBatch.from_arrays([coded.dictionary, having], ["word", "with"])
+        del rows, sizes, offsets, data, words, places, coded, codes
+        _release()
+        for a in range(0, made.num_rows, 4096):
+            yield made.slice(a, 4096)
+
+    return dictionary.select("chunk", "steps", "sizes", "data").mapInArrow(run, "word string, with binary")
+
+
+def _packed(answers: DataFrame) -> DataFrame:
+    """chunk, steps (between places), sizes, ids: what a partition's segments are in each chunk."""
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= rows:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    return answers.select("chunk", "place", "ids").mapInArrow(
-        run, "chunk long, place binary, sizes binary, ids binary"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        having, lists = (table[c].combine_chunks() for c in ("with", "ids"))
+        flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        word = np.repeat(np.arange(len(having)), _bytes(having) // _PLACE.itemsize)
+        places = np.frombuffer(b"".join(having.to_pylist()), _PLACE)
+        order = np.lexsort((places["place"], places["chunk"]))
+        places, word = places[order], word[order]
+        cuts = np.flatnonzero(np.diff(places["chunk"], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True):
+            ids, own = _take(flat, sizes, word[a:b])
+            packed = [pack(x.astype("<i4")) for x in (np.diff(places["place"][a:b], prepend=0), own, ids)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([places["chunk"][a]]), *(pa.array([x], pa.binary()) for x in packed)],
+                ["chunk", "steps", "sizes", "ids"],
+            )
+        del held, table, having, lists, flat
+        _release()
+
+    return answers.select("with", "ids").mapInArrow(run, "chunk long, steps binary, sizes binary, ids binary")
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -394,25 +550,20 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
         F.col(text).alias("text"),
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    pattern = pieces.segment_pattern()
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    spread = size // CHARS_PER_TASK
-    found = _dictionary(rows, pattern)
-    # one shuffle brings a segment's places together, at most one for each chunk; its lattice stays there
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spread)
-    words = (
-        found.repartition(partitions, F.xxhash64("word"))
-        .select("chunk", "place", "word", F.xxhash64("word").alias("a"))
-        .groupBy("a", "word")
-        .agg(F.collect_list(F.struct("chunk", "place")).alias("with"))
-    )
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(spread, size // CHARS_PER_TASK)
+    # dictionaries are packed until a bucket's are put together; then every segment is a row, whose lattice stays there
+    cuts = _Cuts(pieces.segment_pattern(), pieces.signs())
+    buckets = max(spread, partitions // 4)
+    found = _distinct(_dictionary(rows, cuts, buckets).repartitionById(buckets, "bucket"))
+    words = found.repartition(partitions, F.xxhash64("word")).select("word", "with", F.xxhash64("word").alias("a"))
     with _groups_in_memory(spark):
-        encoded = best_path(edges(words, pieces), pieces)
-        answers = store(_packed(encoded.select(F.explode("with").alias("at"), "ids").select("at.*", "ids")))
+        answers = store(_packed(best_path(edges(words, pieces), pieces)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, _runs, RUNS):
-            words, sizes, flat = _segments(c.words, pattern)
+        for c in _chunks(batches):
+            words, sizes, flat = _segments(c.runs, cuts)
             numbers = [np.array([len(words)]), sizes, flat, c.lengths, c.ids]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -428,13 +579,14 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
         (n,), run_sizes, run_segments, lengths, runs = (
             unpack(x, "<i4").astype(np.int64) for x in numbers["numbers"][0].as_py()
         )
-        lists = [[unpack(x, "<i4") for x in answers[c].to_pylist()] for c in ("place", "sizes", "ids")]
+        lists = [[unpack(x, "<i4") for x in answers[c].to_pylist()] for c in ("steps", "sizes", "ids")]
+        lists[0] = [np.cumsum(x) for x in lists[0]]
         place, sizes, flat = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in lists)
         order = np.argsort(place)
         if not np.array_equal(place[order], np.arange(n)):
             raise ValueError("the chunks of two passes differ: the input must be read the same way each time")
         flat, sizes = _take(flat, sizes.astype(np.int64), order)
-        pa.default_memory_pool().release_unused()  # a worker keeps what earlier chunks took otherwise
+        _release()
         # pieces of each run, then of each document, some documents at a time
         run_flat, counts = _take(flat, sizes, run_segments)
         of_run = np.zeros(len(run_sizes) + 1, np.int64)
@@ -477,14 +629,29 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     texts = pieces.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(texts, pa.binary())
+        width = np.array([len(x) for x in texts], np.int64)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            made = [
-                None if not x.is_valid else b"".join([texts[i] for i in x.values.to_numpy().tolist()])
-                for x in lists
-            ]
-            decoded = [None if x is None else x.removeprefix(b" ").decode(errors="replace") for x in made]
-            yield batch.append_column("text", pa.array(decoded, pa.string()))
+            flat = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            made = np.frombuffer(vocabulary.take(flat).buffers()[2] or b"", np.uint8)
+            ends = np.concatenate([[0], np.cumsum(width[flat.to_numpy()])])[np.cumsum([0, *sizes])]
+            begins = ends[:-1][np.diff(ends) > 0]
+            blank = begins[made[begins] == ord(" ")]  # before the text
+            ends -= np.searchsorted(blank, ends)
+            data = pa.py_buffer(np.delete(made, blank))
+            joined = pa.Array.from_buffers(
+                pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), data]
+            )
+            joined = pc.if_else(lists.is_valid(), joined, None)
+            try:
+                decoded = joined.cast(pa.string())
+            except pa.ArrowInvalid:  # some bytes are no valid UTF-8
+                decoded = pa.array([x and x.decode(errors="replace") for x in joined.to_pylist()], pa.string())
+            yield batch.append_column("text", decoded)
+            del lists, flat, made, data, joined, decoded
+            _release()
 
     kept = encoded.drop("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

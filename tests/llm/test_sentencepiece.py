@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,33 @@ def test_a_segments_score_is_folded_over_parts(spark, pieces):
             assert score_of(got[w], w[1:], pieces) == pytest.approx(viterbi_by_hand(w[1:], pieces))
         assert b"".join(pieces.texts[i] for i in got[w]).decode() == w
     assert spm.encode_words(df.where(F.lit(False)), pieces).count() == 0
+
+
+def test_runs_are_cut_as_the_pattern_cuts_them(pieces):
+    cuts = spm._Cuts(pieces.segment_pattern(), pieces.signs())
+    texts = [*TEXTS, None, "", "a ", " a", "a  b", "▁", "▁▁a b", "x.y,z", "end.\nNext", "...", "\ttab", "a'b c-d é×÷ß"]
+    lists = spm._runs_of(pa.array(texts, pa.string())).to_pylist()
+    for text, runs in zip(texts, lists, strict=True):
+        assert "".join(" " + r for r in runs or []) == (" " + text.replace(spm.SPACE, " ") if text else "")
+    runs = sorted({r for x in lists for r in x or []})
+    words, sizes, flat = spm._segments(pa.array(runs), cuts)
+    own = [cuts.pattern.findall(" " + r) for r in runs]
+    assert sizes.tolist() == [len(x) for x in own] and len(set(words.to_pylist())) == len(words)
+    assert [words[i].as_py() for i in flat.tolist()] == [x for segments in own for x in segments]
+
+
+def test_dictionaries_travel_packed_and_each_segment_is_a_row(spark, make_docs, pieces):
+    cuts = spm._Cuts(pieces.segment_pattern(), pieces.signs())
+    docs = make_docs(TEXTS * 20 + [f"word{i} again" for i in range(2000)]).select("doc_id", "text").repartition(3)
+    packed = spm._dictionary(docs, cuts, 5).cache()
+    assert packed.count() <= 3 * 5
+    rows = spm._distinct(packed.repartition(1)).collect()
+    assert len({r.word for r in rows}) == len(rows) > 2000
+    places = {}
+    for r in rows:
+        for chunk, place in np.frombuffer(getattr(r, "with"), spm._PLACE).tolist():
+            assert places.setdefault((chunk, place), r.word) == r.word
+    for chunk in {c for c, _ in places}:  # no gap
+        own = [p for c, p in places if c == chunk]
+        assert sorted(own) == list(range(len(own)))
+    packed.unpersist()

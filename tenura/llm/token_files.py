@@ -36,9 +36,7 @@ KNOWN_UNITS = 1_000_000  # encoded units that a worker remembers at a time
 # A blank before a letter always begins a new unit of the tokenizers' usual split pattern,
 # whatever stands before it; only letters that every Unicode version has are taken.
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-_UNIT = re.compile(f"(?= {_LETTER})")
-_WHOLE = " "  # in front of a piece that stands without a blank; other pieces begin with a letter
-_OTHER_BLANK = re.compile(f" (?!{_LETTER})")
+_UNIT = re.compile(f" {_LETTER}")
 
 
 def _pack_rows(values: np.ndarray, width: int) -> np.ndarray:
@@ -133,6 +131,14 @@ def decode_segment(data: bytes, first: int = 0, last: int | None = None) -> np.n
     return ids[first - a * BLOCK : last - a * BLOCK]
 
 
+def _is_letter(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether a character with these UTF-8 bytes is a ``_LETTER``."""
+    upper = first & 0xDF
+    plain = (first < 0x80) & (upper >= ord("A")) & (upper <= ord("Z"))
+    latin = (first == 0xC3) & (second != 0x97) & (second != 0xB7)  # no multiplication or division sign
+    return plain | latin | (first >= 0xC4) & (first <= 0xC8) | (first == 0xC9) & (second <= 0x8F)
+
+
 class Encoder:
     """A tokenizer file's ids for many texts; units that recur are encoded once.
 
@@ -166,22 +172,30 @@ class Encoder:
         self.chars = 0
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _units(self, text: str | None) -> list[str]:
-        """A text in pieces; a piece between two blanks stands for itself with the blank in front."""
-        if not text:
-            return []
-        if not self.cuts:
-            return [_WHOLE + text]
-        if _OTHER_BLANK.search(text):
-            first, *rest = _UNIT.split(text)
-            return [_WHOLE + first] * bool(first) + [u[1:] for u in rest]
-        first, *rest = text.split(" ")
-        return [_WHOLE + first] * bool(first) + rest
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts one behind the other, as they stand there, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        data = texts.buffers()[2] or pa.py_buffer(b"")
+        bounds = offsets - offsets[0]
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        if self.cuts and len(starts):
+            text = np.frombuffer(data, np.uint8, bounds[-1], offsets[0])
+            blank = np.flatnonzero(text == ord(" "))
+            after = np.concatenate([text, np.zeros(2, np.uint8)])
+            cut = blank[_is_letter(after[blank + 1], after[blank + 2])]
+            begins = np.zeros(len(text) + 1, bool)
+            begins[starts] = True
+            begins[cut[~begins[cut + 1]]] = True  # the next text's letter makes no cut
+            starts = np.flatnonzero(begins)
+        counts = np.diff(np.searchsorted(starts, bounds))
+        places = np.concatenate([starts + offsets[0], offsets[-1:]]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), data), counts
 
     def _learn(self, units: list[str]) -> None:
-        whole = np.fromiter((u[0] == _WHOLE for u in units), bool, len(units))
+        whole = np.fromiter((not _UNIT.match(u) for u in units), bool, len(units))
         order = np.argsort(~whole, kind="stable")  # pieces without a blank on their own, then the others joined
-        texts = [units[i][1:] if whole[i] else " " + units[i] for i in order.tolist()]
+        texts = [units[i] for i in order.tolist()]
         alone = int(whole.sum())
         joined = ["".join(texts[a : a + 512]) for a in range(alone, len(texts), 512)]
         made = [x.ids for x in self.tokenizer.encode_batch_fast(texts[:alone] + joined, add_special_tokens=False)]
@@ -200,25 +214,24 @@ class Encoder:
 
     def _learn_apart(self, units: list[str]) -> None:
         """The same for tokenizers that change the text."""
-        made = [self.tokenizer.encode(u[1:], add_special_tokens=False).ids for u in units]
+        made = [self.tokenizer.encode(u, add_special_tokens=False).ids for u in units]
         sizes = np.array([len(x) for x in made], np.int64)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.flat = np.concatenate([self.flat, np.array([i for x in made for i in x], np.uint32)])
         self.sizes = np.concatenate([self.sizes, sizes])
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the number of each text's."""
         if len(self.known) > KNOWN_UNITS or self.chars > 32 * KNOWN_UNITS or not self.cuts:
             self.forget()
-        before, number, numbers, counts = len(self.known), self.known.__getitem__, [], []
-        for text in texts:
-            own = self._units(text)
-            numbers.extend(map(number, own))
-            counts.append(len(own))
+        units, counts = self._units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = units.dictionary_encode()  # a lookup for each different unit only
+        different, before = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), len(self.known)
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
         if new := list(islice(self.known, before, None)):
             self.chars += sum(map(len, new))
             (self._learn if self.cuts else self._learn_apart)(new)
-        which = np.array(numbers, np.int64)
+        which = numbers[coded.indices.to_numpy()]
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
         at = np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -299,7 +312,7 @@ def write(
 
         for batch in batches:
             for a, b in _texts(batch):
-                own, sizes = encoder.encode(batch.column(1).slice(a, b - a).to_pylist(), end_id)
+                own, sizes = encoder.encode(batch.column(1).slice(a, b - a), end_id)
                 ends = np.cumsum(sizes)
                 while a < b:  # as many documents as fill a segment
                     done = b - len(sizes)

@@ -1,8 +1,10 @@
 import os
+import re
 import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tenura.llm import token_files
@@ -125,3 +127,16 @@ def test_query_against_whole_texts(spark):
         assert (own.start, own.n_tokens, own.ids_crc32) == (at, len(ids), checksum(ids))
         at += len(ids)
     assert not got
+
+
+def test_units_are_cut_in_arrow_before_blank_and_letter():
+    encoder = token_files.Encoder(MODEL)
+    letters = [chr(c) for c in [*range(1, 0x260), 0x3B1, 0x65E5, 0x1F600] if chr(c) != " "]
+    texts = ["", None, " ", " a", "  a b", "a ", "b", "x 1 y  z", *(f"a {c}b {c}" for c in letters), "a ", "éa"]
+    array = pa.concat_arrays([pa.array(["skipped "]), pa.array(texts, pa.string())]).slice(1)
+    units, counts = encoder._units(array)
+    expected = [[u for u in re.split(f"(?= {token_files._LETTER})", t or "") if u] for t in texts]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert units.to_pylist() == [u for x in expected for u in x]
+    ids, lengths = encoder.encode(array, 2)
+    assert ids.tolist() == [i for x in by_hand(texts) for i in x] and lengths.sum() == len(ids)

@@ -1,4 +1,5 @@
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -159,3 +160,21 @@ def test_dictionaries_travel_packed_and_each_segment_is_a_row(spark, make_docs,
         own = [p for c, p in places if c == chunk]
         assert sorted(own) == list(range(len(own)))
     packed.unpersist()
+
+
+def test_chunks_end_with_documents_and_give_memory_back(monkeypatch):
+    released = []
+    monkeypatch.setattr(spm, "_release", lambda: released.append(1))
+    monkeypatch.setattr(spm, "RUNS", 10)
+    monkeypatch.setattr(spm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    texts = [" ".join(f"w{i % 3}" for i in range(n)) or None for n in (4, 0, 5, 1, 30, 0, 9, 2, 3)]
+    rows = pa.record_batch({"doc_id": pa.array(range(9)), "text": pa.array(texts, pa.string())})
+    for size in (1, 2, 4, 9):
+        made = list(spm._chunks(rows.slice(a, size) for a in range(0, 9, size)))
+        assert [c.number - (2 << 32) for c in made] == [0, 1, 2, 3]
+        assert [c.rows["doc_id"].to_pylist() for c in made] == [[0, 1, 2, 3], [4], [5, 6, 7], [8]]
+        assert [c.lengths.tolist() for c in made] == [[4, 0, 5, 1], [30], [0, 9, 2], [3]]
+        words = [c.runs.take(pa.array(c.ids)).to_pylist() for c in made]
+        assert [w for x in words for w in x] == [r for t in texts for r in (t or "").split()]
+        assert len(released) >= len(made)
+        released.clear()
